@@ -100,7 +100,7 @@ def score_sentences(
     # The text rides on one row per sentence only. Topic scores may lose any
     # term in the join, so there it goes on all of them.
     text = F.col("sentence") if method == "topics" else F.when(F.col("first") == 0, F.col("sentence"))
-    tokens = tokens.select(*[c for c in tokens.columns if c != "bag"], F.inline("bag")).withColumn("sentence", text)
+    tokens = tokens.select(*[c for c in tokens.columns if c != "bag"], F.inline_outer("bag")).withColumn("sentence", text)
     carried = ["og_words", "raw_words", "filt_words", "n_sentences", "n_responses", "total_words", "filt_total"]
     parts = tokens.join(dictionary, [*keys, "term"]).withColumn(
         "part", F.when(F.col("term") == "", F.lit(NO_WORDS)).otherwise(_part(method, n_topics))

@@ -20,10 +20,11 @@ from gistmill.functions.wordlists import STOP_WORDS
 def explode_sentences(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, rule: str = "full"
 ) -> DataFrame:
-    """One row per sentence. Null texts give none."""
-    return df.filter(F.col(text).isNotNull()).select(
-        *keys, *order, F.posexplode(tx.split_sentences(text, rule)).alias("sen_pos", "part")
-    )
+    """One row per sentence. Null and blank texts give none."""
+    # The outer form keeps the optimizer from testing the array in a filter of
+    # its own, which would split every text twice.
+    parts = df.select(*keys, *order, F.posexplode_outer(tx.split_sentences(text, rule)).alias("sen_pos", "part"))
+    return parts.filter(F.col("part").isNotNull())
 
 
 def describe_sentences(
@@ -95,7 +96,7 @@ def sentence_table(
 
 def explode_bag(sentences: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """One row per sentence and distinct term."""
-    return sentences.select(*columns, F.inline("bag"))
+    return sentences.select(*columns, F.inline_outer("bag")).filter(F.col("term").isNotNull())
 
 
 def sentence_terms(sentences: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
