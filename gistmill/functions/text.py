@@ -20,7 +20,7 @@ _PLAIN_END = rf"([.!?]+{_CLOSERS}){SPACE}+"
 # A lone full stop (not after an abbreviation or a single letter), any run with
 # ! or ?, or dots when a capital follows.
 _FULL_END = (
-    r"((?:(?<!\.)(?<!\b(?i:" + "|".join([*ABBREVIATIONS, r"\p{L}"]) + r"))\."
+    r"((?:\.(?<!\.\.)(?<!\b(?i:" + "|".join([*ABBREVIATIONS, r"\p{L}"]) + r")\.)"
     r"|[!?][.!?]*"
     rf"|\.{{2,}}(?={_CLOSERS}{SPACE}+[\"'(\[]*\p{{Lu}}))"
     rf"{_CLOSERS}){SPACE}+"

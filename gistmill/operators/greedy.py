@@ -19,11 +19,10 @@ from pyspark.sql import types as T
 
 from gistmill.operators import selection as sl
 from gistmill.operators import terms as tm
-from gistmill.operators.scoring import NO_WORDS, relative_entropy
+from gistmill.operators.scoring import BROADCAST_GROUPS, NO_WORDS, measure_groups, relative_entropy
 from gistmill.session import stage
 
 LOCAL_SENTENCES = 20_000
-BROADCAST_GROUPS = 100_000
 
 
 def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sentences: bool, n_topics: int | None, covering: bool):
@@ -167,12 +166,10 @@ def select_reducing(
     """
     keys, place = list(keys), [*order, "sen_pos"]
     by_sentences = limit == "percent"
-    totals = tm.group_totals(sentences, keys).withColumn("_limit", sl.summary_limit(limit, share))
-    if min_words is not None:
-        totals = totals.filter(F.col("total_words") > min_words)
-    totals = stage(totals, "totals")
+    groups = measure_groups(sentences, keys, min_words)
+    totals = groups.totals.withColumn("_limit", sl.summary_limit(limit, share))
     large = totals.filter(F.col("n_sentences") > local_sentences).select(*keys)
-    n_large = large.limit(BROADCAST_GROUPS + 1).count()
+    n_large = large.limit(BROADCAST_GROUPS + 1).count() if groups.largest > local_sentences else 0
 
     small = sentences
     if n_large:

@@ -1,9 +1,10 @@
 """Running totals inside a key, in a total order, without a task per key.
 
-A window over one key puts that key's rows into one task. Here rows are range-
-partitioned by (key, order), each partition adds up its own rows, and partitions
-that continue a key get the totals of the partitions before them. A key may
-span any number of partitions.
+A window over one key puts that key's rows into one task, so it is used only
+where every key is known to be small. Otherwise rows are range-partitioned by
+(key, order), each partition adds up its own rows, and partitions that continue
+a key get the totals of the partitions before them. A key may span any number
+of partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from gistmill.session import stage
 
+WINDOW_ROWS = 1_000_000
 _CHUNK = "_chunk"
 _SEQ = "_seq"
 _REPEAT = "_repeat"
@@ -91,13 +93,15 @@ def running_totals(
     counters: dict[str, str | int | Column],
     compare: str | None = None,
     label: str = "running",
+    largest: int | None = None,
 ) -> DataFrame:
     """Add a running total per counter, over ``keys`` in ``order``.
 
     ``counters`` maps a new column to what each row adds (a column, or 1 to
     number rows from 1); amounts are whole numbers >= 0. ``order`` must be total
     within a key. With ``compare``, a row whose value equals the row above it in
-    the same key adds nothing and gets ``repeated = true``.
+    the same key adds nothing and gets ``repeated = true``. ``largest`` is an
+    upper bound of the rows of one key, where the caller has one.
     """
     keys = list(keys)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -109,6 +113,8 @@ def running_totals(
             for name, c in counters.items()
         }
     )
+    if keys and largest is not None and largest <= WINDOW_ROWS:
+        return _window_totals(prepared, df.columns, keys, order, steps, compare)
     extra = [
         T.StructField(_CHUNK, T.IntegerType()),
         T.StructField(_REPEAT, T.BooleanType()),
@@ -162,6 +168,26 @@ def running_totals(
     )
 
 
-def number_rows(df, keys, order, name="n", label="number") -> DataFrame:
+def _window_totals(
+    prepared: DataFrame, columns: Sequence[str], keys: list[str], order: list[Column],
+    steps: dict[str, str], compare: str | None,
+) -> DataFrame:
+    rows = Window.partitionBy(*keys).orderBy(*order)
+    repeated = F.lit(False)
+    if compare is not None:
+        above = F.lag(F.struct(compare)).over(rows)
+        prepared = prepared.withColumn("repeated", F.coalesce(above.eqNullSafe(F.struct(compare)), F.lit(False)))
+        repeated = F.col("repeated")
+    so_far = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = {name: F.sum(F.when(repeated, 0).otherwise(F.col(step))).over(so_far) for name, step in steps.items()}
+    return prepared.withColumns(totals).select(*columns, *(["repeated"] if compare else []), *steps)
+
+
+def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key. One pass over the key columns."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def number_rows(df, keys, order, name="n", label="number", largest: int | None = None) -> DataFrame:
     """Number rows from 1 within ``keys``."""
-    return running_totals(df, keys, order, {name: 1}, label=label)
+    return running_totals(df, keys, order, {name: 1}, label=label, largest=largest)

@@ -8,13 +8,16 @@ of first occurrence so that near ties fall the same way on every run.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators import terms as tm
+from gistmill.session import stage
 
 NO_WORDS = 1000.0
+BROADCAST_GROUPS = 200_000
 
 
 def relative_entropy(a: Column, b: Column) -> Column:
@@ -38,21 +41,29 @@ def inverse_frequency(n_sentences: Column, df: Column) -> Column:
     return F.log2(n_sentences / df)
 
 
-def group_dictionary(
-    sentences: DataFrame, keys: Sequence[str], min_words: int | None = None
-) -> DataFrame:
-    """Group terms with the group's totals on every row. With ``min_words``,
-    only groups of more raw words than that. A group without any term has one
-    row, for the empty term."""
+class Groups(NamedTuple):
+    totals: DataFrame  # marked for broadcast while the groups are few
+    largest: int  # sentences of the largest group
+
+
+def measure_groups(sentences: DataFrame, keys: Sequence[str], min_words: int | None = None) -> Groups:
+    """Totals of the groups to summarize; with ``min_words``, only groups of
+    more raw words than that."""
     totals = tm.group_totals(sentences, keys)
     if min_words is not None:
         totals = totals.filter(F.col("total_words") > min_words)
-    words = tm.group_terms(sentences, keys).join(totals, list(keys))
-    empty = totals.filter("filt_total = 0").select(
-        *keys, F.lit("").alias("term"), F.lit(0).cast("long").alias("count"),
-        F.lit(0).cast("long").alias("df"), *(c for c in totals.columns if c not in keys),
-    )
-    return words.unionByName(empty)
+    totals = stage(totals, "totals")
+    count, largest = totals.agg(F.count(F.lit(1)), F.max("n_sentences")).first()
+    return Groups(F.broadcast(totals) if count <= BROADCAST_GROUPS else totals, largest or 0)
+
+
+def group_dictionary(sentences: DataFrame, keys: Sequence[str], totals: DataFrame) -> DataFrame:
+    """Group terms with the group's totals on every row.
+
+    With broadcast totals the rows stay partitioned by (group, term), ready for
+    the join with the sentences' terms.
+    """
+    return tm.group_terms(sentences, keys).join(totals, list(keys))
 
 
 def _part(method: str, n_topics: int | None) -> Column:
@@ -76,45 +87,54 @@ def score_sentences(
     order: Sequence[str],
     method: str = "kl",
     candidates: Column | None = None,
-    min_words: int | None = None,
+    groups: Groups | None = None,
     keywords: DataFrame | None = None,
     n_topics: int | None = None,
+    with_empty: bool = True,
 ) -> DataFrame:
     """Score the sentences of a sentence table (ideally a staged one).
 
     ``method``: ``kl``, ``tfidf`` or ``topics`` (with a keyword table ``term,
     topics`` and the number of topics). Only ``candidates`` are scored, but all
     sentences shape the group's distribution. Sentences without terms are left
-    out, except in groups that have none at all, where they score 1000.
+    out, except by TF-IDF (0) and in groups that have none at all (1000).
     """
-    place = [*keys, *order, "sen_pos"]
-    dictionary = group_dictionary(sentences, keys, min_words)
+    keys, place = list(keys), [*keys, *order, "sen_pos"]
+    totals = (groups or measure_groups(sentences, keys)).totals
+    dictionary = group_dictionary(sentences, keys, totals)
     if method == "topics":
         dictionary = dictionary.join(keywords.select("term", "topics"), "term")
-    shown = sentences if candidates is None else sentences.filter(candidates | (F.col("filt_words") == 0))
-    no_terms = F.array(F.struct(F.lit(0).alias("first"), F.lit("").alias("term"), F.lit(0).alias("tf")))
-    tokens = shown.select(
-        *place, "og_words", "raw_words", "filt_words", tm.top_count().alias("max_tf"), "sentence",
-        F.when(F.size("bag") > 0, F.col("bag")).otherwise(no_terms).alias("bag"),
-    )
-    # The text rides on one row per sentence only. Topic scores may lose any
-    # term in the join, so there it goes on all of them.
-    text = F.col("sentence") if method == "topics" else F.when(F.col("first") == 0, F.col("sentence"))
-    tokens = tokens.select(*[c for c in tokens.columns if c != "bag"], F.inline_outer("bag")).withColumn("sentence", text)
-    carried = ["og_words", "raw_words", "filt_words", "n_sentences", "n_responses", "total_words", "filt_total"]
-    parts = tokens.join(dictionary, [*keys, "term"]).withColumn(
-        "part", F.when(F.col("term") == "", F.lit(NO_WORDS)).otherwise(_part(method, n_topics))
-    )
+    shown = sentences if candidates is None else sentences.filter(candidates)
+    words = ["og_words", "raw_words", "filt_words"]
+    sums = ["n_sentences", "n_responses", "total_words", "filt_total"]
+    tokens = tm.explode_bag(shown, [*place, *words, tm.top_count().alias("max_tf"), "sentence"])
+    if method != "topics":
+        # The text rides on one row per sentence. Topic scores may lose any term
+        # in the join, so there it goes on all of them.
+        tokens = tokens.withColumn("sentence", F.when(F.col("first") == 0, F.col("sentence")))
+    parts = tokens.join(dictionary, [*keys, "term"]).withColumn("part", _part(method, n_topics))
+    ordered = F.array_sort(F.collect_list(F.struct("first", F.coalesce("part", F.lit(float("nan"))).alias("part"))))
+    touched = F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))) if method == "topics" else None
     scored = parts.groupBy(*place).agg(
         F.max("sentence").alias("sentence"),
-        *(F.max(c).alias(c) for c in carried),
-        F.array_sort(F.collect_list(F.struct("first", F.coalesce("part", F.lit(float("nan"))).alias("part")))).alias("parts"),
-        *([F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("sen_topics")]
-          if method == "topics" else []),
+        *(F.max(c).alias(c) for c in (*words, *sums)),
+        ordered.alias("parts"),
+        *([touched.alias("sen_topics")] if method == "topics" else []),
     )
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
-    score = F.when(F.col("filt_words") > 0, total / F.col("filt_words")).otherwise(total)
-    return scored.withColumn("score", F.when(~F.isnan(score), score)).drop("parts")
+    score = total / F.col("filt_words")
+    scored = scored.withColumn("score", F.when(~F.isnan(score), score)).drop("parts")
+    without = {"kl": NO_WORDS, "tfidf": 0.0}.get(method)
+    if without is None or not with_empty:
+        return scored
+    # By TF-IDF a sentence without terms competes with its score of 0. By
+    # divergence it counts only where the whole group has no term.
+    group = totals.filter("filt_total = 0") if method == "kl" else totals
+    empty = sentences.filter("filt_words = 0")
+    if method == "tfidf" and candidates is not None:
+        empty = empty.filter(candidates)
+    empty = empty.join(group, keys).withColumn("score", F.lit(without))
+    return scored.unionByName(empty.select(*scored.columns))
 
 
 def score_listing(sentences, keys, order, method="kl", **options) -> DataFrame:
@@ -122,7 +142,7 @@ def score_listing(sentences, keys, order, method="kl", **options) -> DataFrame:
     divergence, 0 by TF-IDF, none by topics)."""
     columns = [*keys, *order, "sen_pos", "sentence", "og_words", "score"]
     without = {"kl": NO_WORDS, "tfidf": 0.0}.get(method)
-    scored = score_sentences(sentences.filter("filt_words > 0"), keys, order, method, **options)
+    scored = score_sentences(sentences, keys, order, method, with_empty=False, **options)
     empty = sentences.filter("filt_words = 0").withColumn("score", F.lit(without).cast("double"))
     return scored.select(*columns).unionByName(empty.select(*columns))
 

@@ -38,6 +38,7 @@ def select_summary(
     limit: str = "percent",
     share: float = 0.15,
     score_digits: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Best sentences of each group, ranked from 1.
 
@@ -45,7 +46,8 @@ def select_summary(
     above it is passed over. A word limit takes sentences while the words
     already taken are below it, so the last one may reach over. A group without
     any term offers only its first sentence. Unscored sentences are never taken.
-    ``score_digits`` ranks on rounded scores.
+    ``score_digits`` ranks on rounded scores. ``largest`` is the size of the
+    largest group, where it is known.
     """
     score = F.col("score") if score_digits is None else F.round("score", score_digits)
     no_terms = F.col("filt_total") == 0
@@ -57,7 +59,7 @@ def select_summary(
     )
     ranked = running_totals(
         pool, keys, ["score", *order, "sen_pos"],
-        {"rank": 1, "_taken_words": "og_words"}, compare="sentence", label="ranked",
+        {"rank": 1, "_taken_words": "og_words"}, compare="sentence", label="ranked", largest=largest,
     )
     if limit == "percent":
         within = F.col("rank") <= F.col("_limit")

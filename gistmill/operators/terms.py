@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
 from gistmill.functions.wordlists import STOP_WORDS
+from gistmill.session import spread
 
 
 def explode_sentences(
@@ -23,7 +24,7 @@ def explode_sentences(
     """One row per sentence. Null and blank texts give none."""
     # The outer form keeps the optimizer from testing the array in a filter of
     # its own, which would split every text twice.
-    parts = df.select(*keys, *order, F.posexplode_outer(tx.split_sentences(text, rule)).alias("sen_pos", "part"))
+    parts = spread(df.select(*keys, *order, text)).select(*keys, *order, F.posexplode_outer(tx.split_sentences(text, rule)).alias("sen_pos", "part"))
     return parts.filter(F.col("part").isNotNull())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
-from gistmill.session import stage
+from gistmill.session import spread, stage
 
 MAX_VOCABULARY = 1 << 18
 
@@ -37,7 +37,7 @@ def fit_topics(
     ``4 + topics / 5`` keywords. The model keeps topics x vocabulary numbers on
     the driver, so a larger vocabulary than ``vocabulary`` is refused.
     """
-    words = stage(topic_terms(df.filter(F.col(text).isNotNull()), text).select("words"), "words")
+    words = stage(topic_terms(spread(df.select(text).filter(F.col(text).isNotNull())), text).select("words"), "words")
     n_topics = n_topics if n_topics is not None else int(words.count() / 5)
     n_keywords = n_keywords if n_keywords is not None else int(4 + n_topics / 5)
     if n_topics < 2:

@@ -90,11 +90,12 @@ def summarize_sentences(
             sentences, keys, order, redundancy, limit, share, min_words,
             model.keywords if topical else None, model.n_topics if topical else None, variant,
         )
+    groups = scoring.measure_groups(sentences, keys, min_words)
     scored = scoring.score_sentences(
-        sentences, keys, order, method, selection.length_gate(), min_words,
+        sentences, keys, order, method, selection.length_gate(), groups,
         model.keywords if topical else None, model.n_topics if topical else None,
     )
-    return selection.select_summary(scored, keys, order, limit, share, score_digits)
+    return selection.select_summary(scored, keys, order, limit, share, score_digits, groups.largest)
 
 
 def two_candidates(

@@ -27,6 +27,19 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before heavy work per row.
+
+    Only for inputs that fill fewer scan splits than there are cores; larger
+    ones are left as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir`` of the
     session, or a folder of our own where that is unset (local tests)."""
