@@ -22,7 +22,7 @@ STOP_WORDS = (
 # Words whose full stop does not end a sentence.
 ABBREVIATIONS = (
     "mr mrs ms dr prof st sr jr vs gen sen rep gov capt lt col sgt rev hon "
-    "no fig inc ltd co corp dept est approx"
+    "fig inc ltd co corp dept est approx"
 ).split()
 
 # Characters that rule a line out of a name or word list.

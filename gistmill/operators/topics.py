@@ -43,12 +43,14 @@ def fit_topics(
     if n_topics < 2:
         raise ValueError("a topic model needs at least two topics, that is ten texts")
     bag = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary + 1).fit(words)
-    if len(bag.vocabulary) > vocabulary:
+    terms = bag.vocabulary  # fetched from the JVM on every access
+    if len(terms) > vocabulary:
         raise ValueError(f"more than {vocabulary} distinct terms; raise the vocabulary limit")
-    model = LDA(k=n_topics, seed=seed, maxIter=max_iter).fit(bag.transform(words).select("features"))
+    counts = stage(bag.transform(words).select("features"), "features")
+    model = LDA(k=n_topics, seed=seed, maxIter=max_iter).fit(counts)
     spark = df.sparkSession
     described = [
-        (row.topic, [bag.vocabulary[i] for i in row.termIndices])
+        (row.topic, [terms[i] for i in row.termIndices])
         for row in model.describeTopics(n_keywords).select("topic", "termIndices").collect()
     ]
     topics = spark.createDataFrame(described, "topic int, terms array<string>")

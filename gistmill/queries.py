@@ -145,13 +145,17 @@ def scores_sql(keys: str, order: str, method: str = "kl", n_topics: int = 0) ->
     topical = "JOIN km USING (term)" if method == "topics" else ""
     return f""",
 mx AS (SELECT {place}, max(tf) AS max_tf FROM st GROUP BY ALL),
+ss AS MATERIALIZED (
+  SELECT {place}, term, tf, max_tf, sentence, og_words, filt_words FROM st JOIN mx USING ({place}) JOIN sen USING ({place})
+),
+gd AS MATERIALIZED (SELECT * FROM gt JOIN tot USING ({keys})),
 sc AS (
   SELECT {place}, any_value(sentence) AS sentence, any_value(og_words) AS og_words, any_value(filt_words) AS filt_words,
     CASE WHEN isnan(sum(part)) THEN NULL ELSE sum(part) / any_value(filt_words) END AS score
   FROM (
     SELECT {place}, sentence, og_words, filt_words,
       {PARTS[method].format(n_topics=float(n_topics))} AS part
-    FROM st JOIN sen USING ({place}) JOIN mx USING ({place}) JOIN gt USING ({keys}, term) JOIN tot USING ({keys}) {topical}
+    FROM ss JOIN gd USING ({keys}, term) {topical}
   ) p GROUP BY {place}
 )"""
 
