@@ -22,7 +22,7 @@ from gistmill.operators import terms as tm
 from gistmill.operators.scoring import BROADCAST_GROUPS, NO_WORDS, measure_groups, relative_entropy
 from gistmill.session import stage
 
-LOCAL_SENTENCES = 20_000
+LOCAL_SENTENCES = 200_000
 
 
 def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sentences: bool, n_topics: int | None, covering: bool):
@@ -46,31 +46,51 @@ def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sen
         group = np.bincount(codes, weights=tf, minlength=len(vocabulary))
         total = float(n.sum())
         start = np.concatenate([[0], np.cumsum(sizes)])
+        b = tf / n[owner]
+        counted = np.ones(len(tf), dtype=bool)
         if n_topics is not None:
             width = np.concatenate([np.asarray(v, dtype="float64") for v in frame["n_term_topics"]] or [np.empty(0)])
-            share = width / n_topics
             counted = width > 0
+            b = b * (width / n_topics)
             sentence_topics = [frozenset(v) for v in frame["sen_topics"]]
-        else:
-            share, counted = np.ones(len(tf)), np.ones(len(tf), dtype=bool)
-        has_part = np.bincount(owner, weights=counted, minlength=count) > 0
-        used = np.zeros(count, dtype=bool)
+        by_term = np.argsort(codes, kind="stable")
+        term_start = np.searchsorted(codes[by_term], np.arange(len(vocabulary) + 1))
+        open_ = np.bincount(owner, weights=counted, minlength=count) > 0
+        never = not open_.any()
+        weight = np.ones(count)
         covered: set[int] = set()
 
-        def scores():
-            a = group[codes] / total if total > 0 else np.zeros(len(tf))
-            b = tf / n[owner] * share
-            parts = np.zeros(len(tf))
-            live = (a > 0) & counted
-            parts[live] = a[live] * np.log(a[live] / b[live])
-            out = np.bincount(owner, weights=parts, minlength=count)
-            if covering:
-                for i in np.flatnonzero(has_part & ~used):
-                    topics = sentence_topics[i]
-                    out[i] *= (n_topics / len(topics)) / 1.25 ** len(topics & covered)
-            out = np.divide(out, n, out=np.zeros(count), where=n > 0)
-            out[~has_part | used] = np.inf
-            return out
+        def weigh():
+            for i in np.flatnonzero(open_):
+                topics = sentence_topics[i]
+                weight[i] = (n_topics / len(topics)) / 1.25 ** len(topics & covered)
+
+        def products(tokens):
+            """count * ln(count / b) of tokens, 0 where nothing is left."""
+            left = group[codes[tokens]]
+            live = (left > 0) & counted[tokens]
+            out = np.zeros(len(tokens))
+            out[live] = left[live] * np.log(left[live] / b[tokens][live])
+            return out, np.where(live, left, 0.0)
+
+        def exact(i):
+            tokens = slice(start[i], start[i + 1])
+            a, q = group[codes[tokens]] / total, b[tokens]
+            score = 0.0
+            for x, y, used in zip(a, q, counted[tokens]):
+                if used and x > 0:
+                    score += x * np.log(x / y)
+            return score * weight[i] / n[i]
+
+        # A score is (product - mass * ln total) / (words * total). Product and
+        # mass of a sentence change only with its own terms, so a pick touches
+        # the sentences it shares terms with and the rest is one vector formula.
+        # That formula narrows the choice; the choice itself is by exact score.
+        product, mass = products(np.arange(len(tf)))
+        sentence_product = np.bincount(owner, weights=product, minlength=count)
+        sentence_mass = np.bincount(owner, weights=mass, minlength=count)
+        if covering:
+            weigh()
 
         words = frame["og_words"].to_numpy()
         texts = frame["sentence"].tolist()
@@ -78,29 +98,37 @@ def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sen
         picked: list[int] = []
         picked_scores: list[float] = []
         taken = 0
-        if not has_part.any():
+        if never:
             if n_topics is None and limit > 0 and low <= words[0] <= high:
                 picked, picked_scores = [0], [NO_WORDS]
-        else:
-            while taken < limit:
-                current = scores()
-                best = int(np.argmin(current))
-                if not np.isfinite(current[best]):
-                    break
-                if low <= words[best] <= high and not (picked and texts[picked[-1]] == texts[best]):
-                    picked.append(best)
-                    picked_scores.append(float(current[best]))
-                    taken += 1 if by_sentences else int(words[best])
-                    if covering:
-                        covered |= sentence_topics[best]
-                used[best] = True
+        while not never and taken < limit:
+            where = np.flatnonzero(open_)
+            if not len(where):
+                break
+            near = (sentence_product[where] - sentence_mass[where] * np.log(total)) / (n[where] * total) * weight[where]
+            lowest = near.min()
+            close = where[near <= lowest + 1e-12 + 1e-9 * abs(lowest)]
+            close_scores = [exact(i) for i in close]
+            at = int(np.argmin(close_scores))
+            best, score = int(close[at]), float(close_scores[at])
+            if low <= words[best] <= high and not (picked and texts[picked[-1]] == texts[best]):
+                picked.append(best)
+                picked_scores.append(score)
+                taken += 1 if by_sentences else int(words[best])
+                if covering and not sentence_topics[best] <= covered:
+                    covered |= sentence_topics[best]
+                    weigh()
+            open_[best] = False
+            if level:
                 span = slice(start[best], start[best + 1])
-                if level == 1:
-                    group[codes[span]] -= tf[span]
-                elif level == 2:
-                    group[codes[span]] /= tf[span]
-                if level:
-                    total -= n[best]
+                changed = codes[span]
+                group[changed] = group[changed] - tf[span] if level == 1 else group[changed] / tf[span]
+                total -= n[best]
+                touched = np.concatenate([by_term[term_start[c]:term_start[c + 1]] for c in changed])
+                new_product, new_mass = products(touched)
+                np.add.at(sentence_product, owner[touched], new_product - product[touched])
+                np.add.at(sentence_mass, owner[touched], new_mass - mass[touched])
+                product[touched], mass[touched] = new_product, new_mass
         out = frame.loc[picked, [*place, "sentence", "og_words"]].reset_index(drop=True)
         out["score"] = pd.Series(picked_scores, dtype="float64")
         out.insert(0, "rank", np.arange(1, len(picked) + 1, dtype="int32"))
