@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
 from gistmill.operators.running import number_rows
+from gistmill.session import small_side
 
 MAX_LIST = 100_000
 INDEX_SEPARATOR = r"\$#\$"
@@ -87,7 +88,7 @@ def drop_profane_conversations(
     the conversation id alone, whatever the corpus."""
     flagged = flag_profanity(df.select(conversation, text), text, words, "_profane")
     bad = flagged.filter("_profane").select(conversation).distinct()
-    return df.join(bad, conversation, "left_anti")
+    return df.join(small_side(bad, "profane"), conversation, "left_anti")
 
 
 def drop_profane_names(df: DataFrame, name: str, words: Iterable[str] | DataFrame) -> DataFrame:
@@ -119,7 +120,8 @@ def valid_corpora(
 
 
 def keep_valid_corpora(df, corpus, conversation, text, **limits) -> DataFrame:
-    return df.join(valid_corpora(df, corpus, conversation, text, **limits).select(corpus), corpus, "left_semi")
+    valid = valid_corpora(df, corpus, conversation, text, **limits).select(corpus)
+    return df.join(small_side(valid, "corpora"), corpus, "left_semi")
 
 
 def batches(df: DataFrame, order: Sequence[str | Column], size: int = 10_000, name: str = "batch") -> DataFrame:
@@ -140,5 +142,5 @@ def malformed_lines(df: DataFrame, line: str) -> DataFrame:
 def remove_entries(lines: DataFrame, line: str, names: DataFrame, name: str) -> DataFrame:
     """Drop index lines whose first field is one of the names."""
     first = F.split(F.col(line), INDEX_SEPARATOR)[0]
-    gone = names.select(F.col(name).alias("_entry")).distinct()
+    gone = small_side(names.select(F.col(name).alias("_entry")).distinct(), "entries")
     return lines.withColumn("_entry", first).join(gone, "_entry", "left_anti").drop("_entry")

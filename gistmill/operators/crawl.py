@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gistmill.session import small_side
+
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
 
@@ -70,21 +72,18 @@ def allowed_links(links: DataFrame, url: str, rules: DataFrame, domain: str = "d
     on (domain, prefix), so no link is compared with every rule.
     """
     host, path = split_url(url)
-    rules = rules.select(F.col(domain).alias("_host"), F.col(prefix).alias("_prefix")).distinct()
-    lengths = (
-        rules.filter("_prefix is not null").groupBy("_host")
-        .agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
-    )
-    known = rules.groupBy("_host").agg(F.lit(True).alias("_known"))
+    rules = small_side(rules.select(F.col(domain).alias("_host"), F.col(prefix).alias("_prefix")).distinct(), "rules")
+    # One row per domain, with the lengths its prefixes have.
+    hosts = small_side(rules.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_lengths")), "hosts")
     links = links.withColumn("_host", host).withColumn("_path", path)
-    targets = links.select("_host", "_path").distinct().join(known, "_host", "left_semi")
-    heads = targets.join(lengths, "_host").select(
+    targets = links.select("_host", "_path").distinct()
+    heads = targets.join(hosts, "_host").select(
         "_host", "_path",
         F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_size"),
     ).withColumn("_prefix", F.left("_path", F.col("_size")))
     forbidden = heads.join(rules, ["_host", "_prefix"], "left_semi").select("_host", "_path").distinct()
     return (
-        links.join(known, "_host", "left_semi")
+        links.join(hosts, "_host", "left_semi")
         .join(forbidden, ["_host", "_path"], "left_anti")
         .drop("_host", "_path")
     )

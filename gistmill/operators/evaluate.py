@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
+from gistmill.session import stage
 
 BLOCK = 64
 PENALTY = 0.1
@@ -33,7 +34,7 @@ def unique_ngram_ratio(summary: DataFrame, keys: Sequence[str], n: int = 2) -> D
     sentence ends.
     """
     keys = list(keys)
-    words = summary.select(*keys, "rank", tx.split_words("sentence").alias("_words")).filter(F.size("_words") > 0)
+    words = stage(summary.select(*keys, "rank", tx.split_words("sentence").alias("_words")), "words")
     opened = words.withColumn("_own", F.size("_words"))
     for ahead in range(1, n):
         following = words.select(
@@ -104,6 +105,7 @@ def pair_redundancy(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
                      "words", F.size("words").alias("size"))
         ).alias("_items")
     )
+    blocks = stage(blocks, "blocks")
     last = blocks.groupBy(*keys).agg(F.max("_block").alias("_last"))
     single = blocks.join(last, keys)
     inside = F.aggregate(
@@ -139,8 +141,9 @@ def cosine(a: Column, b: Column) -> Column:
 def focus(summary: DataFrame, keys: Sequence[str], vector: str, low: float = 0.05) -> DataFrame:
     """-0.1 for every two neighbouring sentences whose vectors are unlike."""
     keys = list(keys)
-    following = summary.select(*keys, (F.col("rank") - 1).alias("rank"), F.col(vector).alias("_next"))
-    paired = summary.select(*keys, "rank", vector).join(following, [*keys, "rank"], "left")
+    vectors = stage(summary.select(*keys, "rank", vector), "vectors")
+    following = vectors.select(*keys, (F.col("rank") - 1).alias("rank"), F.col(vector).alias("_next"))
+    paired = vectors.select(*keys, "rank", vector).join(following, [*keys, "rank"], "left")
     similarity = F.coalesce(cosine(F.col(vector), F.col("_next")), F.lit(0.0))
     unlike = (F.col("_next").isNotNull() & (similarity < low)).cast("int")
     return paired.groupBy(*keys).agg((F.lit(-PENALTY) * F.sum(unlike)).alias("focus"))

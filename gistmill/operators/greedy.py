@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from gistmill.operators import selection as sl
 from gistmill.operators import terms as tm
-from gistmill.operators.scoring import BROADCAST_GROUPS, NO_WORDS, measure_groups, relative_entropy
-from gistmill.session import stage
+from gistmill.operators.scoring import NO_WORDS, measure_groups, relative_entropy
+from gistmill.session import BROADCAST_ROWS, small_side, stage
 
 LOCAL_SENTENCES = 200_000
 
@@ -157,7 +157,7 @@ def _with_topics(sentences: DataFrame, keys: Sequence[str], place: Sequence[str]
     """Add the topics of each sentence and the number of topics of each term."""
     found = (
         tm.explode_bag(sentences, [*keys, *place])
-        .join(keywords.select("term", "topics"), "term")
+        .join(small_side(keywords.select("term", "topics"), "keywords"), "term")
         .groupBy(*keys, *place)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("first", F.size("topics")))).alias("_widths"),
@@ -197,11 +197,11 @@ def select_reducing(
     groups = measure_groups(sentences, keys, min_words)
     totals = groups.totals.withColumn("_limit", sl.summary_limit(limit, share))
     large = totals.filter(F.col("n_sentences") > local_sentences).select(*keys)
-    n_large = large.limit(BROADCAST_GROUPS + 1).count() if groups.largest > local_sentences else 0
+    n_large = large.limit(BROADCAST_ROWS + 1).count() if groups.largest > local_sentences else 0
 
     small = sentences
     if n_large:
-        small = small.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, keys, "left_anti")
+        small = small.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, keys, "left_anti")
     small_totals = totals.filter(F.col("n_sentences") <= local_sentences).select(*keys, "_limit")
     if keywords is not None:
         small = _with_topics(small, keys, place, keywords)
@@ -217,7 +217,7 @@ def select_reducing(
     if not n_large:
         return picked
     big_totals = totals.filter(F.col("n_sentences") > local_sentences)
-    big = sentences.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, keys, "left_semi")
+    big = sentences.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, keys, "left_semi")
     if keywords is not None:
         big = _with_topics(big, keys, place, keywords)
     by_rounds = _pick_by_rounds(

@@ -14,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators import terms as tm
-from gistmill.session import stage
+from gistmill.session import BROADCAST_ROWS, small_side, stage
 
 NO_WORDS = 1000.0
-BROADCAST_GROUPS = 200_000
 
 
 def relative_entropy(a: Column, b: Column) -> Column:
@@ -54,7 +53,7 @@ def measure_groups(sentences: DataFrame, keys: Sequence[str], min_words: int | N
         totals = totals.filter(F.col("total_words") > min_words)
     totals = stage(totals, "totals")
     count, largest = totals.agg(F.count(F.lit(1)), F.max("n_sentences")).first()
-    return Groups(F.broadcast(totals) if count <= BROADCAST_GROUPS else totals, largest or 0)
+    return Groups(F.broadcast(totals) if count <= BROADCAST_ROWS else totals, largest or 0)
 
 
 def group_dictionary(sentences: DataFrame, keys: Sequence[str], totals: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def score_sentences(
     totals = (groups or measure_groups(sentences, keys)).totals
     dictionary = group_dictionary(sentences, keys, totals)
     if method == "topics":
-        dictionary = dictionary.join(keywords.select("term", "topics"), "term")
+        dictionary = dictionary.join(small_side(keywords.select("term", "topics"), "keywords"), "term")
     shown = sentences if candidates is None else sentences.filter(candidates)
     words = ["og_words", "raw_words", "filt_words"]
     sums = ["n_sentences", "n_responses", "total_words", "filt_total"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
-from gistmill.session import spread, stage
+from gistmill.session import small_side, spread, stage
 
 MAX_VOCABULARY = 1 << 18
 
@@ -71,7 +71,7 @@ def sentence_topics(sentences: DataFrame, keys: Sequence[str], order: Sequence[s
     place = [*keys, *order, "sen_pos"]
     return (
         sentences.select(*place, F.explode(F.transform("bag", lambda b: b["term"])).alias("term"))
-        .join(keywords.select("term", "topics"), "term")
+        .join(small_side(keywords.select("term", "topics"), "keywords"), "term")
         .groupBy(*place)
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("sen_topics"))
     )

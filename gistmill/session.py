@@ -9,7 +9,9 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 200_000
 _shipped: set[str] = set()
 
 
@@ -61,3 +63,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(staging_dir(spark), "gistmill", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """The smaller side of a join, staged and counted: marked for broadcast up
+    to ``BROADCAST_ROWS`` rows, and beyond that left to a shuffle join."""
+    staged = stage(df, label)
+    few = staged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(staged) if few else staged
