@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 _shipped: set[str] = set()
+_own_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -46,10 +47,12 @@ def staging_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir`` of the
     session, or a folder of our own where that is unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gistmill-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="gistmill-stage-")
+    return _own_folders[application]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
