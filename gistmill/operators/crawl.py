@@ -29,7 +29,8 @@ def archive_names(
     suffix: str = ".zip", ending: str = ".corpus.zip", prefix: str = "subreddit-",
 ) -> DataFrame:
     """Names of the archives a page links to: the decoded link, without the
-    page's own address in front and the archive ending behind."""
+    page's own address in front and the archive ending behind. The defaults are
+    fixed values of the published archive lists."""
     links = page_hrefs(pages, [*keys, url], html).filter(F.col("href").endswith(suffix))
     base = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"[^/]*$", "")
     site = F.regexp_extract(F.col(url), r"^[a-zA-Z]+://[^/?#]+", 0)

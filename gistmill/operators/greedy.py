@@ -34,25 +34,37 @@ def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sen
         import pandas as pd
 
         frame = frame.sort_values(list(place), kind="stable", ignore_index=True)
-        count = len(frame)
-        sizes = frame["terms"].map(len).to_numpy()
+        # Sentences with the same terms share their score at all times, so copies
+        # form one class: scored once, used up one by one in order.
+        classes: dict[tuple, int] = {}
+        members: list[list[int]] = []
+        for i, (terms, tfs) in enumerate(zip(frame["terms"], frame["tfs"])):
+            at = classes.setdefault((tuple(terms), tuple(tfs)), len(members))
+            if at == len(members):
+                members.append([])
+            members[at].append(i)
+        kinds = frame.iloc[[m[0] for m in members]]
+        count = len(members)
+        sizes = kinds["terms"].map(len).to_numpy()
         vocabulary: dict[str, int] = {}
         codes = np.array(
-            [vocabulary.setdefault(t, len(vocabulary)) for terms in frame["terms"] for t in terms], dtype="int64"
+            [vocabulary.setdefault(t, len(vocabulary)) for terms in kinds["terms"] for t in terms], dtype="int64"
         )
-        tf = np.concatenate([np.asarray(v, dtype="float64") for v in frame["tfs"]] or [np.empty(0)])
-        n = frame["filt_words"].to_numpy(dtype="float64")
+        tf = np.concatenate([np.asarray(v, dtype="float64") for v in kinds["tfs"]] or [np.empty(0)])
+        n = kinds["filt_words"].to_numpy(dtype="float64")
         owner = np.repeat(np.arange(count), sizes)
-        group = np.bincount(codes, weights=tf, minlength=len(vocabulary))
-        total = float(n.sum())
+        copies = np.array([len(m) for m in members])
+        group = np.bincount(codes, weights=tf * copies[owner], minlength=len(vocabulary))
+        total = float((n * copies).sum())
+        following = np.zeros(count, dtype="int64")
         start = np.concatenate([[0], np.cumsum(sizes)])
         b = tf / n[owner]
         counted = np.ones(len(tf), dtype=bool)
         if n_topics is not None:
-            width = np.concatenate([np.asarray(v, dtype="float64") for v in frame["n_term_topics"]] or [np.empty(0)])
+            width = np.concatenate([np.asarray(v, dtype="float64") for v in kinds["n_term_topics"]] or [np.empty(0)])
             counted = width > 0
             b = b * (width / n_topics)
-            sentence_topics = [frozenset(v) for v in frame["sen_topics"]]
+            sentence_topics = [frozenset(v) for v in kinds["sen_topics"]]
         by_term = np.argsort(codes, kind="stable")
         term_start = np.searchsorted(codes[by_term], np.arange(len(vocabulary) + 1))
         open_ = np.bincount(owner, weights=counted, minlength=count) > 0
@@ -108,22 +120,21 @@ def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sen
             near = (sentence_product[where] - sentence_mass[where] * np.log(total)) / (n[where] * total) * weight[where]
             lowest = near.min()
             close = where[near <= lowest + 1e-12 + 1e-9 * abs(lowest)]
-            close_scores = [exact(i) for i in close]
-            at = int(np.argmin(close_scores))
-            best, score = int(close[at]), float(close_scores[at])
+            score, best, kind = min((float(exact(i)), members[i][following[i]], int(i)) for i in close)
             if low <= words[best] <= high and not (picked and texts[picked[-1]] == texts[best]):
                 picked.append(best)
                 picked_scores.append(score)
                 taken += 1 if by_sentences else int(words[best])
-                if covering and not sentence_topics[best] <= covered:
-                    covered |= sentence_topics[best]
+                if covering and not sentence_topics[kind] <= covered:
+                    covered |= sentence_topics[kind]
                     weigh()
-            open_[best] = False
+            following[kind] += 1
+            open_[kind] = following[kind] < copies[kind]
             if level:
-                span = slice(start[best], start[best + 1])
+                span = slice(start[kind], start[kind + 1])
                 changed = codes[span]
                 group[changed] = group[changed] - tf[span] if level == 1 else group[changed] / tf[span]
-                total -= n[best]
+                total -= n[kind]
                 touched = np.concatenate([by_term[term_start[c]:term_start[c + 1]] for c in changed])
                 new_product, new_mass = products(touched)
                 np.add.at(sentence_product, owner[touched], new_product - product[touched])
