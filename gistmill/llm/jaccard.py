@@ -219,12 +219,38 @@ def _links(k: int, percent: int):
     return run
 
 
+def _candidates(parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of components (x, y, nx, ny) that share enough first shingles to hold
+    a link, from (key, component, least, most, n).
+
+    Sets of n and m shingles that link have at least
+    ceil(percent (n + m) / (100 + percent)) + 1 - ceil(percent max(n, m) / 100)
+    of their first shingles in common. That falls with the larger size and grows
+    with the smaller one, so the ends of the ranges of sizes give a bound.
+    """
+    a, b = parts.alias("a"), parts.alias("b")
+    near = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near)
+    ends = [F.first(f"{side}.{name}").alias(f"{name}_{side}") for side in "ab" for name in ("least", "most", "n")]
+    pairs = pairs.groupBy(F.col("a.component").alias("x"), F.col("b.component").alias("y")).agg(F.count("*").alias("common"), *ends)
+
+    def least_common(large: str, small: str):
+        # Sizes further apart than a link allows don't count.
+        n = F.least(F.col(large), F.floor(F.col(small) * 100 / percent))
+        m = F.least(n, F.col(small))
+        return F.ceil(percent * (n + m) / (100 + percent) - 1e-9) + 1 - F.ceil(percent * n / 100)
+
+    enough = F.least(least_common("most_a", "least_b"), least_common("most_b", "least_a"))
+    # One less, as rounding up is not monotone.
+    return pairs.where(F.col("common") >= enough - 1).select("x", "y", F.col("n_a").alias("nx"), F.col("n_b").alias("ny"))
+
+
 def _searched(rows: DataFrame, k: int, percent: int) -> DataFrame:
     rows = rows.select("group", "doc_id", "label", "text").repartition("group").sortWithinPartitions("group", "doc_id")
     return rows.mapInArrow(_links(k, percent), "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float = 0.002) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float = 0.0005) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     ``component_id`` is the smallest doc_id that links reach, the document's own
@@ -258,17 +284,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     floor = share * max(1, sized.count())
     frequent = np.array(sorted(np.array([r.sum1 for r in often.where(F.col("times") >= floor).select("sum1").collect()], dtype=np.int64).view(np.uint64)), dtype=np.uint64)
     prefixes = texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, keys array<long>")
-    keyed = prefixes.join(first.select(F.col("node").alias("doc_id"), "component", "n_shingles"), "doc_id")
-    keyed = stage(keyed.select(F.explode("keys").alias("key"), "component", "n_shingles"), "jaccard-keys")
+    spans = first.groupBy("component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("n"))
+    sides = stage(first.join(spans, "component").select(F.col("node").alias("doc_id"), "component", "least", "most", "n"), "jaccard-sides")
+    keyed = stage(prefixes.join(sides, "doc_id").select(F.explode("keys").alias("key"), "component", "least", "most", "n"), "jaccard-keys")
     span = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    parts = keyed.join(span, "key").groupBy("key", "component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    parts = stage(parts, "jaccard-parts")
-    a, b = parts.alias("a"), parts.alias("b")
-    near = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near)
-    pairs = pairs.select(F.col("a.component").alias("x"), F.col("b.component").alias("y")).distinct()
-    sizes = first.groupBy("component").agg(F.count("*").alias("n"))
-    pairs = pairs.join(sizes.select(F.col("component").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("component").alias("y"), F.col("n").alias("ny")), "y")
+    parts = stage(keyed.join(span, "key").distinct(), "jaccard-parts")
+    pairs = _candidates(parts, percent)
     big, small = F.when(F.col("nx") >= F.col("ny"), F.col("x")), F.when(F.col("nx") >= F.col("ny"), F.col("y"))
     pairs = pairs.select(big.otherwise(F.col("y")).alias("big"), small.otherwise(F.col("x")).alias("small"), F.greatest("nx", "ny").alias("n"))
     pairs = stage(pairs.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "jaccard-pairs")
