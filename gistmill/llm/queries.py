@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill.llm.decontaminate import leaks
 from gistmill.llm.jaccard import jaccard_groups
 from gistmill.llm.langid import identify
 from gistmill.llm.lines import dedup_lines
+from gistmill.llm.mixing import mix_sources
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +20,15 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(_table(spark, folder, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    out = mix_sources(_table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_lines(_table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -29,6 +40,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_decontamination": op6_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
