@@ -28,9 +28,14 @@ def _words(text: Column) -> Column:
 
 def _shingles(words: Column) -> Column:
     """Hashes of the K-word shingles of an array of words, in order."""
-    last = F.size(words) - K
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)]))
+
+    def hashes(own: Column) -> Column:
+        last = F.size(own) - K
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(K)]))
+
+    # Through an array of one, so that the words are split once and not per shingle.
+    return F.get(F.transform(F.array(words), hashes), 0)
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
