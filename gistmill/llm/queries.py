@@ -10,6 +10,8 @@ from gistmill.llm.jaccard import jaccard_groups
 from gistmill.llm.langid import identify
 from gistmill.llm.lines import dedup_lines
 from gistmill.llm.mixing import mix_sources
+from gistmill.llm.quality import score_quality
+from gistmill.llm.substrings import remove_repeats
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +31,16 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"), 35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_lines(_table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -42,6 +54,8 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op5_source_mixing": op5_source_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
