@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.llm.decontaminate import leaks
+from gistmill.llm.hnsw import nearest
 from gistmill.llm.jaccard import jaccard_groups
 from gistmill.llm.langid import identify
 from gistmill.llm.lines import dedup_lines
 from gistmill.llm.mixing import mix_sources
 from gistmill.llm.quality import score_quality
 from gistmill.llm.substrings import remove_repeats
+from gistmill.llm.tokens import token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups(_table(spark, folder, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(_table(spark, folder, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(_table(spark, folder, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
@@ -52,6 +62,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_token_counts": op3_token_counts,
     "op5_source_mixing": op5_source_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
