@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gistmill.llm.decontaminate import leaks
 from gistmill.llm.hnsw import nearest
+from gistmill.llm.html import main_text
 from gistmill.llm.jaccard import jaccard_groups
 from gistmill.llm.langid import identify
 from gistmill.llm.lines import dedup_lines
@@ -32,6 +33,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"))
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(_table(spark, folder, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_token_counts": op3_token_counts,
+    "op4_html_text": op4_html_text,
     "op5_source_mixing": op5_source_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
