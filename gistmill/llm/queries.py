@@ -39,7 +39,7 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     out = mix_sources(_table(spark, folder, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,4 +77,63 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE
+    WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS d, doc_id AS c FROM documents
+  UNION SELECT b, c FROM reached JOIN both_ways ON d = a)
+SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT d AS doc_id, min(c) AS component_id FROM reached GROUP BY d) USING (doc_id)""",
+    "op5_source_mixing": f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len({_SPLIT.format("text")}), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7') AS place FROM documents),
+sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, 2.0 * source_size AS most, (2.0::DOUBLE * source_size) / weight AS own,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER before, 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM sums WINDOW before AS (ORDER BY (2.0::DOUBLE * source_size) / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size,
+    least(2.0::DOUBLE * source_size, coalesce((SELECT arg_min(level, own) FROM levels WHERE level * weight <= most) * weight, 2.0::DOUBLE * source_size)) AS target
+  FROM levels),
+placed AS (
+  SELECT s.*, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS goal,
+    sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id ASC NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0
+    ELSE size * (goal // source_size) + greatest(0, least(size, goal % source_size - before)) END AS BIGINT) AS taken
+FROM placed""",
+    "op7_substring_dedup": f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_SPLIT.format("text")}, []) AS w FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+repeated AS (SELECT r, i FROM windows JOIN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1) USING (g)),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM repeated),
+gone AS (SELECT r, count(*) AS n_removed FROM covered GROUP BY r),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS text
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)""",
+}
