@@ -1,9 +1,9 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, runs of letters and digits joined by one
-blank) and fingerprinted with a 64-bit SimHash of their words. Fingerprints
+blank) and fingerprinted with a 64-bit SimHash of their distinct words. Fingerprints
 within three bits agree in one of four blocks of 16 bits, so joining on blocks
-finds all of them; edit similarity verifies pairs, and of each connected group
+finds all of them; edit similarity in words verifies pairs, and of each connected group
 the first occurrence in (doc_id, line) order stays.
 """
 
@@ -66,6 +66,18 @@ def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each run. Were words counted as often as they occur,
+    the frequent words of a language would decide the fingerprint of a long line."""
+    run = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.argsort(hashes, kind="stable")
+    order = order[np.argsort(run[order], kind="stable")]
+    hashes, run = hashes[order], run[order]
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (run[1:] != run[:-1])
+    return hashes[first], np.searchsorted(run[first], np.arange(len(offsets)))
+
+
 def fingerprints(min_words: int):
     """Arrow function: (doc_id, text) to one row per line of enough words."""
 
@@ -89,7 +101,7 @@ def fingerprints(min_words: int):
                         pa.array(line.view(np.int64)),
                         pa.array(ids[owner[keep]], pa.int64()),
                         pa.array(number[keep].astype(np.int32)),
-                        pa.array(simhash(own, offsets).view(np.int64)),
+                        pa.array(simhash(*_distinct(own, offsets)).view(np.int64)),
                     ],
                     names=["line", "doc_id", "pos", "sim"],
                 )
@@ -156,8 +168,9 @@ def clusters(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], names=["cluster", "line"])
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance by bit vectors; stops once it must exceed ``most``."""
+def edit_distance(a: list[str], b: list[str], most: int) -> int:
+    """Levenshtein distance of word lists by bit vectors; stops once it must exceed
+    ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     if not a or not b:
@@ -184,8 +197,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def similar(a: str, b: str, least: float) -> bool:
-    """Edit similarity, 1 - distance / longer length, of at least ``least``."""
+def similar(a: list[str], b: list[str], least: float) -> bool:
+    """Edit similarity, 1 - distance / longer length in words, of at least ``least``."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
     return edit_distance(a, b, most) <= most
@@ -219,7 +232,7 @@ def verified(least: float):
             group = table.column("group").to_numpy()
             line = table.column("line").to_numpy()
             sims = table.column("sim").to_numpy().view(np.uint64)
-            words = table.column("words").to_pylist()
+            words = [x.split(" ") for x in table.column("words").to_pylist()]
             borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
             left, right = [], []
             for first, last in zip(borders[:-1].tolist(), borders[1:].tolist()):
