@@ -57,7 +57,8 @@ def _blocks(sim: Column) -> Column:
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows): documents (doc_id, text)
-    with a window like an item (item_id, text).
+    with a window like an item (item_id, text). A window counts where a shingle of
+    the item is at the item's distance from its start.
 
     Words are lower-cased and split at ASCII white space. A shingle weighs
     ln(1 + items / items that have it); similarity is the weight of common

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.groups import components
+from gistmill.llm.groups import components, join_hot
 from gistmill.llm.words import LOWER, Slice, bundles, mix, row_slices, span_hashes
 from gistmill.session import ship, stage
 
@@ -283,8 +283,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> D
     groups = components(links, "line-links")
     kept = kinds.join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     first = kept.groupBy("component").agg(F.min("at").alias("first"), F.sum("times").alias("times")).where("times > 1")
-    repeats = stage(kept.select("line", "component").join(first.select("component", "first"), "component").select("line", "first"), "line-repeats")
-    gone = lines.join(repeats, "line").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
+    repeats = stage(kept.select("line", "times", "component").join(first.select("component", "first"), "component").select("line", "times", "first"), "line-repeats")
+    gone = join_hot(lines, repeats, "line", "times").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistmill.llm.groups import join_hot
 from gistmill.llm.words import PLACE, bundles, mix, powers, ranges, word_slices
 from gistmill.session import ship, stage
 
@@ -218,19 +219,20 @@ def repeated_runs(texts: DataFrame, width: int) -> DataFrame:
     """(row, runs): for each text (row, text), the words in repeated windows as an
     array of (start, mask), with bit i of mask for word start + i."""
     found = stage(texts.mapInArrow(_anchors(width), "anchor long, segment long, row long, start int, size int"), "run-segments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = stage(found.join(often, "anchor"), "run-shared")
+    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "run-anchors")
+    shared = stage(join_hot(found, often, "anchor", "n").drop("n"), "run-shared")
     kinds = shared.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "size")).alias("at"))
     kinds = stage(kinds, "run-kinds")
-    whole = kinds.where("times > 1").select("segment", F.expr("shiftleft(1L, at.size) - 1").alias("mask"))
+    whole = kinds.where("times > 1").select("segment", "times", F.expr("shiftleft(1L, at.size) - 1").alias("mask"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = F.collect_list(F.struct("anchor", "segment", "times", F.col("at.start").alias("start"), F.col("at.size").alias("size")))
     wanted = kinds.join(mixed, "anchor").groupBy("at.row").agg(wanted.alias("wanted"))
     contents = texts.join(wanted, "row").select("text", "wanted").mapInArrow(_contents, "anchor long, segment long, times long, words binary")
     contents = contents.repartition("anchor").sortWithinPartitions("anchor", "segment")
     partly = contents.mapInArrow(_searched(width), "segment long, mask long")
-    masks = stage(whole.union(partly).groupBy("segment").agg(F.bit_or("mask").alias("mask")), "run-masks")
-    return shared.join(masks, "segment").groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
+    whole = whole.unionByName(partly.withColumn("times", F.lit(1).cast("long")))
+    masks = stage(whole.groupBy("segment").agg(F.bit_or("mask").alias("mask"), F.max("times").alias("times")), "run-masks")
+    return join_hot(shared, masks, "segment", "times").groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
 
 
 def _kept(schema):
