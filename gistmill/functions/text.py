@@ -128,14 +128,20 @@ def bold_runs(c: Column | str, drop_unbalanced: bool = False) -> Column:
     return F.filter(F.concat(runs, F.array(tail)), lambda r: (r["text"] != "") | r["bold"])
 
 
-def _word_tree(words: list[str]) -> str:
-    """Alternation of literal words, factored by first letter at each level."""
+_TREE_DEPTH = 200
+
+
+def _word_tree(words: list[str], depth: int = 0) -> str:
+    """Alternation of literal words, factored by first letter at the first levels."""
     if "" in words:
         return ""
-    heads: dict[str, list[str]] = {}
-    for word in words:
-        heads.setdefault(word[0], []).append(word[1:])
-    branches = [_quoted(head) + _word_tree(rest) for head, rest in sorted(heads.items())]
+    if len(words) == 1 or depth == _TREE_DEPTH:
+        branches = ["".join(map(_quoted, word)) for word in words]
+    else:
+        heads: dict[str, list[str]] = {}
+        for word in words:
+            heads.setdefault(word[0], []).append(word[1:])
+        branches = [_quoted(head) + _word_tree(rest, depth + 1) for head, rest in sorted(heads.items())]
     return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
@@ -144,11 +150,10 @@ def _quoted(ch: str) -> str:
 
 
 def contains_any(c: Column | str, words: Iterable[str], lower: bool = True) -> Column:
-    """True where the (lower-cased) text holds any word as a substring."""
-    wanted = {w for w in words}
+    """True where the (lower-cased) text holds any word as a substring. Empty
+    words are no words."""
+    wanted = {w for w in words if w}
     c = F.coalesce(_col(c), F.lit(""))
     if not wanted:
         return F.lit(False)
-    if "" in wanted:
-        return F.lit(True)
     return (F.lower(c) if lower else c).rlike(_word_tree(sorted(wanted)))

@@ -33,7 +33,7 @@ def flag_profanity(df: DataFrame, text: str, words: Iterable[str] | DataFrame, n
 
     A word list in Python, or a one-column frame of at most ``MAX_LIST`` words,
     becomes one pattern. A longer frame is joined instead, on the words' first
-    characters.
+    characters, with the same result. Null and empty words are no words.
     """
     if not isinstance(words, DataFrame):
         return df.withColumn(name, tx.contains_any(text, words))
@@ -66,9 +66,11 @@ def _flag_by_join(df: DataFrame, text: str, words: DataFrame, column: str, name:
     listed = words.filter(F.col(column) != "").select(F.col(column).alias("_word")).distinct()
     listed = listed.withColumn("_head", F.substring("_word", 1, width))
     texts = df.select(lowered.alias("_low")).distinct()
+    # Heads meet by a hash of the text; the text itself only joins those met.
+    keyed = texts.select(F.xxhash64("_low").alias("_key"), F.explode(heads).alias("_head"))
+    met = keyed.join(small_side(listed, "words"), "_head").select("_key", "_word").distinct()
     hits = (
-        texts.select("_low", F.explode(heads).alias("_head"))
-        .join(listed, "_head")
+        texts.withColumn("_key", F.xxhash64("_low")).join(met, "_key")
         .filter(F.contains("_low", "_word"))
         .select("_low")
         .distinct()
@@ -134,9 +136,12 @@ def index_parts(line: str) -> Column:
     return F.split(tx.strip(line), INDEX_SEPARATOR)
 
 
-def malformed_lines(df: DataFrame, line: str) -> DataFrame:
-    """Index lines that do not have three parts, with the number of parts."""
-    return df.withColumn("n_parts", F.size(index_parts(line))).filter("n_parts <> 3")
+def malformed_lines(df: DataFrame, line: str, order: Sequence[str] = ()) -> DataFrame:
+    """Index lines that do not have three parts, with the number of parts. With
+    ``order``, also the line's number from 1."""
+    parts = F.size(index_parts(line))
+    numbered = number_rows(df, [], order, "line_number", label="index-lines") if order else df
+    return numbered.withColumn("n_parts", parts).filter("n_parts <> 3")
 
 
 def remove_entries(lines: DataFrame, line: str, names: DataFrame, name: str) -> DataFrame:

@@ -52,7 +52,7 @@ def robots_prefixes(lines: DataFrame, keys: Sequence[str], line: str = "value")
     """Forbidden path prefixes of ``Disallow: `` lines, for every agent alike.
     An empty prefix forbids the whole site."""
     return lines.filter(F.col(line).startswith("Disallow: ")).select(
-        *keys, F.substring(line, len("Disallow: ") + 1, 1_000_000).alias("prefix")
+        *keys, F.substr(line, F.lit(len("Disallow: ") + 1)).alias("prefix")
     )
 
 

@@ -203,7 +203,7 @@ def select_reducing(
     by topics / sentence topics and by 1/1.25 for each of the sentence's topics
     the summary already covers.
     """
-    keys, place = list(keys), [*order, "sen_pos"]
+    keys, place = list(keys), tm.sentence_place(sentences, order)
     by_sentences = limit == "percent"
     groups = measure_groups(sentences, keys, min_words)
     totals = groups.totals.withColumn("_limit", sl.summary_limit(limit, share))
@@ -224,7 +224,8 @@ def select_reducing(
     )
     schema = _picked_schema(sentences, keys, place)
     run = _pick_in_group(keys, place, level, by_sentences, n_topics if keywords is not None else None, variant == "v2")
-    picked = small.groupBy(*keys).applyInPandas(run, schema)
+    shown = [*keys, "rank", *order, "sen_pos", "sentence", "og_words", "score"]
+    picked = small.groupBy(*keys).applyInPandas(run, schema).select(*shown)
     if not n_large:
         return picked
     big_totals = totals.filter(F.col("n_sentences") > local_sentences)
@@ -235,7 +236,7 @@ def select_reducing(
         big, big_totals, keys, place, level, by_sentences,
         n_topics if keywords is not None else None, variant == "v2",
     )
-    return picked.unionByName(by_rounds.select(*picked.columns))
+    return picked.unionByName(by_rounds.select(*shown))
 
 
 def _pick_by_rounds(

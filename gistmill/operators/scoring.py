@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators import terms as tm
-from gistmill.session import BROADCAST_ROWS, small_side, stage
+from gistmill.session import BROADCAST_ROWS, join_hot, small_side, stage
 
 NO_WORDS = 1000.0
 
@@ -98,11 +98,15 @@ def score_sentences(
     sentences shape the group's distribution. Sentences without terms are left
     out, except by TF-IDF (0) and in groups that have none at all (1000).
     """
-    keys, place = list(keys), [*keys, *order, "sen_pos"]
+    keys, place = list(keys), [*keys, *tm.sentence_place(sentences, order)]
     totals = (groups or measure_groups(sentences, keys)).totals
+    # Groups that are not summarized leave before their sentences are opened.
+    sentences = sentences.join(totals.select(*keys), keys, "left_semi")
     dictionary = group_dictionary(sentences, keys, totals)
     if method == "topics":
-        dictionary = dictionary.join(small_side(keywords.select("term", "topics"), "keywords"), "term")
+        keywords = small_side(keywords.select("term", "topics"), "keywords")
+        dictionary = dictionary.join(keywords, "term")
+    dictionary = stage(dictionary, "dictionary")
     shown = sentences if candidates is None else sentences.filter(candidates)
     words = ["og_words", "raw_words", "filt_words"]
     sums = ["n_sentences", "n_responses", "total_words", "filt_total"]
@@ -111,7 +115,10 @@ def score_sentences(
         # The text rides on one row per sentence. Topic scores may lose any term
         # in the join, so there it goes on all of them.
         tokens = tokens.withColumn("sentence", F.when(F.col("first") == 0, F.col("sentence")))
-    parts = tokens.join(dictionary, [*keys, "term"]).withColumn("part", _part(method, n_topics))
+    else:
+        tokens = tokens.join(keywords.select("term"), "term", "left_semi")
+    # A term may be in a third of a large group's sentences: those stay in place.
+    parts = join_hot(tokens, dictionary, [*keys, "term"], "df").withColumn("part", _part(method, n_topics))
     ordered = F.array_sort(F.collect_list(F.struct("first", F.coalesce("part", F.lit(float("nan"))).alias("part"))))
     touched = F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))) if method == "topics" else None
     scored = parts.groupBy(*place).agg(

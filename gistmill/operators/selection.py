@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators.running import running_totals
+from gistmill.operators.terms import sentence_place
 
 MIN_WORDS, MAX_WORDS = 5, 29
 
@@ -58,7 +59,7 @@ def select_summary(
         .withColumn("score", score)
     )
     ranked = running_totals(
-        pool, keys, ["score", *order, "sen_pos"],
+        pool, keys, ["score", *sentence_place(scored, order)],
         {"rank": 1, "_taken_words": "og_words"}, compare="sentence", label="ranked", largest=largest,
     )
     if limit == "percent":

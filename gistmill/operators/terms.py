@@ -17,14 +17,27 @@ from gistmill.functions import text as tx
 from gistmill.functions.wordlists import STOP_WORDS
 from gistmill.session import spread
 
+ROW = "text_row"
+
+
+def sentence_place(sentences: DataFrame, order: Sequence[str]) -> list[str]:
+    """Columns that tell the sentences of a group apart, in their order."""
+    return [*order, *([ROW] if ROW in sentences.columns else []), "sen_pos"]
+
 
 def explode_sentences(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, rule: str = "full"
 ) -> DataFrame:
-    """One row per sentence. Null and blank texts give none."""
+    """One row per sentence. Null and blank texts give none.
+
+    ``text_row`` tells the texts of a group apart where ``order`` does not: a hash
+    of the text, so that their order is stable, and a number for equal texts. The
+    number holds while the table is read back from staging.
+    """
+    row = F.struct(F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("number")).alias(ROW)
     # The outer form keeps the optimizer from testing the array in a filter of
     # its own, which would split every text twice.
-    parts = spread(df.select(*keys, *order, text)).select(*keys, *order, F.posexplode_outer(tx.split_sentences(text, rule)).alias("sen_pos", "part"))
+    parts = spread(df.select(*keys, *order, text)).select(*keys, *order, row, F.posexplode_outer(tx.split_sentences(text, rule)).alias("sen_pos", "part"))
     return parts.filter(F.col("part").isNotNull())
 
 

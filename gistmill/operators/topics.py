@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
+from gistmill.operators.terms import sentence_place
 from gistmill.session import small_side, spread, stage
 
 MAX_VOCABULARY = 1 << 18
@@ -68,10 +69,11 @@ def keyword_map(topics: DataFrame) -> DataFrame:
 
 def sentence_topics(sentences: DataFrame, keys: Sequence[str], order: Sequence[str], keywords: DataFrame) -> DataFrame:
     """Topics touched by each sentence that holds a keyword."""
-    place = [*keys, *order, "sen_pos"]
+    place = [*keys, *sentence_place(sentences, order)]
     return (
         sentences.select(*place, F.explode(F.transform("bag", lambda b: b["term"])).alias("term"))
         .join(small_side(keywords.select("term", "topics"), "keywords"), "term")
         .groupBy(*place)
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("sen_topics"))
+        .select(*keys, *order, "sen_pos", "sen_topics")
     )

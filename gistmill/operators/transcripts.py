@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
-from gistmill.operators.running import largest_key, number_rows
+from gistmill.operators.running import number_rows
 
 _MARK = r"(?md)^>> (USER|ASSISTANT):"
 
@@ -51,7 +51,7 @@ def pair_turns(
     """Pair the n-th question of a conversation with its n-th answer; extra
     turns of either side are dropped."""
     turns = turns.filter(F.col(role).isin(question, answer))
-    numbered = number_rows(turns, [conversation, role], order, "n", "turns", largest_key(turns, [conversation, role]))
+    numbered = number_rows(turns, [conversation, role], order, "n", "turns")
     questions = numbered.filter(F.col(role) == question).select(conversation, "n", F.col(text).alias("question_text"))
     answers = numbered.filter(F.col(role) == answer).select(conversation, "n", F.col(text).alias("answer_text"))
     return questions.join(answers, [conversation, "n"])

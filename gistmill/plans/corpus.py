@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
 from gistmill.operators import clean, transcripts
-from gistmill.operators.running import largest_key, number_rows
+from gistmill.operators.running import number_rows
 from gistmill.session import ship
 
 QUESTION = "DUMMY DATA"  # fixed value: the constant question of every utterance
@@ -18,7 +18,7 @@ QUESTION = "DUMMY DATA"  # fixed value: the constant question of every utterance
 def number_utterances(df: DataFrame, conversation: Sequence[str], order: Sequence[str], name: str = "res_id") -> DataFrame:
     """Position of an utterance in its conversation, from 1."""
     ship(df.sparkSession)
-    return number_rows(df, conversation, order, name, "utterances", largest_key(df, conversation))
+    return number_rows(df, conversation, order, name, "utterances")
 
 
 def flatten(df: DataFrame, corpus: str, conversation: str, turn: str, text: str) -> DataFrame:

@@ -14,9 +14,6 @@ from gistmill.operators.running import number_rows, running_totals
 from gistmill.operators.topics import TopicModel
 from gistmill.session import ship, stage
 
-# Summaries whose ranks fall into one part of this size stay one paragraph.
-PARAGRAPH_SENTENCES = 10_000
-
 
 def prepare(
     df: DataFrame,
@@ -110,17 +107,12 @@ def two_candidates(
     return by_words, by_share
 
 
-def paragraphs(summary: DataFrame, keys: Sequence[str], part_sentences: int = PARAGRAPH_SENTENCES) -> DataFrame:
-    """Summary text per group. A summary of more than ``part_sentences``
-    sentences comes in numbered parts, to be read one after the other."""
-    part = F.floor((F.col("rank") - 1) / part_sentences).cast("int")
+def paragraphs(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summary text per group: one row, whatever the number of sentences."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "sentence")))
-    return (
-        summary.withColumn("part", part).groupBy(*keys, "part")
-        .agg(
-            F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ").alias("paragraph"),
-            F.sum("og_words").alias("n_words"),
-        )
+    return summary.groupBy(*keys).agg(
+        F.array_join(F.transform(ordered, lambda s: s["sentence"]), " ").alias("paragraph"),
+        F.sum("og_words").alias("n_words"),
     )
 
 

@@ -19,6 +19,7 @@ from gistmill.operators import clean, crawl, evaluate, greedy, scoring, selectio
 from gistmill.plans import corpus
 from gistmill.plans import summarize as plans
 from gistmill.session import ship, stage
+from gistmill.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -235,14 +236,20 @@ def sanitize_pages(t):
     return t.pages.select("page_id", tx.sanitize("html").alias("html"))
 
 
-_BLANKED = "CASE WHEN turn % 5 = 4 THEN NULL WHEN turn % 5 = 3 THEN '  ' || chr(10) || chr(9) ELSE text END"
+# All turns, and for each one more that is null, blank or a missing mark.
+_BLANKED = """(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn + 100000,
+  CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN '  ' || chr(10) || chr(9) ELSE 'NA' END FROM conversations)"""
 
 
-@query(f"SELECT * FROM (SELECT conv_id, turn, {_BLANKED} AS text FROM conversations) b"
-       f" WHERE text IS NOT NULL AND {strip_sql('text')} <> '' AND text <> 'NA'")
+def _with_blanks(t) -> DataFrame:
+    blank = F.when(F.col("turn") % 3 == 0, F.lit(None)).when(F.col("turn") % 3 == 1, F.lit("  \n\t")).otherwise(F.lit("NA"))
+    more = t.conversations.select("conv_id", (F.col("turn") + 100_000).alias("turn"), blank.alias("text"))
+    return t.conversations.select("conv_id", "turn", "text").union(more)
+
+
+@query(f"SELECT * FROM {_BLANKED} b WHERE text IS NOT NULL AND {strip_sql('text')} <> '' AND text <> 'NA'")
 def drop_blank(t):
-    blanked = F.when(F.col("turn") % 5 == 4, F.lit(None)).when(F.col("turn") % 5 == 3, F.lit("  \n\t")).otherwise(F.col("text"))
-    return clean.drop_blank(t.conversations.select("conv_id", "turn", blanked.alias("text")), "text", na_tokens=["NA"])
+    return clean.drop_blank(_with_blanks(t), "text", na_tokens=["NA"])
 
 
 _LISTED = ["eauxpal", "ingthesh", "ungver", "handndre", "ciónadlos", "leauouai"]
@@ -294,13 +301,12 @@ def build_corpus(t):
 
 
 @query(f"""WITH u AS (
-  SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, {_BLANKED} AS text FROM conversations
+  SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, text FROM {_BLANKED} b
 ), present AS (SELECT * FROM u WHERE text IS NOT NULL AND {strip_sql('text')} <> '')
 SELECT conv_id, turn, text AS answer_text FROM present
 WHERE conv_id NOT IN (SELECT conv_id FROM present WHERE {_HOLDS})""")
 def clean_corpus(t):
-    blanked = F.when(F.col("turn") % 5 == 4, F.lit(None)).when(F.col("turn") % 5 == 3, F.lit("  \n\t")).otherwise(F.col("text"))
-    rows = t.conversations.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", blanked.alias("answer_text"))
+    rows = _with_blanks(t).select(F.col("conv_id").cast("string").alias("conv_id"), "turn", F.col("text").alias("answer_text"))
     return corpus.clean_corpus(rows, _LISTED).select("conv_id", "turn", "answer_text")
 
 
@@ -322,10 +328,11 @@ def _index_lines(t):
     return t.events.select("event_id", line.alias("line"))
 
 
-@query(f"SELECT event_id, line, len(string_split(line, '$#$')) AS n_parts FROM (SELECT event_id, {_LINE} AS line FROM events) l"
+@query(f"SELECT event_id, line, len(string_split(line, '$#$')) AS n_parts, line_number"
+       f" FROM (SELECT event_id, {_LINE} AS line, row_number() OVER (ORDER BY event_id, {_LINE}) AS line_number FROM events) l"
        " WHERE len(string_split(line, '$#$')) <> 3")
 def malformed_lines(t):
-    return clean.malformed_lines(_index_lines(t), "line")
+    return clean.malformed_lines(_index_lines(t), "line", ["event_id", "line"])
 
 
 @query(f"SELECT event_id, line FROM (SELECT event_id, {_LINE} AS line FROM events) l"
@@ -335,14 +342,10 @@ def remove_entries(t):
     return clean.remove_entries(_index_lines(t), "line", names, "event_type")
 
 
-@query(f"""SELECT {strip_sql('v')} AS value, id FROM (SELECT ' ' || p_name || CASE WHEN p_size % 4 = 0 THEN ':' ELSE '' END || chr(9) AS v,
-  p_partkey AS id FROM part) p WHERE {strip_sql('v')} <> '' AND NOT regexp_matches(v, '[<>:"/\\\\|?*]')""")
+@query(f"""SELECT {strip_sql('v')} AS value FROM (SELECT ' ' || p_name || CASE WHEN p_size % 4 = 0 THEN ':' ELSE '' END || chr(9) AS v FROM part) p WHERE {strip_sql('v')} <> '' AND NOT regexp_matches(v, '[<>:"/\\\\|?*]')""")
 def clean_list(t):
-    from gistmill.sources.readers import NAME_FORBIDDEN
-
     raw = F.concat(F.lit(" "), "p_name", F.when(F.col("p_size") % 4 == 0, F.lit(":")).otherwise(F.lit("")), F.lit("\t"))
-    lines = t.part.select(raw.alias("value"), F.col("p_partkey").alias("id"))
-    return lines.filter((tx.strip("value") != "") & ~F.col("value").rlike(NAME_FORBIDDEN)).select(tx.strip("value").alias("value"), "id")
+    return readers.clean_list(t.part.select(raw.alias("value")))
 
 
 # --- transcripts and markup ------------------------------------------------
@@ -420,12 +423,10 @@ runs AS (
   SELECT doc_id, unnest(CASE WHEN len(x) % 2 = 1 THEN x ELSE list_append(x[:-3], x[-2] || '**' || x[-1]) END) AS text,
     generate_subscripts(CASE WHEN len(x) % 2 = 1 THEN x ELSE list_append(x[:-3], x[-2] || '**' || x[-1]) END, 1) - 1 AS nth FROM p
 )
-SELECT doc_id, nth % 2 = 1 AS bold, count(*) AS n_runs, sum(length(text))::BIGINT AS n_chars FROM runs
-WHERE text <> '' OR nth % 2 = 1 GROUP BY ALL""")
+SELECT doc_id, nth % 2 = 1 AS bold, text FROM runs WHERE text <> '' OR nth % 2 = 1""")
 def bold_runs(t):
     marked = F.concat(F.lit("**top** "), "text", F.when(F.col("doc_id") % 3 == 0, F.lit("**")).otherwise(F.lit("")))
-    runs = t.documents.select("doc_id", F.inline(tx.bold_runs(marked)))
-    return runs.groupBy("doc_id", "bold").agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.length("text")).alias("n_chars"))
+    return t.documents.select("doc_id", F.inline(tx.bold_runs(marked)))
 
 
 # --- pages -----------------------------------------------------------------
@@ -444,7 +445,7 @@ _BASE_SQL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '')"
 
 
 @query(f"""WITH links AS (
-  SELECT page_id, url, '<a href="/up">u</a><a href="name%20' || page_id || '%C3%A9.corpus.zip">z</a><a href="x.txt">t</a>' AS html FROM pages
+  SELECT page_id, url, '<a href="/up">u</a><a href="name%20' || page_id || '%C3%A9.corpus.zip">z</a><a href="x.txt">t</a>' || html AS html FROM pages
 ), hrefs AS (
   SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos
   FROM (SELECT page_id, url, regexp_extract_all(html, {_HREF_SQL}, 1) AS h FROM links) x
@@ -453,7 +454,7 @@ _BASE_SQL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '')"
 )
 SELECT page_id, pos, 'subreddit-' || left(substr(link, length(base) + 1), length(link) - length(base) - length('.corpus.zip')) AS name FROM decoded""")
 def archive_names(t):
-    html = F.concat(F.lit('<a href="/up">u</a><a href="name%20'), "page_id", F.lit('%C3%A9.corpus.zip">z</a><a href="x.txt">t</a>'))
+    html = F.concat(F.lit('<a href="/up">u</a><a href="name%20'), "page_id", F.lit('%C3%A9.corpus.zip">z</a><a href="x.txt">t</a>'), "html")
     return crawl.archive_names(t.pages.select("page_id", "url", html.alias("html")), ["page_id"])
 
 
@@ -619,6 +620,15 @@ def summary_items(t):
     return plans.summarize(t.documents, ["source"], ["doc_id"], "text", share=0.10, **CHECKED)
 
 
+# Reviews without an order: (source, text) alone. Sentences that differ only in
+# their place have equal scores, so what is checked is what was picked.
+@query(summary_sql(SRC_SEN, "source", "doc_id", "percent", share=0.10,
+                   end=" SELECT {keys}, sentence, round(score, 6) + 0.0 AS score, count(*) AS n FROM picks GROUP BY ALL"))
+def summary_without_order(t):
+    picked = plans.summarize(t.documents, ["source"], [], "text", share=0.10, **CHECKED)
+    return picked.groupBy("source", "sentence", F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(summary_sql("WITH" + sentences_sql("conversations", "turn", "conv_id", "text"), "turn", "conv_id", "percent", gate="total_words > 0"))
 def summary_by_response(t):
     return plans.summarize(t.conversations, ["turn"], ["conv_id"], "text", min_words=0, **CHECKED)
@@ -645,7 +655,7 @@ def summary_level_2(t):
 
 
 @query(summary_sql(CONV_SEN, *CONV, "percent", gate="total_words > 100",
-                   end=" SELECT {keys}, CAST(0 AS BIGINT) AS part, string_agg(sentence, ' ' ORDER BY rank) AS paragraph,"
+                   end=" SELECT {keys}, string_agg(sentence, ' ' ORDER BY rank) AS paragraph,"
                        " CAST(sum(og_words) AS BIGINT) AS n_words FROM picks GROUP BY {keys}"))
 def paragraph(t):
     return plans.paragraphs(summary_percent(t), ["conv_id"])

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+HOT_KEYS = 1000
 _shipped: set[str] = set()
 _own_folders: dict[str, str] = {}
 
@@ -44,11 +48,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: ``spark.checkpoint.dir`` of the
-    session, or a folder of our own where that is unset (local tests)."""
+    """The shared folder for staged tables: ``spark.checkpoint.dir`` of the session,
+    or the checkpoint directory of its context. Where neither is set, a folder of
+    our own, but only with a local master: executors elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
         _own_folders[application] = tempfile.mkdtemp(prefix="gistmill-stage-")
@@ -70,7 +80,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def small_side(df: DataFrame, label: str) -> DataFrame:
     """The smaller side of a join, staged and counted: marked for broadcast up
-    to ``BROADCAST_ROWS`` rows, and beyond that left to a shuffle join."""
+    to ``BROADCAST_ROWS`` rows of ``BROADCAST_BYTES`` in its files together, and
+    beyond that left to a shuffle join."""
     staged = stage(df, label)
-    few = staged.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(staged) if few else staged
+    size = int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(staged) if size <= BROADCAST_BYTES and staged.count() <= BROADCAST_ROWS else staged
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], times: str) -> DataFrame:
+    """Inner join on keys that are unique in ``right``, whose column ``times`` says
+    how many rows of ``left`` have them. Both are read twice, so they should be staged.
+
+    Keys of over a thousandth of all those rows, hence at most a thousand, are
+    joined by broadcast and their rows stay where they are; the rest is shuffled.
+    """
+    keys = list(keys)
+    limit = max(HOT_KEYS, (right.agg(F.sum(times)).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col(times) > limit))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(times) <= limit), keys)
+    return left.join(hot, keys).unionByName(cold)

@@ -143,14 +143,39 @@ def test_listing_scores_sentences_without_terms(spark):
     assert flags.has_positive is (0 < listed[1].score < 100)
 
 
+@pytest.mark.parametrize("redundancy", [0, 1])
+def test_texts_without_an_order(spark, redundancy):
+    texts = [("a", f"Item{i} holds word{i} and other{i} things{i} here now.") for i in range(3)] + [("a", "Item0 holds word0 and other0 things0 here now.")]
+    df = spark.createDataFrame(texts, "asin string, content string")
+    picked = plans.summarize(df, ["asin"], [], "content", share=1.0, redundancy=redundancy, rule="plain", normalize="lower").collect()
+    placed = plans.summarize(
+        spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], "asin string, content string, at int"),
+        ["asin"], ["at"], "content", share=1.0, redundancy=redundancy, rule="plain", normalize="lower",
+    ).collect()
+    assert {r.sentence for r in picked} == {r.sentence for r in placed} and len(picked) == len(placed) >= 3
+    assert sorted(round(r.score, 9) for r in picked) == sorted(round(r.score, 9) for r in placed)
+
+
+def test_hot_keys_stay_in_place(spark, monkeypatch):
+    from gistmill import session
+
+    monkeypatch.setattr(session, "HOT_KEYS", 20)
+    left = spark.createDataFrame([("g", "hot" if i % 2 else f"t{i}", i) for i in range(400)], "g string, term string, i int")
+    right = left.groupBy("g", "term").count().withColumnRenamed("count", "df")
+    joined = session.join_hot(session.stage(left, "left"), session.stage(right, "right"), ["g", "term"], "df")
+    assert sorted(r.i for r in joined.collect()) == list(range(400))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    parts = joined.where("term = 'hot'").rdd.glom().map(len).collect() if left.rdd.getNumPartitions() > 1 else [1]
+    assert max(parts) < 200
+
+
 def test_paragraphs_and_shortening(spark):
     rows = [(1, i, f"a{i} b c d e f g h i j", 10) for i in range(1, 4)]
     summary = spark.createDataFrame(rows, "g int, rank int, sentence string, og_words int")
     assert [r["rank"] for r in plans.shorten_extract(summary, ["g"], 15).orderBy("rank").collect()] == [1, 2]
     whole = plans.paragraphs(summary, ["g"]).first()
     assert whole.paragraph == " ".join(r[2] for r in rows) and whole.n_words == 30
-    parts = plans.paragraphs(summary, ["g"], part_sentences=2).orderBy("part").collect()
-    assert [p.paragraph for p in parts] == [" ".join(r[2] for r in rows[:2]), rows[2][2]]
     text = spark.createDataFrame([(" ".join(r[2] + "." for r in rows),)], "t string")
     short = plans.shorten_text(text, "t", 15, rule="plain").first()
     assert short.n_words == 20 and short.shortened == " ".join(r[2] + "." for r in rows[:2])
