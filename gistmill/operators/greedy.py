@@ -25,7 +25,7 @@ from gistmill.session import BROADCAST_ROWS, small_side, stage
 LOCAL_SENTENCES = 200_000
 
 
-def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sentences: bool, n_topics: int | None, covering: bool):
+def _pick_in_group(keys: Sequence[str], place: Sequence[str], shown: Sequence[str], level: int, by_sentences: bool, n_topics: int | None, covering: bool):
     """Loop over one group (a pandas frame of its sentences)."""
     low, high = sl.MIN_WORDS, sl.MAX_WORDS
 
@@ -140,7 +140,7 @@ def _pick_in_group(keys: Sequence[str], place: Sequence[str], level: int, by_sen
                 np.add.at(sentence_product, owner[touched], new_product - product[touched])
                 np.add.at(sentence_mass, owner[touched], new_mass - mass[touched])
                 product[touched], mass[touched] = new_product, new_mass
-        out = frame.loc[picked, [*place, "sentence", "og_words"]].reset_index(drop=True)
+        out = frame.loc[picked, [*shown, "sentence", "og_words"]].reset_index(drop=True)
         out["score"] = pd.Series(picked_scores, dtype="float64")
         out.insert(0, "rank", np.arange(1, len(picked) + 1, dtype="int32"))
         for i, value in enumerate(key):
@@ -216,16 +216,19 @@ def select_reducing(
     small_totals = totals.filter(F.col("n_sentences") <= local_sentences).select(*keys, "_limit")
     if keywords is not None:
         small = _with_topics(small, keys, place, keywords)
+    # Pandas sorts plain columns only, so the row's identity goes in two.
+    shown = [*order, "sen_pos"]
+    flat = [F.col(f"{tm.ROW}.hash").alias("_hash"), F.col(f"{tm.ROW}.number").alias("_number")] if tm.ROW in place else []
+    local = [*order, *(["_hash", "_number"] if flat else []), "sen_pos"]
     small = small.join(small_totals, keys).select(
-        *keys, *place, "sentence", "og_words", "filt_words", "_limit",
+        *keys, *order, *flat, "sen_pos", "sentence", "og_words", "filt_words", "_limit",
         F.transform("bag", lambda b: b["term"]).alias("terms"),
         F.transform("bag", lambda b: b["tf"]).alias("tfs"),
         *(["n_term_topics", "sen_topics"] if keywords is not None else []),
     )
-    schema = _picked_schema(sentences, keys, place)
-    run = _pick_in_group(keys, place, level, by_sentences, n_topics if keywords is not None else None, variant == "v2")
-    shown = [*keys, "rank", *order, "sen_pos", "sentence", "og_words", "score"]
-    picked = small.groupBy(*keys).applyInPandas(run, schema).select(*shown)
+    schema = _picked_schema(sentences, keys, shown)
+    run = _pick_in_group(keys, local, shown, level, by_sentences, n_topics if keywords is not None else None, variant == "v2")
+    picked = small.groupBy(*keys).applyInPandas(run, schema)
     if not n_large:
         return picked
     big_totals = totals.filter(F.col("n_sentences") > local_sentences)
@@ -236,7 +239,7 @@ def select_reducing(
         big, big_totals, keys, place, level, by_sentences,
         n_topics if keywords is not None else None, variant == "v2",
     )
-    return picked.unionByName(by_rounds.select(*shown))
+    return picked.unionByName(by_rounds.select(*picked.columns))
 
 
 def _pick_by_rounds(

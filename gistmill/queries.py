@@ -644,13 +644,84 @@ def summary_stemmed(t):
     return plans.summarize(t.conversations, ["conv_id"], ["turn"], "text", min_words=100)
 
 
-@query()
+def greedy_sql(sen: str, keys: str, order: str, level: int, limit: int, n_topics: int = 0, gate: str = "TRUE") -> str:
+    """The greedy loop as a recursive CTE: one pick or rejection per group and step.
+    ``n_topics`` scores by the keyword tables ``km`` and ``kw``, covering topics."""
+    place = ", ".join(c for c in (keys, order, "sen_pos") if c)
+    first = ", ".join(c for c in (order, "sen_pos") if c)
+    topical = "JOIN km USING (term)" if n_topics else ""
+    width = f" * (n_term_topics / {float(n_topics)})" if n_topics else ""
+    topics_of = f"""topics_of AS (SELECT {place}, list(DISTINCT topic) AS own FROM tok JOIN kw USING (term) GROUP BY ALL),""" if n_topics else ""
+    own = "own" if n_topics else "NULL::BIGINT[]"
+    weight = f" * (({float(n_topics)} / len(x.own)) / pow(1.25, len(list_intersect(x.own, covered))))" if n_topics else ""
+    left = {0: "cnt", 1: "list_transform(cnt, lambda c, j: c - coalesce(list_filter(x.toks, lambda k: k.t = j)[1].f, 0))",
+            2: "list_transform(cnt, lambda c, j: c / coalesce(list_filter(x.toks, lambda k: k.t = j)[1].f, 1))"}[level]
+    no_terms = "" if n_topics else f"""
+  UNION ALL SELECT {keys}, 1, {first}, sentence, og_words, 1000.0 FROM (
+    SELECT * FROM sen JOIN tot USING ({keys}) WHERE filt_total = 0 AND {gate}
+    QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {first}) = 1) f WHERE og_words BETWEEN 5 AND 29"""
+    return sen.replace("WITH", "WITH RECURSIVE", 1) + f""",
+tok AS (
+  SELECT {place}, term, min(i) AS first, CAST(count(*) AS DOUBLE) AS tf
+  FROM (SELECT {place}, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM sen) u GROUP BY ALL
+), {topics_of}
+tid AS (SELECT {keys}, term, row_number() OVER (PARTITION BY {keys} ORDER BY term) AS t, sum(tf) AS n FROM tok GROUP BY {keys}, term),
+tot AS (SELECT {keys}, CAST(sum(filt_words) AS DOUBLE) AS filt_total, sum(raw_words) AS total_words FROM sen GROUP BY {keys}),
+one AS (
+  SELECT {place}, list(struct_pack(t := t, f := tf, b := (tf / filt_words){width}) ORDER BY first) AS toks
+  FROM tok JOIN tid USING ({keys}, term) JOIN sen USING ({place}) {topical} GROUP BY {place}
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {first}) AS i FROM sen),
+pool AS MATERIALIZED (
+  SELECT {keys}, list(struct_pack(i := i, og := og_words, n := filt_words, s := sentence, toks := toks, own := {own}) ORDER BY i) AS xs
+  FROM numbered JOIN one USING ({place}) {f"JOIN topics_of USING ({place})" if n_topics else ""} GROUP BY {keys}
+),
+rec AS (
+  SELECT {keys}, cnt, filt_total AS total, []::BIGINT[] AS used, 0::BIGINT AS taken, 0 AS rank, NULL::VARCHAR AS last,
+    []::BIGINT[] AS covered, FALSE AS ok, 0::BIGINT AS i, 0::DOUBLE AS score
+  FROM (SELECT {keys}, list(n ORDER BY t) AS cnt FROM tid GROUP BY {keys}) c JOIN tot USING ({keys}) JOIN pool USING ({keys}) WHERE {gate}
+  UNION ALL
+  SELECT {keys}, {left}, total - {"x.n" if level else "0"}, list_append(used, x.i), taken + CASE WHEN pick THEN x.og ELSE 0 END,
+    rank + CAST(pick AS INT), CASE WHEN pick THEN x.s ELSE last END,
+    CASE WHEN pick THEN list_distinct(covered || coalesce(x.own, []::BIGINT[])) ELSE covered END, pick, x.i, best.score
+  FROM (
+    SELECT *, x.og BETWEEN 5 AND 29 AND x.s IS DISTINCT FROM last AS pick FROM (
+      SELECT *, list_filter(xs, lambda y: y.i = best.i)[1] AS x FROM (
+        SELECT *, list_min(list_transform(list_filter(xs, lambda x: NOT list_contains(used, x.i)), lambda x: struct_pack(
+          score := list_sum(list_transform(x.toks, lambda k: CASE WHEN cnt[k.t] > 0 THEN (cnt[k.t] / total) * ln((cnt[k.t] / total) / k.b) ELSE 0 END)){weight} / x.n,
+          i := x.i))) AS best
+        FROM rec JOIN pool USING ({keys}) WHERE taken < {limit} AND len(used) < len(xs)) a) b) c
+)
+SELECT {keys}, CAST(rank AS BIGINT) AS rank, {order + ", " if order else ""}CAST(sen_pos AS BIGINT) AS sen_pos, sentence,
+  CAST(og_words AS BIGINT) AS og_words, round(score, 6) + 0.0 AS score
+FROM (SELECT {keys}, rank, {first}, sentence, og_words, score FROM rec JOIN numbered USING ({keys}, i) WHERE ok{no_terms}) p"""
+
+
+PLAIN = dict(rule="plain", normalize="lower")
+
+
+@query(greedy_sql(CONV_SEN, *CONV, 1, 250))
 def summary_level_1(t):
-    return plans.summarize(t.conversations, ["conv_id"], ["turn"], "text", limit="250", redundancy=1)
+    return plans.summarize(t.conversations, ["conv_id"], ["turn"], "text", limit="250", redundancy=1, **PLAIN)
+
+
+@query(greedy_sql(CONV_SEN, *CONV, 2, 250))
+def summary_level_2_conversations(t):
+    return plans.summarize(t.conversations, ["conv_id"], ["turn"], "text", limit="250", redundancy=2, **PLAIN)
 
 
 @query()
+def summary_level_1_stemmed(t):
+    return plans.summarize(t.conversations, ["conv_id"], ["turn"], "text", limit="250", redundancy=1)
+
+
+@query(greedy_sql(SRC_SEN, "source", "doc_id", 2, 250))
 def summary_level_2(t):
+    return plans.summarize(t.documents, ["source"], ["doc_id"], "text", limit="250", redundancy=2, **PLAIN)
+
+
+@query()
+def summary_level_2_stemmed(t):
     return plans.summarize(t.documents, ["source"], ["doc_id"], "text", limit="250", redundancy=2)
 
 
@@ -734,7 +805,7 @@ def topic_summary_v1(t):
     return plans.summarize(t.documents, ["source"], ["doc_id"], "text", method="topics", share=0.10, model=_given_model(t), **CHECKED)
 
 
-@query()
+@query(greedy_sql(SRC_SEN + _TOPIC_SQL, "source", "doc_id", 0, 250, N_TOPICS))
 def topic_summary_v2(t):
     return plans.summarize(t.documents, ["source"], ["doc_id"], "text", method="topics", variant="v2", limit="250",
                            model=_given_model(t), rule="plain", normalize="lower")
@@ -893,9 +964,25 @@ def choose_candidate(t):
         t.labels.select("doc_id", F.col("quality").alias("readability")), t.labels.select("doc_id", F.col("toxic").alias("readability")), ["doc_id"])
 
 
-@query()
+_TO_CHOOSE = """SELECT conv_id, focus + ratio - 1 + 1 - n_errors / n_words AS readability
+  FROM foc JOIN ratio USING (conv_id) JOIN gram USING (conv_id)"""
+_BY_WORDS = f"WITH picks AS ({greedy_sql(CONV_SEN, *CONV, 2, 250)}){_READ_SQL} {_TO_CHOOSE}"
+_BY_SHARE = f"""WITH picks AS ({summary_sql(CONV_SEN, *CONV, "percent", share=0.10)}){_READ_SQL} {_TO_CHOOSE}"""
+
+
+@query(f"""SELECT conv_id, round(f.readability, 6) + 0.0 AS first_score, round(s.readability, 6) + 0.0 AS second_score,
+  CASE WHEN f.readability > s.readability THEN 'first' ELSE 'second' END AS chosen FROM ({_BY_WORDS}) f LEFT JOIN ({_BY_SHARE}) s USING (conv_id)""")
 def chosen_summaries(t):
-    by_words, by_share = plans.two_candidates(t.conversations, ["conv_id"], ["turn"], "text")
+    return _chosen(t, **PLAIN)
+
+
+@query()
+def chosen_summaries_stemmed(t):
+    return _chosen(t)
+
+
+def _chosen(t, **options) -> DataFrame:
+    by_words, by_share = plans.two_candidates(t.conversations, ["conv_id"], ["turn"], "text", **options)
     first = _readability(stage(_letter_vectors(_with_errors(by_words)), "first"))
     second = _readability(stage(_letter_vectors(_with_errors(by_share)), "second"))
     return evaluate.choose_candidate(first, second, ["conv_id"])
@@ -922,6 +1009,21 @@ def rouge_2(t):
     return evaluate.rouge_n(_said(t, 0), _said(t, 1), ["conv_id", "turn"], n=2)
 
 
-@query()
+# Longest common subsequences, row by row: a fold over one side's words whose
+# state is the last row of the table, itself a fold over the other side's words.
+_LCS_ROW = """list_reduce(list_prepend([0], list_transform(range(1, len(r) + 1), lambda j: [j])), lambda row, j:
+    list_append(row, CASE WHEN r[j[1]] = w THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], row[-1]) END))"""
+
+
+@query(f"""WITH RECURSIVE said AS (SELECT conv_id, turn, {_ROUGE_WORDS.format(words_sql(f"translate(text, {lit(PUNCTUATION)}, '')"))} AS w FROM conversations),
+pairs AS (SELECT a.conv_id, a.turn, a.w AS c, b.w AS r FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+fold AS (
+  SELECT conv_id, turn, c, r, 0 AS i, list_transform(range(0, len(r) + 1), lambda j: 0::BIGINT) AS above FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, c, r, i + 1, {_LCS_ROW.replace("= w", "= c[i + 1]")} FROM fold WHERE i < len(c)
+),
+lcs AS (SELECT conv_id, turn, len(c) AS cn, len(r) AS rn, above[-1] AS b FROM fold WHERE i = len(c))
+SELECT conv_id, turn, round(coalesce(b / nullif(cn, 0), 0), 6) + 0.0 AS "precision", round(coalesce(b / nullif(rn, 0), 0), 6) + 0.0 AS recall,
+  round(CASE WHEN b > 0 THEN 2 * (b / cn) * (b / rn) / (b / cn + b / rn) ELSE 0 END, 6) + 0.0 AS f1 FROM lcs""")
 def rouge_l(t):
     return evaluate.rouge_l(_said(t, 0), _said(t, 1), ["conv_id", "turn"])
