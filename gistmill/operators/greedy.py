@@ -19,13 +19,14 @@ from pyspark.sql import types as T
 
 from gistmill.operators import selection as sl
 from gistmill.operators import terms as tm
+from gistmill.operators.topics import meet_keywords
 from gistmill.operators.scoring import NO_WORDS, measure_groups, relative_entropy
-from gistmill.session import BROADCAST_ROWS, small_side, stage
+from gistmill.session import BROADCAST_ROWS, stage
 
 LOCAL_SENTENCES = 200_000
 
 
-def _pick_in_group(keys: Sequence[str], place: Sequence[str], shown: Sequence[str], level: int, by_sentences: bool, n_topics: int | None, covering: bool):
+def _pick_in_group(keys: Sequence[str], place: Sequence[str], shown: Sequence[str], level: int, by_sentences: bool, topical: bool, given: int | None, covering: bool):
     """Loop over one group (a pandas frame of its sentences)."""
     low, high = sl.MIN_WORDS, sl.MAX_WORDS
 
@@ -33,6 +34,11 @@ def _pick_in_group(keys: Sequence[str], place: Sequence[str], shown: Sequence[st
         import numpy as np
         import pandas as pd
 
+        n_topics = given
+        if topical and n_topics is None:
+            found = frame["_n_topics"].dropna()
+            n_topics = int(found.iloc[0]) if len(found) else 2
+
         frame = frame.sort_values(list(place), kind="stable", ignore_index=True)
         # Sentences with the same terms share their score at all times, so copies
         # form one class: scored once, used up one by one in order.
@@ -168,9 +174,10 @@ def _with_topics(sentences: DataFrame, keys: Sequence[str], place: Sequence[str]
     """Add the topics of each sentence and the number of topics of each term."""
     found = (
         tm.explode_bag(sentences, [*keys, *place])
-        .join(small_side(keywords.select("term", "topics"), "keywords"), "term")
+        .transform(meet_keywords, keywords, keys)
         .groupBy(*keys, *place)
         .agg(
+            *([F.max("n_topics").alias("_n_topics")] if "n_topics" in keywords.columns else []),
             F.map_from_entries(F.collect_list(F.struct("first", F.size("topics")))).alias("_widths"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("sen_topics"),
         )
@@ -225,9 +232,10 @@ def select_reducing(
         F.transform("bag", lambda b: b["term"]).alias("terms"),
         F.transform("bag", lambda b: b["tf"]).alias("tfs"),
         *(["n_term_topics", "sen_topics"] if keywords is not None else []),
+        *(["_n_topics"] if "_n_topics" in small.columns else []),
     )
     schema = _picked_schema(sentences, keys, shown)
-    run = _pick_in_group(keys, local, shown, level, by_sentences, n_topics if keywords is not None else None, variant == "v2")
+    run = _pick_in_group(keys, local, shown, level, by_sentences, keywords is not None, n_topics, variant == "v2")
     picked = small.groupBy(*keys).applyInPandas(run, schema)
     if not n_large:
         return picked
@@ -237,26 +245,27 @@ def select_reducing(
         big = _with_topics(big, keys, place, keywords)
     by_rounds = _pick_by_rounds(
         big, big_totals, keys, place, level, by_sentences,
-        n_topics if keywords is not None else None, variant == "v2",
+        keywords is not None, n_topics, variant == "v2",
     )
     return picked.unionByName(by_rounds.select(*picked.columns))
 
 
 def _pick_by_rounds(
     sentences: DataFrame, totals: DataFrame, keys: list[str], place: list[str],
-    level: int, by_sentences: bool, n_topics: int | None, covering: bool,
+    level: int, by_sentences: bool, topical: bool, n_topics: int | None, covering: bool,
 ) -> DataFrame:
     """The same loop for groups that span tasks: one pick per group and round.
 
     The group's counts, the used sentences and the progress of each group are
     staged tables, replaced every round; sentences stay where they are.
     """
-    topical = n_topics is not None
+    all_topics = F.lit(n_topics) if n_topics is not None else F.col("_n_topics")
+    own_topics = ["_n_topics"] if topical and n_topics is None else []
     item = F.struct(*(F.col(p) for p in place))
     widths = F.col("n_term_topics") if topical else F.transform("bag", lambda b: F.lit(1))
     tokens = sentences.select(
         *keys, item.alias("place"), "og_words", "filt_words",
-        *(["sen_topics"] if topical else []),
+        *(["sen_topics"] if topical else []), *own_topics,
         F.inline(F.zip_with("bag", widths, lambda b, w: F.struct(
             b["first"].alias("first"), b["term"].alias("term"), b["tf"].alias("tf"), w.alias("width")))),
     )
@@ -279,18 +288,19 @@ def _pick_by_rounds(
         pool = tokens if used is None else tokens.join(used, [*keys, "place"], "left_anti")
         part = relative_entropy(
             F.col("count") / F.col("total"),
-            F.col("tf") / F.col("filt_words") * (F.col("width") / F.lit(n_topics) if topical else F.lit(1.0)),
+            F.col("tf") / F.col("filt_words") * (F.col("width") / all_topics if topical else F.lit(1.0)),
         )
         parts = pool.filter("width > 0").join(counts.join(state.select(*keys, "total"), keys), [*keys, "term"])
         scored = parts.groupBy(*keys, "place").agg(
             F.array_sort(F.collect_list(F.struct("first", part.alias("part")))).alias("parts"),
             F.max("og_words").alias("og_words"), F.max("filt_words").alias("filt_words"),
             *([F.max("sen_topics").alias("sen_topics")] if topical else []),
+            *(F.max(c).alias(c) for c in own_topics),
         )
         total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
         if covering:
             scored = scored.join(state.select(*keys, "covered"), keys)
-            total = total * (F.lit(n_topics) / F.size("sen_topics")) / F.pow(
+            total = total * (all_topics / F.size("sen_topics")) / F.pow(
                 F.lit(1.25), F.size(F.array_intersect("sen_topics", "covered")))
         best = scored.groupBy(*keys).agg(
             F.min(F.struct((total / F.col("filt_words")).alias("score"), "place", "og_words", "filt_words",

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators import terms as tm
-from gistmill.session import BROADCAST_ROWS, join_hot, small_side, stage
+from gistmill.operators.topics import meet_keywords
+from gistmill.session import BROADCAST_ROWS, join_hot, stage
 
 NO_WORDS = 1000.0
 
@@ -75,7 +76,7 @@ def _part(method: str, n_topics: int | None) -> Column:
         # 0 * ln 0 has no value: the sentence gets no score.
         return F.when(idf > 0, idf * F.ln(idf / term_frequency(tf, F.col("max_tf"))))
     if method == "topics":
-        c = F.size("topics") / F.lit(n_topics)
+        c = F.size("topics") / (F.col("n_topics") if n_topics is None else F.lit(n_topics))
         return relative_entropy(a, b * c)
     raise ValueError(f"unknown scoring method: {method}")
 
@@ -104,8 +105,7 @@ def score_sentences(
     sentences = sentences.join(totals.select(*keys), keys, "left_semi")
     dictionary = group_dictionary(sentences, keys, totals)
     if method == "topics":
-        keywords = small_side(keywords.select("term", "topics"), "keywords")
-        dictionary = dictionary.join(keywords, "term")
+        dictionary = meet_keywords(dictionary, keywords, keys)
     dictionary = stage(dictionary, "dictionary")
     shown = sentences if candidates is None else sentences.filter(candidates)
     words = ["og_words", "raw_words", "filt_words"]
@@ -116,7 +116,7 @@ def score_sentences(
         # in the join, so there it goes on all of them.
         tokens = tokens.withColumn("sentence", F.when(F.col("first") == 0, F.col("sentence")))
     else:
-        tokens = tokens.join(keywords.select("term"), "term", "left_semi")
+        tokens = meet_keywords(tokens, keywords, keys, "left_semi")
     # A term may be in a third of a large group's sentences: those stay in place.
     parts = join_hot(tokens, dictionary, [*keys, "term"], "df").withColumn("part", _part(method, n_topics))
     ordered = F.array_sort(F.collect_list(F.struct("first", F.coalesce("part", F.lit(float("nan"))).alias("part"))))

@@ -1,27 +1,22 @@
-"""Topic model of a group of texts, and the keyword table used in scoring."""
+"""Topic models of groups of texts, and the keyword table used in scoring."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
 from gistmill.operators.terms import sentence_place
-from gistmill.session import small_side, spread, stage
-
-MAX_VOCABULARY = 1 << 18
+from gistmill.session import ship, small_side, spread, stage
 
 
 class TopicModel(NamedTuple):
-    topics: DataFrame  # topic int, terms array<string>
-    keywords: DataFrame  # term string, topics array<int>
-    n_topics: int
-    n_keywords: int
+    topics: DataFrame | None  # keys, topic int, terms array<string>
+    keywords: DataFrame  # keys, term string, topics array<int>, and n_topics of the group if it has keys
+    n_topics: int | None  # of all groups, where there is one model
 
 
 def topic_terms(df: DataFrame, text: str, name: str = "words") -> DataFrame:
@@ -29,50 +24,94 @@ def topic_terms(df: DataFrame, text: str, name: str = "words") -> DataFrame:
 
 
 def fit_topics(
-    df: DataFrame, text: str, n_topics: int | None = None, n_keywords: int | None = None,
-    seed: int = 42, max_iter: int = 10, vocabulary: int = MAX_VOCABULARY,
+    df: DataFrame, text: str, keys: Sequence[str] = (), n_topics: int | None = None, n_keywords: int | None = None,
+    seed: int = 42, max_iter: int = 8,
 ) -> TopicModel:
-    """Fit one topic model to a table of texts.
-
-    Without ``n_topics`` there is one topic per five texts, and each topic has
-    ``4 + topics / 5`` keywords. The model keeps topics x vocabulary numbers on
-    the driver, so a larger vocabulary than ``vocabulary`` is refused.
+    """Topics of each group of texts, all groups at once; without ``keys`` one
+    model of the whole table.
+
+    Without ``n_topics`` a group has one topic per five texts, and groups of fewer
+    than ten have none; a topic has ``n_keywords`` terms, or ``4 + topics / 5``.
+    The model is latent Dirichlet allocation by sampling: every term of a text has
+    a topic, redrawn in each round among those of its text and one more, in
+    proportion to their weights in text and term. Weights are tables keyed by group,
+    text, topic and term, so neither vocabulary nor topics have a limit. Draws come
+    from hashes, so a run repeats.
     """
-    words = stage(topic_terms(spread(df.select(text).filter(F.col(text).isNotNull())), text).select("words"), "words")
-    n_topics = n_topics if n_topics is not None else int(words.count() / 5)
-    n_keywords = n_keywords if n_keywords is not None else int(4 + n_topics / 5)
-    if n_topics < 2:
-        raise ValueError("a topic model needs at least two topics, that is ten texts")
-    bag = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary + 1).fit(words)
-    terms = bag.vocabulary  # fetched from the JVM on every access
-    if len(terms) > vocabulary:
-        raise ValueError(f"more than {vocabulary} distinct terms; raise the vocabulary limit")
-    counts = stage(bag.transform(words).select("features"), "features")
-    model = LDA(k=n_topics, seed=seed, maxIter=max_iter).fit(counts)
-    spark = df.sparkSession
-    described = [
-        (row.topic, [terms[i] for i in row.termIndices])
-        for row in model.describeTopics(n_keywords).select("topic", "termIndices").collect()
-    ]
-    topics = spark.createDataFrame(described, "topic int, terms array<string>")
-    return TopicModel(topics, keyword_map(topics), n_topics, n_keywords)
-
-
-def keyword_map(topics: DataFrame) -> DataFrame:
-    """Which topics each keyword belongs to."""
+    ship(df.sparkSession)
+    keys = list(keys)
+    row = F.struct(F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("number")).alias("doc")
+    words = stage(topic_terms(spread(df.select(*keys, text).filter(F.col(text).isNotNull())).select(*keys, row, text), text).select(*keys, "doc", "words"), "words")
+    sizes = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("_texts")) if keys else words.agg(F.count(F.lit(1)).alias("_texts"))
+    many = F.floor(F.col("_texts") / 5) if n_topics is None else F.lit(n_topics)
+    terms = F.floor(4 + F.col("n_topics") / 5) if n_keywords is None else F.lit(n_keywords)
+    sizes = sizes.withColumn("n_topics", many.cast("int")).filter("n_topics >= 2").withColumn("_terms", terms.cast("int")).drop("_texts")
+    tokens = words.select(*keys, "doc", F.explode("words").alias("term")).groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    if keys:
+        tokens = tokens.join(small_side(sizes, "topic-sizes"), keys)
+    else:
+        one = sizes.first()
+        if one is None:
+            raise ValueError("a topic model needs at least two topics, that is ten texts")
+        tokens = tokens.withColumn("n_topics", F.lit(one.n_topics)).withColumn("_terms", F.lit(one._terms))
+    draw = lambda salt: F.pmod(F.xxhash64("doc.hash", "term", F.lit(seed * 1000 + salt)), F.col("n_topics")).cast("int")
+    given = stage(tokens.withColumn("topic", draw(0)), "topic-tokens")
+    for turn in range(1, max_iter + 1):
+        in_text = given.groupBy(*keys, "doc", "topic").agg(F.sum("n").alias("_in_text"))
+        in_term = given.groupBy(*keys, "topic", "term").agg(F.sum("n").alias("_in_term"))
+        in_all = in_term.groupBy(*keys, "topic").agg(F.sum("_in_term").alias("_in_all"), F.count(F.lit(1)).alias("_kinds"))
+        base = given.drop("topic")
+        options = base.join(in_text, [*keys, "doc"]).unionByName(base.withColumn("topic", draw(turn)).withColumn("_in_text", F.lit(0).cast("long")))
+        options = options.join(in_term, [*keys, "topic", "term"], "left").join(in_all, [*keys, "topic"], "left")
+        held = lambda c: F.coalesce(F.col(c), F.lit(0))
+        weight = F.log(held("_in_text") + 1 / F.col("n_topics")) + F.log(held("_in_term") + 0.01) - F.log(held("_in_all") + 0.01 * (held("_kinds") + 1))
+        uniform = (F.pmod(F.xxhash64("doc.hash", "term", "topic", F.lit(seed * 1000 + 500 + turn)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        chance = -F.log(-F.log(uniform)) if turn < max_iter else F.lit(0.0)
+        best = F.max(F.struct((weight + chance).alias("w"), (-F.col("topic")).alias("t"))).alias("best")
+        same = ["n", "n_topics", "_terms"]
+        given = stage(
+            options.groupBy(*keys, "doc", "term").agg(best, *(F.first(c).alias(c) for c in same)).select(*keys, "doc", "term", *same, (-F.col("best.t")).alias("topic")),
+            "topic-tokens",
+        )
+    per_group = [*keys, "n_topics", "_terms"]
+    found = given.groupBy(*per_group, "topic", "term").agg(F.sum("n").cast("double").alias("weight"))
+    # Where a topic has too few terms, the group's most frequent ones follow.
+    common = given.groupBy(*per_group, "term").agg(F.sum("n").alias("_n"))
+    common = common.withColumn("_at", F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("_n"), "term"))).filter("_at <= 2 * _terms")
+    fill = common.select(*per_group, F.explode(F.sequence(F.lit(0), F.col("n_topics") - 1)).alias("topic"), "term", (0.01 / F.col("_at")).alias("weight"))
+    weighed = found.unionByName(fill).groupBy(*per_group, "topic", "term").agg(F.sum("weight").alias("weight"))
+    best = Window.partitionBy(*keys, "topic").orderBy(F.desc("weight"), "term")
+    listed = weighed.withColumn("_at", F.row_number().over(best)).filter("_at <= _terms")
+    listed = listed.groupBy(*keys, "n_topics", "topic").agg(F.array_sort(F.collect_list(F.struct("_at", "term"))).alias("_listed"))
+    topics = stage(listed.select(*keys, "n_topics", "topic", F.transform("_listed", lambda x: x["term"]).alias("terms")), "topics")
+    if keys:
+        return TopicModel(topics.drop("n_topics"), keyword_map(topics, [*keys, "n_topics"]), None)
+    return TopicModel(topics.drop("n_topics"), keyword_map(topics), one.n_topics)
+
+
+def keyword_map(topics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Which topics of its group each keyword belongs to."""
     return (
-        topics.select("topic", F.explode("terms").alias("term"))
-        .groupBy("term")
+        topics.select(*keys, "topic", F.explode("terms").alias("term"))
+        .groupBy(*keys, "term")
         .agg(F.array_sort(F.collect_set("topic")).alias("topics"))
     )
 
 
+def meet_keywords(rows: DataFrame, keywords: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with a ``term`` and the topics of it in their group."""
+    own = [k for k in keys if k in keywords.columns]
+    columns = [*own, "term", "topics", *(["n_topics"] if "n_topics" in keywords.columns else [])]
+    side = keywords.select(*(columns if how == "inner" else [*own, "term"]))
+    return rows.join(small_side(side, "keywords"), [*own, "term"], how)
+
+
 def sentence_topics(sentences: DataFrame, keys: Sequence[str], order: Sequence[str], keywords: DataFrame) -> DataFrame:
     """Topics touched by each sentence that holds a keyword."""
     place = [*keys, *sentence_place(sentences, order)]
     return (
         sentences.select(*place, F.explode(F.transform("bag", lambda b: b["term"])).alias("term"))
-        .join(small_side(keywords.select("term", "topics"), "keywords"), "term")
+        .transform(meet_keywords, keywords, keys)
         .groupBy(*place)
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("sen_topics"))
         .select(*keys, *order, "sen_pos", "sen_topics")

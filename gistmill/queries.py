@@ -796,7 +796,7 @@ def topic_scores(t):
 
 
 def _given_model(t) -> topics.TopicModel:
-    return topics.TopicModel(None, _keywords(t), N_TOPICS, 0)
+    return topics.TopicModel(None, _keywords(t), N_TOPICS)
 
 
 @query(_DOC_TOPICS + scores_sql("source", "doc_id", "topics", N_TOPICS) + picks_sql("source", "doc_id", "percent", 0.10, "TRUE", False)
@@ -817,6 +817,17 @@ def fitted_topics(t):
     return model.topics.select("topic", F.explode("terms").alias("term"))
 
 
+@query()
+def group_topics(t):
+    return topics.fit_topics(t.documents, "text", ["source"]).topics.select("source", "topic", F.explode("terms").alias("term"))
+
+
+@query()
+def group_topic_summary(t):
+    model = topics.fit_topics(t.documents, "text", ["source"])
+    return plans.summarize(t.documents, ["source"], ["doc_id"], "text", method="topics", share=0.10, model=model, rule="plain")
+
+
 @query()
 def fitted_topic_summary(t):
     model = topics.fit_topics(t.conversations, "text", n_topics=10)

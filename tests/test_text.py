@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +10,8 @@ def value(spark, column, text):
 
 
 def test_stems():
-    words = "The dancers from Denmark dance a traditional dance".split()
-    assert list(dict.fromkeys(stem(w) for w in words if w not in {"from", "a"})) == [
-        "the", "dancer", "denmark", "danc", "tradit"]
+    words = "Seven sailors carried heavy ladders towards sinking ships".split()
+    assert [stem(w) for w in words] == ["seven", "sailor", "carri", "heavi", "ladder", "toward", "sink", "ship"]
     pairs = {
         "caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "feed": "feed", "agreed": "agre",
         "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat",
@@ -59,14 +56,14 @@ def test_split(spark, text, plain, full):
 
 
 def test_words(spark):
-    sentence = "His name was Jack Jack Black which was crazy since his mother was named Jackie Jack Black"
-    assert value(spark, tx.count_words, sentence) == 17
+    sentence = "Her kettle, an old kettle, whistled and Her cats were whistling"
+    assert value(spark, tx.count_words, sentence) == 11
     words = value(spark, lambda c: tx.stems(tx.drop_stop_words(tx.split_words(tx.strip_punctuation(c)))), sentence)
-    assert words.count("jack") == 3 and words.count("black") == 2 and words.count("jacki") == 1
-    assert "hi" in words  # stop words are case-sensitive: "His" stays
+    # Stop words are case-sensitive: "Her" stays.
+    assert words == ["her", "kettl", "old", "kettl", "whistl", "her", "cat", "whistl"]
     assert value(spark, tx.strip_punctuation, "don't - stop!") == "dont  stop"
     assert value(spark, tx.close_sentence, "so") == "so."
-    assert value(spark, tx.close_sentence, "so…") == "so….".replace("….", "….")
+    assert value(spark, tx.close_sentence, "so…") == "so…."
     assert value(spark, tx.close_sentence, "so!") == "so!"
 
 
@@ -84,9 +81,13 @@ def test_markup(spark):
 
 
 def test_bold_runs_match_pattern(spark):
-    for text in ["", "x", "**a**", "a**b**c**d**e", "**", "a****b", "**a** **b", "***a***"]:
-        pieces = [p for p in re.split(r"(\*\*.*?\*\*)", text) if p]
-        expected = [(p[2:-2], True) if len(p) >= 4 and p.startswith("**") and p.endswith("**") else (p, False) for p in pieces]
+    plain, bold = (lambda t: (t, False)), (lambda t: (t, True))
+    runs = {
+        "": [], "x": [plain("x")], "**a**": [bold("a")], "a**b**c**d**e": [plain("a"), bold("b"), plain("c"), bold("d"), plain("e")],
+        "**": [plain("**")], "a****b": [plain("a"), bold(""), plain("b")], "**a** **b": [bold("a"), plain(" **b")],
+        "***a***": [bold("*a"), plain("*")],
+    }
+    for text, expected in runs.items():
         got = [(r.text, r.bold) for r in value(spark, tx.bold_runs, text)]
         assert got == expected, text
 
@@ -107,8 +108,8 @@ def test_kl_of_fixed_vectors(spark):
 
     from gistmill.operators.scoring import kl_divergence
 
-    p = [0.10, 0.15, 0.05, 0.20, 0.25, 0.10, 0.05, 0.10]
-    q = [0.15, 0.10, 0.20, 0.10, 0.10, 0.05, 0.20, 0.10]
+    p = [0.5, 0.25, 0.125, 0.125]
+    q = [0.25, 0.25, 0.3, 0.2]
     row = spark.createDataFrame([(p, q)], "p array<double>, q array<double>").select(
         kl_divergence("p", "q").alias("pq"), kl_divergence("p", "p").alias("pp")).first()
     assert row.pq == pytest.approx(sum(a * math.log(a / b) for a, b in zip(p, q)))
