@@ -8,23 +8,6 @@ from pyspark.sql import functions as F
 from gistmill.session import stage
 
 
-HOT = 1000
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str, times: str) -> DataFrame:
-    """Inner join on a key that is unique in ``right``, whose column ``times`` says
-    how many rows of ``left`` have it. Both are tables that are cheap to read twice.
-
-    Keys of over a thousandth of all those rows, so at most a thousand, are joined
-    by broadcast and stay where they are; only the others are shuffled.
-    """
-    total = right.agg(F.sum(times)).first()[0] or 0
-    hot = F.broadcast(right.where(F.col(times) > max(HOT, total // HOT)))
-    rest = right.where(F.col(times) <= max(HOT, total // HOT))
-    cold = left.join(hot.select(key), key, "left_anti").join(rest, key)
-    return left.join(hot, key).unionByName(cold)
-
-
 def components(links: DataFrame, label: str = "links", rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``links`` (a long, b long).
 

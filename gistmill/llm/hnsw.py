@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm.words import mix
-from gistmill.session import ship, stage
+from gistmill.llm.words import mix, ready
+from gistmill.session import stage
 
 SHARD = 8192
 QUERY_BLOCK = 1024
@@ -195,7 +195,7 @@ _INDEX = T.StructType([T.StructField("shard", T.LongType()), T.StructField("ids"
 def build_index(vectors: DataFrame, size: int, keep: int) -> DataFrame:
     """One row per shard: ids of each node (the ``keep`` smallest), its vectors and
     the neighbour arrays of its levels, from (vec_id, vector, a, b)."""
-    ship(vectors.sparkSession)
+    ready(vectors.sparkSession)
     least = lambda ids: F.slice(F.sort_array(F.collect_set(ids)), 1, keep)
     # A hot vector's ids are reduced in salted parts first.
     parts = vectors.groupBy("a", "b", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(least("vec_id").alias("ids"), F.first("vector").alias("vector"))
@@ -264,7 +264,7 @@ def nearest(table: DataFrame, is_query: Column, count: int = 20, beam: int = BEA
     query's vec_id are its own; otherwise equal rows are one candidate. Equal
     scores go to the smaller vec_id. Other columns don't matter.
     """
-    spark = ship(table.sparkSession)
+    spark = ready(table.sparkSession)
     rows = table.select("vec_id", "embedding", is_query.alias("_asked"))
     common = rows.groupBy(F.size("embedding").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").first()
     size = common["n"] if common else 1

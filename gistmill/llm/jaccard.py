@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.groups import components
-from gistmill.llm.words import bundles, mix, shingle_sets
-from gistmill.session import ship, stage
+from gistmill.llm.words import bundles, mix, ready, shingle_sets
+from gistmill.session import stage
 
 SEEDS = mix(np.arange(11, 14, dtype=np.uint64))
 CHUNK = 256
@@ -261,7 +261,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     A shingle in more than ``share`` of the documents is frequent: it comes last
     in the order of the second round, which changes the work but not the result.
     """
-    spark = ship(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     profile = stage(texts.mapInArrow(_profile(k, share), "doc_id long, n_shingles long, sum1 long, sum2 long, mins array<long>"), "jaccard-profile")
     sized = profile.where("doc_id is not null")

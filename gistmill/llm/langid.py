@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm.words import mix, ranges, row_slices, span_hashes, word_slices
-from gistmill.session import ship
+from gistmill.llm.words import Slice, ranges, ready, span_hashes, word_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 LONGEST_RUN = 64
 LONGEST_PIECE = 10
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
+ROWS = 1000
 
 #: Bytes that end a run of letters: ASCII other than a-z.
 OUTSIDE = np.ones(256, dtype=bool)
@@ -127,17 +127,23 @@ class Vocabulary:
         return uses
 
 
-def _runs(column: pa.Array, limit: int = 4_000_000):
+def _runs(column: pa.Array):
     """Slices of the lower-cased texts with their runs of letters, long ones cut."""
-    for part in word_slices(pc.utf8_lower(column), limit, OUTSIDE):
-        sizes = part.ends - part.starts
-        if len(sizes) and sizes.max() > LONGEST_RUN:
-            pieces = -(-sizes // LONGEST_RUN)
-            before = np.concatenate([[0], np.cumsum(pieces)])
-            starts = np.repeat(part.starts, pieces) + LONGEST_RUN * ranges(np.zeros(len(pieces), np.int64), pieces)
-            part.ends = np.minimum(starts + LONGEST_RUN, np.repeat(part.ends, pieces))
-            part.starts, part.words = starts, before[part.words]
-        yield part
+    for first in range(0, len(column), ROWS):
+        for part in word_slices(pc.utf8_lower(column.slice(first, ROWS)), outside=OUTSIDE):
+            part.first += first
+            yield _cut(part)
+
+
+def _cut(part: Slice) -> Slice:
+    sizes = part.ends - part.starts
+    if len(sizes) and sizes.max() > LONGEST_RUN:
+        pieces = -(-sizes // LONGEST_RUN)
+        before = np.concatenate([[0], np.cumsum(pieces)])
+        starts = np.repeat(part.starts, pieces) + LONGEST_RUN * ranges(np.zeros(len(pieces), np.int64), pieces)
+        part.ends = np.minimum(starts + LONGEST_RUN, np.repeat(part.ends, pieces))
+        part.starts, part.words = starts, before[part.words]
+    return part
 
 
 def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -145,7 +151,7 @@ def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     sizes = ends - starts
     order = np.argsort(sizes, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-        for some in np.array_split(own, -(-len(own) // 20_000)):
+        for some in np.array_split(own, -(-len(own) // 4000)):
             if len(some):
                 words = np.full((len(some), sizes[some[0]] + 1), 0x20, dtype=np.uint8)
                 words[:, 1:] = data[starts[some][:, None] + np.arange(sizes[some[0]])]
@@ -230,7 +236,7 @@ def identify(docs: DataFrame, per_language: int = 300, vocabulary: str = VOCABUL
     of the added names are replaced. Fitting reads at most ``per_language`` rows
     of each language; ties in the posterior go to the first language in order.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.drop("held_out", "lang_pred", "score")
     sample = sorted(training_rows(docs, per_language).collect(), key=lambda r: r.doc_id)
     languages = sorted({r.lang for r in sample})

@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.groups import components, join_hot
-from gistmill.llm.words import LOWER, Slice, bundles, mix, row_slices, span_hashes
-from gistmill.session import ship, stage
+from gistmill.llm.groups import components
+from gistmill.llm.words import LOWER, Slice, bundles, mix, ready, row_slices, span_hashes
+from gistmill.session import join_hot, stage
 
 RADIUS = 3
 BLOCKS = 4
@@ -252,7 +252,7 @@ def verified(least: float):
 def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> DataFrame:
     """(doc_id, removed, n_checked): the numbers of the lines, from 0, that repeat
     an earlier one of their group, for each document with a line of enough words."""
-    spark = ship(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     lines = stage(texts.mapInArrow(fingerprints(min_words), "line long, doc_id long, pos int, sim long"), "lines")
     kinds = stage(
@@ -284,7 +284,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> D
     kept = kinds.join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     first = kept.groupBy("component").agg(F.min("at").alias("first"), F.sum("times").alias("times")).where("times > 1")
     repeats = stage(kept.select("line", "times", "component").join(first.select("component", "first"), "component").select("line", "times", "first"), "line-repeats")
-    gone = join_hot(lines, repeats, "line", "times").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
+    gone = join_hot(lines, repeats, ["line"], "times").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
 
 

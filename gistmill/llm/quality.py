@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm.words import shingles, word_slices
-from gistmill.session import ship
+from gistmill.llm.words import ready, shingles, word_slices
 
 FORMS = 16**3
 WORDS = 2048
@@ -106,7 +105,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Dat
     With no label to learn from, scores are 0.5. Other columns pass through;
     columns named like the added ones are replaced.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     known = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.join(docs.select("doc_id").where("text is not null").distinct(), "doc_id", "left_semi")

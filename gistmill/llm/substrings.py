@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm.groups import join_hot
-from gistmill.llm.words import PLACE, bundles, mix, powers, ranges, word_slices
-from gistmill.session import ship, stage
+from gistmill.llm.words import PLACE, bundles, mix, powers, ranges, ready, word_slices
+from gistmill.session import join_hot, stage
 
 GRAM = 8
 SHARD_SYMBOLS = 1_500_000
@@ -220,7 +219,7 @@ def repeated_runs(texts: DataFrame, width: int) -> DataFrame:
     array of (start, mask), with bit i of mask for word start + i."""
     found = stage(texts.mapInArrow(_anchors(width), "anchor long, segment long, row long, start int, size int"), "run-segments")
     often = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "run-anchors")
-    shared = stage(join_hot(found, often, "anchor", "n").drop("n"), "run-shared")
+    shared = stage(join_hot(found, often, ["anchor"], "n").drop("n"), "run-shared")
     kinds = shared.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "size")).alias("at"))
     kinds = stage(kinds, "run-kinds")
     whole = kinds.where("times > 1").select("segment", "times", F.expr("shiftleft(1L, at.size) - 1").alias("mask"))
@@ -232,7 +231,7 @@ def repeated_runs(texts: DataFrame, width: int) -> DataFrame:
     partly = contents.mapInArrow(_searched(width), "segment long, mask long")
     whole = whole.unionByName(partly.withColumn("times", F.lit(1).cast("long")))
     masks = stage(whole.groupBy("segment").agg(F.bit_or("mask").alias("mask"), F.max("times").alias("times")), "run-masks")
-    return join_hot(shared, masks, "segment", "times").groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
+    return join_hot(shared, masks, ["segment"], "times").groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
 
 
 def _kept(schema):
@@ -289,7 +288,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """
     if not GRAM < width <= 36:
         raise ValueError("width must be from 9 to 36")
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "runs")
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     runs = repeated_runs(docs.select(key.alias("row"), "text").where("text is not null"), width)

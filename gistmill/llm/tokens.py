@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.session import ship, stage
+from gistmill.llm.words import ready
+
+from gistmill.session import stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before merges, as published with this vocabulary.
@@ -37,7 +39,7 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     Whole texts are encoded, special tokens as ordinary text; null counts as empty.
     Other columns don't matter. An empty table has an empty histogram.
     """
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def count(batches):
         encode = encoder(vocabulary, pattern).encode_ordinary

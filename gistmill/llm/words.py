@@ -13,8 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2_000_000
+from gistmill.session import ship
+
+#: Rows of whole texts in one Arrow batch, where the session has Spark's default.
+BATCH_ROWS = 2000
+SLICE_BYTES = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -49,6 +54,14 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(SLICE_BYTES, 1 << int(size).bit_length()))
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Ship the package, and let batches of whole texts be smaller than Spark's
+    default of 10,000 rows, as they are held by the executor and by Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return ship(spark)
+
+
 @dataclass
 class Slice:
     """Consecutive texts: their bytes, and where rows and words begin and end."""
@@ -82,9 +95,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls are empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.fill_null("") if column.null_count else column
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
@@ -97,6 +111,8 @@ def row_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         last = min(last, rows)
         yield first, offsets[first : last + 1] - offsets[first], data[offsets[first] : offsets[last]]
         first = last
+    # What Arrow keeps for later use counts as an executor's memory.
+    pa.default_memory_pool().release_unused()
 
 
 def word_slices(column: pa.Array, limit: int = SLICE_BYTES, outside: np.ndarray = SPACE) -> Iterator[Slice]:
