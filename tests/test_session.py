@@ -1,17 +1,25 @@
 from types import SimpleNamespace
 
+import pytest
+
 from gistmill import session
 
 
-def stub(folder):
+def stub(folder, master="local[2]", checkpoints=None):
     conf = SimpleNamespace(get=lambda key, default: folder if folder else default)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="app-1"))
+    held = SimpleNamespace(isDefined=lambda: checkpoints is not None, get=lambda: checkpoints)
+    java = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held))
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(applicationId="app-1", master=master, _jsc=java))
 
 
 def test_staging_dir():
     assert session.staging_dir(stub("hdfs://shared/stage")) == "hdfs://shared/stage"
     own = session.staging_dir(stub(None))
     assert own and session.staging_dir(stub(None)) == own
+    assert session.staging_dir(stub(None, "yarn", "hdfs://shared/kept")) == "hdfs://shared/kept"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.staging_dir(stub(None, master))
 
 
 def test_stage_keeps_rows(spark):
