@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from gistmill.session import stage
 
 WEIGHTS = (5, 2, 1)
+#: Words of a shard that one task writes.
+TASK_WORDS = 4_000_000
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -168,18 +170,22 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, level
     """The documents of the mix: a row of ``docs`` for each time it is drawn, with
     ``shard``, ``pass`` and ``words``. A document that is drawn in part has its
     first words, joined by one blank (and their length as ``n_chars``, if there is
-    such a column). Shards are sorted by a hash, which shuffles them.
+    such a column). A shard is as many tasks as its words need, each sorted by a
+    hash, which shuffles it.
 
     Needs distinct doc_ids that are not null; other rows don't enter the mix.
     Columns of ``docs`` named like the added ones are replaced.
     """
     docs = docs.drop("shard", "pass", "words")
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    draws = mix_sources(known, share, cap, levels, seed).select("doc_id", "size", F.explode("draws").alias("_d"))
+    draws = stage(mix_sources(known, share, cap, levels, seed).select("doc_id", "size", F.explode("draws").alias("_d")), "mix-draws")
+    parts = max(1, -(-(draws.agg(F.sum("_d.words")).first()[0] or 0) // (TASK_WORDS << levels)))
     rows = known.join(draws, "doc_id").withColumn("_cut", F.col("_d.words") < F.col("size"))
     own = F.array_join(F.slice(F.split(F.btrim(F.col("text"), F.lit(SPACES)), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.lit(1), F.col("_d.words").cast("int"))), " ")
     rows = rows.withColumn("text", F.when(F.col("_cut"), own).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     rows = rows.select(*docs.columns, F.col("_d.shard").alias("shard"), F.col("_d.pass").alias("pass"), F.col("_d.words").alias("words"))
-    return rows.repartition(1 << levels, "shard").sortWithinPartitions("shard", _key(seed + 1, F.col("doc_id").cast("string"), F.col("pass").cast("string")))
+    local = _key(seed + 1, F.col("doc_id").cast("string"), F.col("pass").cast("string"))
+    part = F.pmod(F.xxhash64("doc_id", "pass"), F.lit(parts))
+    return rows.repartition(parts << levels, "shard", part).sortWithinPartitions("shard", local)
