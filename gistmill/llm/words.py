@@ -18,8 +18,8 @@ from pyspark.sql import SparkSession
 from gistmill.session import ship
 
 #: Rows of whole texts in one Arrow batch, where the session has Spark's default.
-BATCH_ROWS = 2000
-SLICE_BYTES = 1_500_000
+BATCH_ROWS = 1000
+SLICE_BYTES = 700_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
