@@ -1,26 +1,35 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, runs of letters and digits joined by one
-blank) and fingerprinted with a 64-bit SimHash of their distinct words. Fingerprints
-within three bits agree in one of four blocks of 16 bits, so joining on blocks
-finds all of them; edit similarity in words verifies pairs, and of each connected group
-the first occurrence in (doc_id, line) order stays.
+blank). Two are near by edit similarity: in words if the longer one has enough words
+for an edit (ten, at 0.9), else in characters. Near lines share a key: one of the
+first word trigrams in a fixed order (an edit changes three, so of k edits more than
+3k can't change all), or, of short lines, an unchanged piece at about its place.
+So joining on keys finds all of them; the distance decides, and of each connected
+group the first occurrence in (doc_id, line) order stays.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.groups import components
-from gistmill.llm.words import LOWER, Slice, bundles, mix, ready, row_slices, span_hashes
+from gistmill.llm.words import LOWER, PLACE, Slice, bundles, mix, ranges, ready, row_slices, span_hashes
 from gistmill.session import join_hot, stage
 
 RADIUS = 3
 BLOCKS = 4
 CHUNK = 1024
+GRAM = 3
+#: Short lines of so many characters have pieces as keys, longer ones all 8-grams:
+#: from 72 on, edits to a tenth of the characters can't change all of them.
+PIECED = 72
+SEEN = 200_000
 
 #: Bytes outside words of a normalised line: ASCII that is no letter or digit.
 OUTSIDE = np.ones(256, dtype=bool)
@@ -50,7 +59,8 @@ def _lines(column: pa.Array):
 
 
 def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of word hashes; a run must not be empty."""
+    """64-bit SimHash of each run of word hashes; a run must not be empty. Only tests
+    use it."""
     out = np.zeros(len(offsets) - 1, dtype=np.uint64)
     step = 200_000
     first = 0
@@ -66,16 +76,11 @@ def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each run. Were words counted as often as they occur,
-    the frequent words of a language would decide the fingerprint of a long line."""
-    run = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.argsort(hashes, kind="stable")
-    order = order[np.argsort(run[order], kind="stable")]
-    hashes, run = hashes[order], run[order]
-    first = np.ones(len(hashes), dtype=bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (run[1:] != run[:-1])
-    return hashes[first], np.searchsorted(run[first], np.arange(len(offsets)))
+def _line_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each run of word hashes, given the runs' lengths (none of 0)."""
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    place = np.arange(len(hashes)) - np.repeat(offsets[:-1], counts)
+    return mix(np.add.reduceat(mix(hashes + mix(place)), offsets[:-1]) + counts.astype(np.uint64))
 
 
 def fingerprints(min_words: int):
@@ -91,26 +96,128 @@ def fingerprints(min_words: int):
                 if not len(keep):
                     continue
                 # Words of skipped lines are left out, so runs follow each other.
-                word_kept = np.repeat(counts >= min_words, counts)
-                own = hashes[word_kept]
-                offsets = np.concatenate([[0], np.cumsum(counts[keep])])
-                place = np.arange(len(own)) - np.repeat(offsets[:-1], counts[keep])
-                line = mix(np.add.reduceat(mix(own + mix(place)), offsets[:-1]) + counts[keep].astype(np.uint64))
+                line = _line_hashes(hashes[np.repeat(counts >= min_words, counts)], counts[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(line.view(np.int64)),
-                        pa.array(ids[owner[keep]], pa.int64()),
-                        pa.array(number[keep].astype(np.int32)),
-                        pa.array(simhash(*_distinct(own, offsets)).view(np.int64)),
-                    ],
-                    names=["line", "doc_id", "pos", "sim"],
+                    [pa.array(line.view(np.int64)), pa.array(ids[owner[keep]], pa.int64()), pa.array(number[keep].astype(np.int32))],
+                    names=["line", "doc_id", "pos"],
                 )
 
     return run
 
 
+def edits(n, least: float):
+    """The most edits between something of length ``n`` and a longer one near it."""
+    return np.floor(n * ((1 - least) / least) + 1e-9).astype(np.int64)
+
+
+def word_limit(least: float) -> int:
+    """From so many words of the longer line on, near is measured in words."""
+    return int(np.ceil(1 / (1 - least) - 1e-9))
+
+
+def _parity(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of each run of hashes: whether an odd number of them falls on the bit.
+    An edit of one changes two bits at most."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (values >> np.uint64(58)), offsets)
+
+
+def _gram_keys(hashes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, least: float):
+    """(run, key) of runs of words, given their hashes, sizes in bytes and how many
+    each run has: the first trigrams, of which near runs share one. Those of long
+    words come first, since they are rarer; any fixed order would do."""
+    grams, length = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.int64)
+    for j in range(GRAM):
+        grams[: len(grams) - j] += hashes[j:] * PLACE[j]
+        length[: len(length) - j] += sizes[j:]
+    many = counts - GRAM + 1
+    at = ranges(np.cumsum(counts) - counts, many)
+    rank = np.uint64(127) - np.minimum(length[at], 127).astype(np.uint64)
+    key = np.uint64(1 << 63) | rank << np.uint64(56) | mix(grams[at]) >> np.uint64(8)
+    run = np.repeat(np.arange(len(counts)), many)
+    order = np.lexsort((key, run))
+    run, key = run[order], key[order]
+    first = np.cumsum(many) - many
+    kept = np.arange(len(run)) - first[run] <= GRAM * edits(counts, least)[run]
+    kept[1:] &= (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+    return run[kept], key[kept]
+
+
+def piece_keys(text: str, least: float) -> set[int]:
+    """Keys of a short line, of which lines with near characters share one.
+
+    A line is cut in one piece more than it may have edits, so one piece is
+    unchanged in a near line. The longer line looks for it where as many edits
+    before and after it as there are pieces could have moved it.
+    """
+    size = len(text)
+    found = set()
+    for own in range(size - int((1 - least) * size + 1e-9), min(size + 1, PIECED)):
+        most = int(edits(own, least))
+        if not most:
+            continue
+        cuts, more = [own * i // (most + 1) for i in range(most + 2)], size - own
+        for i in range(most + 1):
+            long = cuts[i + 1] - cuts[i]
+            low = max(0, cuts[i] - i, cuts[i] + more - (most - i))
+            high = min(size - long, cuts[i] + i, cuts[i] + more + (most - i))
+            for at in range(low, high + 1):
+                found.add((own << 8 | i) << 32 | zlib.crc32(text[at : at + long].encode()))
+    if size >= PIECED:
+        found |= {1 << 61 | zlib.crc32(text[i : i + 8].encode()) for i in range(size - 7)}
+    return found
+
+
+def keys(min_words: int, least: float):
+    """Arrow function: texts to (key, line, n, parity) of lines of enough words. Keys
+    below 0 are of trigrams, where n and parity are of words, others of characters."""
+    limit = word_limit(least)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for part, _, _ in _lines(batch.column("text")):
+                counts = np.diff(part.words)
+                keep = np.flatnonzero(counts >= min_words)
+                if not len(keep):
+                    continue
+                hashes = span_hashes(part.data, part.starts, part.ends)
+                line = _line_hashes(hashes[np.repeat(counts >= min_words, counts)], counts[keep])
+                # A line that repeats in this task is not sent again.
+                line, at = np.unique(line, return_index=True)
+                new = np.array([x not in seen for x in line.tolist()], dtype=bool)
+                line, keep = line[new], keep[at[new]]
+                seen = set() if len(seen) > SEEN else seen
+                seen.update(line.tolist())
+                rows = []
+                own = counts[keep] >= max(GRAM, limit - 1)
+                if own.any():
+                    many, begin = counts[keep[own]], part.words[:-1][keep[own]]
+                    word = ranges(begin, many)
+                    which, key = _gram_keys(hashes[word], (part.ends - part.starts)[word], many, least)
+                    parity = _parity(hashes[word], np.cumsum(many) - many)
+                    rows.append((key.view(np.int64), line[own][which], many[which], parity[which]))
+                for i in np.flatnonzero(counts[keep] < limit).tolist():
+                    text = normal(part.data[part.rows[keep[i]] : part.rows[keep[i] + 1]])
+                    key = np.fromiter(piece_keys(text, least), np.int64)
+                    if len(key):
+                        parity = _parity(mix(_codes(text)), np.zeros(1, np.int64))
+                        rows.append((key, np.repeat(line[i], len(key)), np.repeat(len(text), len(key)), np.repeat(parity, len(key))))
+                if rows:
+                    key, own, n, parity = (np.concatenate(x) for x in zip(*rows))
+                    columns = [key, own.view(np.int64), n.astype(np.int32), parity.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "line", "n", "parity"])
+
+    return run
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+
+
 def _near(sims: np.ndarray):
-    """(a, all b > a within the radius), for each fingerprint that has such b.
+    """For tests that compare fingerprints; the operator uses ``close``.
+
+    (a, all b > a within the radius), for each fingerprint that has such b.
 
     In a large set, the bits that differ at all are cut in BLOCKS parts: within
     the radius, one part is equal again. Pairs may then come more than once.
@@ -137,40 +244,61 @@ def _near(sims: np.ndarray):
                         yield int(run[first + i]), near
 
 
-def clusters(batches):
-    """Arrow function: block rows sorted by ``block`` to (cluster, line) rows, for
-    lines that have another within the radius in their block. A cluster is
-    connected by such pairs and named after its smallest line."""
-    for table in bundles(batches, "block"):
-        block = table.column("block").to_numpy()
-        line = table.column("line").to_numpy()
-        sims = table.column("sim").to_numpy().view(np.uint64)
-        borders = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-        names, members = [], []
-        for first, last in zip(borders[:-1], borders[1:]):
-            if last - first < 2:
-                continue
-            root = None
-            for a, near in _near(sims[first:last]):
-                root = np.arange(last - first) if root is None else root
-                others = np.unique(root[near])
-                if len(others) > 1 or others[0] != root[a]:
-                    root[np.isin(root, others)] = root[a]
-            if root is None:
-                continue
-            size = np.bincount(root, minlength=len(root))
-            least = np.full(len(root), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, line[first:last])
-            kept = size[root] > 1
-            names.append(least[root[kept]])
-            members.append(line[first:last][kept])
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], names=["cluster", "line"])
-
-
-def edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """Levenshtein distance of word lists by bit vectors; stops once it must exceed
-    ``most``."""
+def close(n: np.ndarray, parity: np.ndarray, least: float):
+    """(a, all b > a that may be near), for each a that has such b, of rows sorted by
+    n: as many edits as the longer one may have can make up for what differs."""
+    most = np.floor((1 - least) * n + 1e-9).astype(np.int64)
+    ends = np.searchsorted(n - most, n, side="right")
+    for first in range(0, len(n), 256):
+        last = min(first + 256, len(n))
+        end = int(ends[last - 1])
+        fit = np.bitwise_count(parity[first:last, None] ^ parity[None, first:end]) <= 2 * most[None, first:end]
+        fit &= n[None, first:end] - n[first:last, None] <= most[None, first:end]
+        a, b = np.nonzero(fit)
+        a, b = a[b > a], b[b > a]
+        for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
+            yield first + int(a[own[0]]), first + b[own]
+
+
+def clusters(least: float):
+    """Arrow function: rows sorted by ``key`` and ``n`` to those (cluster, short, line,
+    n, parity) that may be near another of their key. A cluster is connected by such
+    pairs and named after its smallest line."""
+
+    def run(batches):
+        for table in bundles(batches, "key"):
+            key, line, n = (table.column(x).to_numpy() for x in ("key", "line", "n"))
+            parity = table.column("parity").to_numpy().view(np.uint64)
+            borders = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+            names, members = [], []
+            for first, last in zip(borders[:-1], borders[1:]):
+                if last - first < 2:
+                    continue
+                root = None
+                for a, near in close(n[first:last], parity[first:last], least):
+                    root = np.arange(last - first) if root is None else root
+                    others = np.unique(root[near])
+                    if len(others) > 1 or others[0] != root[a]:
+                        root[np.isin(root, others)] = root[a]
+                if root is None:
+                    continue
+                size = np.bincount(root, minlength=len(root))
+                smallest = np.full(len(root), np.iinfo(np.int64).max)
+                np.minimum.at(smallest, root, line[first:last])
+                kept = np.flatnonzero(size[root] > 1)
+                names.append(smallest[root[kept]])
+                members.append(first + kept)
+            if names:
+                at = np.concatenate(members)
+                columns = [np.concatenate(names), key[at] >= 0, line[at], n[at], table.column("parity").to_numpy()[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["cluster", "short", "line", "n", "parity"])
+
+    return run
+
+
+def edit_distance(a: list[str] | str, b: list[str] | str, most: int) -> int:
+    """Levenshtein distance of word lists, or of strings in characters, by bit
+    vectors; stops once it must exceed ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     if not a or not b:
@@ -197,14 +325,14 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int:
     return score
 
 
-def similar(a: list[str], b: list[str], least: float) -> bool:
-    """Edit similarity, 1 - distance / longer length in words, of at least ``least``."""
+def similar(a: list[str] | str, b: list[str] | str, least: float) -> bool:
+    """Edit similarity, 1 - distance / longer length, of at least ``least``."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
     return edit_distance(a, b, most) <= most
 
 
-def normal(data: bytes) -> str:
+def normal(data: bytes | np.ndarray) -> str:
     """The words of a line, as ``fingerprints`` sees them, joined by blanks."""
     kept = np.frombuffer(data, dtype=np.uint8)
     kept = np.where(OUTSIDE[LOWER[kept]], np.uint8(0x20), LOWER[kept])
@@ -224,20 +352,20 @@ def _texts(batches):
 
 
 def verified(least: float):
-    """Arrow function: rows sorted by ``group`` to links that join them, by edit
-    similarity of pairs within the radius. Joined pairs are not compared again."""
+    """Arrow function: rows sorted by ``group`` and ``n`` to links that join them, by
+    edit similarity. Joined pairs are not compared again."""
 
     def run(batches):
         for table in bundles(batches, "group"):
-            group = table.column("group").to_numpy()
-            line = table.column("line").to_numpy()
-            sims = table.column("sim").to_numpy().view(np.uint64)
-            words = [x.split(" ") for x in table.column("words").to_pylist()]
+            group, line, n = (table.column(x).to_numpy() for x in ("group", "line", "n"))
+            parity = table.column("parity").to_numpy().view(np.uint64)
+            short = table.column("short").to_pylist()
+            words = [x if own else x.split(" ") for x, own in zip(table.column("words").to_pylist(), short)]
             borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
             left, right = [], []
             for first, last in zip(borders[:-1].tolist(), borders[1:].tolist()):
                 root = np.arange(last - first)
-                for a, near in _near(sims[first:last]):
+                for a, near in close(n[first:last], parity[first:last], least):
                     while len(near := near[root[near] != root[a]]):
                         b, near = int(near[0]), near[1:]
                         if similar(words[first + a], words[first + b], least):
@@ -250,34 +378,34 @@ def verified(least: float):
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> DataFrame:
-    """(doc_id, removed, n_checked): the numbers of the lines, from 0, that repeat
-    an earlier one of their group, for each document with a line of enough words."""
+    """(doc_id, removed): the numbers of the lines, from 0, that repeat an earlier
+    one of their group, for each document that has such lines."""
+    if not 0.9 <= least < 1:
+        raise ValueError("least must be from 0.9 to below 1")
     spark = ready(docs.sparkSession)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    lines = stage(texts.mapInArrow(fingerprints(min_words), "line long, doc_id long, pos int, sim long"), "lines")
-    kinds = stage(
-        lines.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.min("sim").alias("sim"), F.count("*").alias("times")), "line-kinds"
-    )
-    width = 64 // BLOCKS
-    keys = F.array(*[F.shiftleft(F.lit(i).cast("long"), width) + F.shiftrightunsigned("sim", width * i).bitwiseAND((1 << width) - 1) for i in range(BLOCKS)])
-    blocks = kinds.select(F.explode(keys).alias("block"), "line", "sim").repartition("block").sortWithinPartitions("block")
-    found = stage(blocks.mapInArrow(clusters, "cluster long, line long").distinct(), "line-clusters")
+    lines = stage(texts.mapInArrow(fingerprints(min_words), "line long, doc_id long, pos int"), "lines")
+    kinds = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("times")), "line-kinds")
+    keyed = texts.select("text").mapInArrow(keys(min_words, least), "key long, line long, n int, parity long")
+    keyed = keyed.repartition("key").dropDuplicates(["key", "line"]).sortWithinPartitions("key", "n")
+    found = stage(keyed.mapInArrow(clusters(least), "cluster long, short boolean, line long, n int, parity long").distinct(), "line-clusters")
     # The words of lines that have a candidate, read once from their first place.
     places = found.select("line").distinct().join(kinds, "line").groupBy(F.col("at.doc_id").alias("doc_id"))
     wanted = places.agg(F.collect_list(F.struct("line", F.col("at.pos").alias("pos"))).alias("wanted"))
-    words = texts.join(wanted, "doc_id").mapInArrow(_texts, "line long, words string").join(kinds.select("line", "sim"), "line")
+    words = texts.join(wanted, "doc_id").mapInArrow(_texts, "line long, words string")
     # A large cluster is compared chunk by chunk, each pair of chunks in one group.
-    sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    sizes = found.groupBy("cluster", "short").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("line"), F.col("chunks")).cast("int")
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
+    group = F.xxhash64("cluster", "short", F.least("_own", "_other"), F.greatest("_own", "_other"))
     rows = (
-        found.join(sizes, "cluster")
+        found.join(sizes, ["cluster", "short"])
         .join(words, "line")
         .withColumn("_own", own)
         .withColumn("_other", F.explode(others))
-        .select(F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "line", "sim", "words")
+        .select(group.alias("group"), "short", "line", "n", "parity", "words")
         .repartition("group")
-        .sortWithinPartitions("group", "line")
+        .sortWithinPartitions("group", "n", "line")
     )
     links = rows.mapInArrow(verified(least), "a long, b long")
     groups = components(links, "line-links")
@@ -292,6 +420,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> Data
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines`` (before)
     and ``n_removed``. ``n_chars``, if there is one, becomes the new length.
 
+    A line goes if an earlier one is near it, or is joined to it by near ones: edit
+    similarity of at least ``least`` (0.9 to below 1), in words where the longer line
+    has 1 / (1 - least) or more, else in characters.
+
     Lines end at line feeds. Those of fewer than ``min_words`` words (runs of
     letters and digits) stay and are not compared. A null text stays null with
     0 lines, an empty one has one empty line; a row without doc_id stays as it

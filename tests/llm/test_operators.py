@@ -511,6 +511,75 @@ def test_line_dedup_odd_rows(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def edit_row(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def all_near_lines(docs, least=0.9):
+    """Removed lines by edit similarity of all pairs, without any fingerprint."""
+    where = defaultdict(list)
+    for d, t in docs:
+        for i, line in enumerate(t.split("\n")):
+            if len(w := re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.translate(LOWER))) >= 3:
+                where[tuple(w)].append((d, i))
+    kinds = list(where)
+
+    def near(a, b):
+        a, b = kinds[a], kinds[b]
+        a, b = (a, b) if max(len(a), len(b)) >= 10 else (" ".join(a), " ".join(b))
+        most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+        return abs(len(a) - len(b)) <= most and edit_row(a, b) <= most
+
+    groups, gone = defaultdict(list), defaultdict(set)
+    for i, g in grouped(range(len(kinds)), near).items():
+        groups[g] += where[kinds[i]]
+    for places in groups.values():
+        for d, i in sorted(places)[1:]:
+            gone[d].add(i)
+    return gone
+
+
+def test_line_dedup_finds_all_near_lines(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choices("abcdefghé", k=rng.randint(2, 9))) for _ in range(150)]
+    base = [rng.choices(names, k=rng.choice([3, 5, 8, 9, 9, 10, 11, 19, 20, 30, 50])) for _ in range(70)]
+    docs = []
+    for d in range(60):
+        own = []
+        for _ in range(5):
+            line = list(rng.choice(base))
+            for _ in range(rng.randint(0, max(1, len(line) // 9))):
+                at, kind = rng.randrange(len(line)), rng.random()
+                line[at : at + (kind < 0.7)] = [] if kind < 0.2 else ["other"] if kind < 0.4 else [line[at][1:] + rng.choice("xyz")]
+            own.append(" ".join(line))
+        docs.append((d, "\n".join(own)))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame(spark, docs, "doc_id long, text string")).collect()}
+    gone = all_near_lines(docs)
+    assert sum(map(len, gone.values())) > 100
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
+
+
+def test_near_short_lines_share_a_key():
+    rng = random.Random(13)
+    tried = 0
+    for _ in range(2000):
+        a = "".join(rng.choices("abcd ", k=rng.randint(5, 110)))
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) // 9))):
+            at, kind = rng.randrange(len(b) + 1), rng.random()
+            b[at : at + (kind > 0.3)] = rng.choice("xyz") if kind < 0.7 else ""
+        b = "".join(b)
+        if a != b and edit_row(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            tried += 1
+            assert lines.piece_keys(a, 0.9) & lines.piece_keys(b, 0.9)
+    assert tried > 1000
+
+
 def test_near_finds_all_pairs_of_a_large_set():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
