@@ -6,7 +6,8 @@ for an edit (ten, at 0.9), else in characters. Near lines share a key: one of th
 first word trigrams in a fixed order (an edit changes three, so of k edits more than
 3k can't change all), or, of short lines, an unchanged piece at about its place.
 So joining on keys finds all of them; the distance decides, and of each connected
-group the first occurrence in (doc_id, line) order stays.
+group the first occurrence in (doc_id, line) order stays. Lines of very few words have
+no keys and are grouped by equal words alone.
 """
 
 from __future__ import annotations
@@ -83,26 +84,21 @@ def _line_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(hashes + mix(place)), offsets[:-1]) + counts.astype(np.uint64))
 
 
-def fingerprints(min_words: int):
-    """Arrow function: (doc_id, text) to one row per line of enough words."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for part, owner, number in _lines(batch.column("text")):
-                hashes = span_hashes(part.data, part.starts, part.ends)
-                counts = np.diff(part.words)
-                keep = np.flatnonzero(counts >= min_words)
-                if not len(keep):
-                    continue
-                # Words of skipped lines are left out, so runs follow each other.
-                line = _line_hashes(hashes[np.repeat(counts >= min_words, counts)], counts[keep])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(line.view(np.int64)), pa.array(ids[owner[keep]], pa.int64()), pa.array(number[keep].astype(np.int32))],
-                    names=["line", "doc_id", "pos"],
-                )
-
-    return run
+def fingerprints(batches):
+    """Arrow function: (doc_id, text) to one row per line that has a word."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for part, owner, number in _lines(batch.column("text")):
+            hashes = span_hashes(part.data, part.starts, part.ends)
+            counts = np.diff(part.words)
+            keep = np.flatnonzero(counts)
+            if not len(keep):
+                continue
+            line = _line_hashes(hashes, counts[keep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(line.view(np.int64)), pa.array(ids[owner[keep]], pa.int64()), pa.array(number[keep].astype(np.int32))],
+                names=["line", "doc_id", "pos"],
+            )
 
 
 def edits(n, least: float):
@@ -384,7 +380,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> D
         raise ValueError("least must be from 0.9 to below 1")
     spark = ready(docs.sparkSession)
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    lines = stage(texts.mapInArrow(fingerprints(min_words), "line long, doc_id long, pos int"), "lines")
+    lines = stage(texts.mapInArrow(fingerprints, "line long, doc_id long, pos int"), "lines")
     kinds = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("times")), "line-kinds")
     keyed = texts.select("text").mapInArrow(keys(min_words, least), "key long, line long, n int, parity long")
     keyed = keyed.repartition("key").dropDuplicates(["key", "line"]).sortWithinPartitions("key", "n")
@@ -425,7 +421,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> Data
     has 1 / (1 - least) or more, else in characters.
 
     Lines end at line feeds. Those of fewer than ``min_words`` words (runs of
-    letters and digits) stay and are not compared. A null text stays null with
+    letters and digits) go only if an earlier one has the same words, and those
+    without words stay. A null text stays null with
     0 lines, an empty one has one empty line; a row without doc_id stays as it
     is. doc_ids should be unique: rows that share one lose the same lines. Other
     columns pass through, also ones named like the added ones, which are replaced.

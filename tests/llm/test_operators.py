@@ -525,12 +525,14 @@ def all_near_lines(docs, least=0.9):
     where = defaultdict(list)
     for d, t in docs:
         for i, line in enumerate(t.split("\n")):
-            if len(w := re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.translate(LOWER))) >= 3:
+            if w := re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.translate(LOWER)):
                 where[tuple(w)].append((d, i))
     kinds = list(where)
 
     def near(a, b):
         a, b = kinds[a], kinds[b]
+        if min(len(a), len(b)) < 3:
+            return False
         a, b = (a, b) if max(len(a), len(b)) >= 10 else (" ".join(a), " ".join(b))
         most = int((1 - least) * max(len(a), len(b)) + 1e-9)
         return abs(len(a) - len(b)) <= most and edit_row(a, b) <= most
@@ -580,6 +582,12 @@ def test_near_short_lines_share_a_key():
     assert tried > 1000
 
 
+def test_line_dedup_removes_copies_of_very_short_lines(spark):
+    docs = [(1, "Read more\nSome text of one\n---\nread"), (2, "* READ more!\n---\nRead mode\nRead"), (3, "Read, more\n\nmore read\n\nread")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("---\nRead mode", 2), 3: ("\nmore read\n", 2)}
+
+
 def test_near_finds_all_pairs_of_a_large_set():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
