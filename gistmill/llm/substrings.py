@@ -7,7 +7,8 @@ Segments whose anchor is found once can't repeat; equal segments repeat whole;
 what is left, different segments of one anchor, goes by anchor to shards. A shard
 has a compressed FM-index of its segments (a wavelet matrix over the
 Burrows-Wheeler transform of 4-bit word symbols), in which backward search finds
-the windows that occur more than once; their word hashes confirm it.
+the windows that occur more than once; their word hashes confirm it. An anchor whose
+segments are more than a shard has no index: its windows are counted by word hashes.
 """
 
 from __future__ import annotations
@@ -214,6 +215,28 @@ def _searched(width: int):
     return run
 
 
+def _windows(width: int):
+    """Arrow function: segments to (window, segment, mask), for each window the hash
+    of its words and its bits in the segment."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("words")
+            ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+            data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
+            starts, counts = (ends[:-1] - ends[0]) // 8, np.diff(ends) // 8 - width + 1
+            first = ranges(starts, counts)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            mask = np.uint64((1 << width) - 1) << (first - starts[owner]).astype(np.uint64)
+            window = _sequence_hashes(mix(data), first, np.full(len(first), width))
+            columns = [window.view(np.int64), batch.column("segment").to_numpy()[owner], mask.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "segment", "mask"])
+
+    return run
+
+
 def repeated_runs(texts: DataFrame, width: int) -> DataFrame:
     """(row, runs): for each text (row, text), the words in repeated windows as an
     array of (start, mask), with bit i of mask for word start + i."""
@@ -223,12 +246,22 @@ def repeated_runs(texts: DataFrame, width: int) -> DataFrame:
     kinds = shared.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.min(F.struct("row", "start", "size")).alias("at"))
     kinds = stage(kinds, "run-kinds")
     whole = kinds.where("times > 1").select("segment", "times", F.expr("shiftleft(1L, at.size) - 1").alias("mask"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("at.size").alias("symbols")).where("n > 1")
+    mixed = stage(mixed.select("anchor", (F.col("symbols") > SHARD_SYMBOLS).alias("large")), "run-mixed")
     wanted = F.collect_list(F.struct("anchor", "segment", "times", F.col("at.start").alias("start"), F.col("at.size").alias("size")))
-    wanted = kinds.join(mixed, "anchor").groupBy("at.row").agg(wanted.alias("wanted"))
-    contents = texts.join(wanted, "row").select("text", "wanted").mapInArrow(_contents, "anchor long, segment long, times long, words binary")
-    contents = contents.repartition("anchor").sortWithinPartitions("anchor", "segment")
-    partly = contents.mapInArrow(_searched(width), "segment long, mask long")
+
+    def contents(anchors):
+        rows = kinds.join(anchors.select("anchor"), "anchor").groupBy("at.row").agg(wanted.alias("wanted"))
+        return texts.join(rows, "row").select("text", "wanted").mapInArrow(_contents, "anchor long, segment long, times long, words binary")
+
+    shards = contents(mixed.where("not large")).repartition("anchor").sortWithinPartitions("anchor", "segment")
+    partly = shards.mapInArrow(_searched(width), "segment long, mask long")
+    # An anchor of more than a shard would be one task: its windows meet one by one.
+    large = mixed.where("large")
+    if not large.isEmpty():
+        windows = stage(contents(large).mapInArrow(_windows(width), "window long, segment long, mask long"), "run-windows")
+        again = stage(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "run-again")
+        partly = partly.unionByName(join_hot(windows, again, ["window"], "n").select("segment", "mask"))
     whole = whole.unionByName(partly.withColumn("times", F.lit(1).cast("long")))
     masks = stage(whole.groupBy("segment").agg(F.bit_or("mask").alias("mask"), F.max("times").alias("times")), "run-masks")
     return join_hot(shared, masks, ["segment"], "times").groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))

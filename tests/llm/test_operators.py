@@ -444,6 +444,39 @@ def test_quality_learns_form(spark):
     assert quality.score_quality(df.limit(0), marks).count() == 0
 
 
+def test_anchors_of_more_than_a_shard_are_spread(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(20)]
+    tail = [word() for _ in range(12)]
+    texts = []
+    for i in range(80):
+        after = tail if i % 3 == 0 else [word() for _ in range(12)]
+        texts.append(" ".join([word() for _ in range(30 - i % 5)] + (["same"] * 8 if i % 2 else []) + passage + after + [word() for _ in range(20)]))
+    texts += [" ".join(t.split()[5:] + ["end"]) for t in texts[:20]]
+    df = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    collect = lambda: {r.doc_id: (r.text, r.n_removed) for r in substrings.remove_repeats(df).collect()}
+    usual, limit, searched = collect(), 300, substrings._searched
+    assert sum(n > 0 for _, n in usual.values()) >= 40
+
+    def bounded(width):
+        inner = searched(width)
+
+        def run(batches):
+            held, size = list(batches), Counter()
+            for batch in held:
+                for anchor, own in zip(batch.column("anchor").to_pylist(), batch.column("words").to_pylist()):
+                    size[anchor] += len(own) // 8
+            assert not size or max(size.values()) <= limit
+            yield from inner(iter(held))
+
+        return run
+
+    monkeypatch.setattr(substrings, "SHARD_SYMBOLS", limit)
+    monkeypatch.setattr(substrings, "_searched", bounded)
+    assert collect() == usual
+
+
 # 9
 
 
