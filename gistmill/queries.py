@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -484,6 +484,76 @@ def crawl_allowed(t):
     return crawl.allowed_links(t.pages.select("page_id", "url"), "url", rules)
 
 
+# Pages that link to others of their host like a tree, in three ways, and back.
+_REST_SQL = "regexp_replace({0}, '^[a-zA-Z]+://[^/?#]*', '')"
+_ADDRESS_SQL = "url_decode(regexp_replace({0}, '#.*$', ''))"
+_LINKED_SQL = f"""numbered AS (
+  SELECT page_id, url, html, {_HOST_SQL.format('url')} AS host, {_REST_SQL.format('url')} AS rest,
+    row_number() OVER (PARTITION BY {_HOST_SQL.format('url')} ORDER BY page_id) AS n FROM pages
+), added AS (
+  SELECT p.page_id, string_agg('<a href="' || CASE c.n % 3 WHEN 0 THEN c.url WHEN 1 THEN c.rest ELSE '//' || c.host || c.rest END || '">x</a>', '' ORDER BY c.n) AS links
+  FROM numbered p JOIN numbered c ON p.host = c.host AND (c.n // 2 = p.n OR p.n // 2 = c.n) GROUP BY p.page_id
+), linked AS (
+  SELECT page_id, url, n, '<a href="/">top</a>' || coalesce(links, '') || '<a href="set%20' || page_id || '.corpus.zip">z</a>' || html AS html
+  FROM numbered LEFT JOIN added USING (page_id)
+)"""
+
+
+def _linked_pages(t):
+    host, _ = crawl.split_url("url")
+    rest = F.regexp_replace("url", "^[a-zA-Z]+://[^/?#]*", "")
+    pages = t.pages.withColumn("host", host).withColumn("rest", rest)
+    pages = pages.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
+    href = F.when(F.col("n") % 3 == 0, F.col("url")).when(F.col("n") % 3 == 1, F.col("rest")).otherwise(F.concat(F.lit("//"), "host", "rest"))
+    child = pages.select("host", F.col("n").alias("c"), href.alias("href"))
+    above = pages.select("page_id", "host", F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1, F.floor(F.col("n") / 2))).alias("c"))
+    # Number 1 is above itself by this rule only through 0, which is no page.
+    links = above.join(child, ["host", "c"]).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("c", "href"))).alias("links"))
+    anchors = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<a href="'), x["href"], F.lit('">x</a>'))), "")
+    html = F.concat(F.lit('<a href="/">top</a>'), F.coalesce(anchors, F.lit("")), F.lit('<a href="set%20'), "page_id", F.lit('.corpus.zip">z</a>'), "html")
+    return pages.join(links, "page_id", "left").select("page_id", "url", "n", html.alias("html"))
+
+
+_FOLLOWED_SQL = f"""WITH RECURSIVE {_ROBOTS_SQL}, {_LINKED_SQL}, hrefs AS (
+  SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos
+  FROM (SELECT page_id, url, regexp_extract_all(html, {_HREF_SQL}, 1) AS h FROM linked) x
+), graph AS (
+  SELECT DISTINCT {_ADDRESS_SQL.format('url')} AS source, {_ADDRESS_SQL.format("""CASE
+    WHEN regexp_matches(href, '^[a-zA-Z]+://') THEN href
+    WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-zA-Z]+:') || href
+    WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') || href
+    ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END""")} AS target
+  FROM hrefs WHERE pos > 0
+), open_pages AS (
+  SELECT DISTINCT {_ADDRESS_SQL.format('p.url')} AS address FROM pages p WHERE NOT EXISTS (
+    SELECT 1 FROM rules r WHERE r.domain = {_HOST_SQL.format('p.url')} AND starts_with({_PATH_SQL.format('p.url')}, r.prefix))
+), steps AS (
+  SELECT address, 0 AS step FROM open_pages WHERE address IN (SELECT {_ADDRESS_SQL.format('url')} FROM linked WHERE n = 1)
+  UNION
+  SELECT target, step + 1 FROM steps JOIN graph ON source = steps.address JOIN open_pages o ON o.address = target
+  WHERE step < 24 AND {_HOST_SQL.format('source')} = {_HOST_SQL.format('target')}
+), reached AS (SELECT address, min(step) AS step FROM steps GROUP BY address)"""
+
+
+@query(_FOLLOWED_SQL + " SELECT address, CAST(step AS BIGINT) AS step FROM reached")
+def followed_pages(t):
+    pages = _linked_pages(t)
+    rules = crawl.robots_prefixes(_robots(t), ["domain"])
+    return crawl.followed_pages(pages, pages.filter("n = 1").select("url"), rules)
+
+
+@query(_FOLLOWED_SQL + f""", decoded AS (
+  SELECT page_id, pos, step, url_decode({_BASE_SQL}) AS base, url_decode({_BASE_SQL} || href) AS link
+  FROM hrefs JOIN reached ON address = {_ADDRESS_SQL.format('url')} WHERE pos > 0 AND href LIKE '%.zip'
+)
+SELECT page_id, pos, CAST(step AS BIGINT) AS step,
+  'subreddit-' || left(substr(link, length(base) + 1), length(link) - length(base) - length('.corpus.zip')) AS name FROM decoded""")
+def archive_names_followed(t):
+    pages = _linked_pages(t)
+    rules = crawl.robots_prefixes(_robots(t), ["domain"])
+    return crawl.archive_names_followed(pages, pages.filter("n = 1").select("url"), rules, ["page_id"])
+
+
 # --- sentences and terms ---------------------------------------------------
 
 @query(DOC_SEN + final("sen", "sentence", "doc_id sen_pos raw_words og_words filt_words"))

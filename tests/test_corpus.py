@@ -109,6 +109,68 @@ def test_crawl_rules(spark):
     assert column(crawl.allowed_links(links, "url", known), "url") == ["http://h", "http://h/b", "http://open/z"]
 
 
+def test_resolved_links(spark):
+    """As the standard library joins addresses, without fragments."""
+    from urllib.parse import urldefrag, urljoin
+
+    bases = ["http://h.org/a/b/c.html?q=1#f", "https://h.org", "http://h.org/", "http://h.org/a/"]
+    hrefs = ["x", "x/y?z=/../1", "/x", "//o.net/p", "?n=2", "", "#top", "./x", "../x", "../../../x", "a/./b/../c/", "http://o.net/k", "..", "mailto:a@b", " x "]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(rows, "base string, href string").select("base", "href", crawl.resolve_link("base", "href").alias("url")).collect()
+    for r in got:
+        expected = urldefrag(urljoin(r.base, r.href.strip()))[0]
+        assert r.url == expected, (r.base, r.href)
+
+
+def _followed_loop(pages, starts, rules):
+    """Breadth first, one page at a time. Links are given as absolute addresses."""
+    def allowed(url):
+        host, path = url.split("/")[2], "/" + "/".join(url.split("/")[3:])
+        return any(d == host for d, _ in rules) and not any(d == host and p is not None and path.startswith(p) for d, p in rules)
+
+    step = {u: 0 for u in starts if u in pages and allowed(u)}
+    queue = list(step)
+    for url in queue:
+        for link in pages[url][1:]:
+            if link in pages and link not in step and allowed(link) and link.split("/")[2] == url.split("/")[2]:
+                step[link] = step[url] + 1
+                queue.append(link)
+    return step
+
+
+def test_followed_pages(spark):
+    """Cycles, pages that are missing, forbidden, on another host, or not linked."""
+    import random
+
+    rng = random.Random(4)
+    urls = [f"http://{h}/{p}{i}" for h in ("one", "two", "shut") for p in ("a/", "b/", "no/") for i in range(12)]
+    pages = {u: [rng.choice(urls) for _ in range(rng.randint(0, 4))] + ["http://one/missing"] for u in urls}
+    for i in range(20):  # a chain longer than the steps that are kept apart
+        pages[f"http://one/chain{i}"] = ["http://one/", f"http://one/chain{i + 1}", "http://one/chain0"]
+    rules = [("one", "/no"), ("two", None), ("one", "/b/1")]
+    html = lambda links: "".join(f"<a href='{x}'>x</a>" for x in links)
+    frame = spark.createDataFrame([(u + "#part", html(x)) for u, x in pages.items()] + [(None, None), ("http://one/a/0", None)], "url string, html string")
+    starts = ["http://one/a/0", "http://one/no/1", "http://two/b/3", "http://shut/a/1", "http://one/gone", "http://one/chain0"]
+    got = lambda **more: {
+        r.address: r.step for r in crawl.followed_pages(
+            frame, spark.createDataFrame([(u,) for u in starts], "url string"), spark.createDataFrame(rules, "domain string, prefix string"), **more).collect()}
+    expected = _followed_loop(pages, starts, rules)
+    assert got() == expected and max(expected.values()) >= 19
+    assert got(most_steps=1) == {u: n for u, n in expected.items() if n <= 1}
+
+
+def test_archives_of_followed_pages(spark):
+    top, sub = "https://host.org/sets/", "https://host.org/sets/b/"
+    pages = [(1, top, "<a href='/'></a><a href='b/'></a><a href='own.corpus.zip'></a>"), (2, sub, "<a href='../'></a><a href='n%20a.corpus.zip'></a><a href='../'></a>")]
+    frame = spark.createDataFrame(pages, "page_id int, url string, html string")
+    known = spark.createDataFrame([("host.org", None)], "domain string, prefix string")
+    got = crawl.archive_names_followed(frame, spark.createDataFrame([(top,)], "url string"), known, ["page_id"])
+    assert sorted((r.page_id, r.step, r.name) for r in got.collect()) == [(1, 0, "subreddit-own"), (2, 1, "subreddit-n a")]
+    shut = spark.createDataFrame([("host.org", "/sets/b")], "domain string, prefix string")
+    got = crawl.archive_names_followed(frame, spark.createDataFrame([(top,)], "url string"), shut, ["page_id"])
+    assert [r.page_id for r in got.collect()] == [1]
+
+
 def test_lists(spark, tmp_path):
     assert readers.read_list(spark, str(tmp_path / "missing.txt")).count() == 0
     (tmp_path / "names.txt").write_text("  One \n\nbad/name\nTwo?\nThree\n")
