@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
 from gistmill.functions.wordlists import STOP_WORDS
+from gistmill.operators.splitting import SplitModel, split_fitted
 from gistmill.session import spread
 
 ROW = "text_row"
@@ -26,15 +27,17 @@ def sentence_place(sentences: DataFrame, order: Sequence[str]) -> list[str]:
 
 
 def explode_sentences(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, rule: str = "full"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, rule: str | SplitModel = "full"
 ) -> DataFrame:
-    """One row per sentence. Null and blank texts give none.
+    """One row per sentence, by a rule or a fitted model. Null and blank texts give none.
 
     ``text_row`` tells the texts of a group apart where ``order`` does not: a hash
     of the text, so that their order is stable, and a number for equal texts. The
     number holds while the table is read back from staging.
     """
     row = F.struct(F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("number")).alias(ROW)
+    if isinstance(rule, SplitModel):
+        return split_fitted(spread(df.select(*keys, *order, text)), [*keys, *order, row], text, rule)
     # The outer form keeps the optimizer from testing the array in a filter of
     # its own, which would split every text twice.
     parts = spread(df.select(*keys, *order, text)).select(*keys, *order, row, F.posexplode_outer(tx.split_sentences(text, rule)).alias("sen_pos", "part"))
@@ -99,7 +102,7 @@ def sentence_table(
     keys: Sequence[str],
     order: Sequence[str],
     text: str,
-    rule: str = "full",
+    rule: str | SplitModel = "full",
     normalize: str = "stem",
     stop_words: Iterable[str] = STOP_WORDS,
 ) -> DataFrame:

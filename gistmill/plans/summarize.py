@@ -11,6 +11,7 @@ from gistmill.functions import text as tx
 from gistmill.functions.wordlists import STOP_WORDS
 from gistmill.operators import greedy, scoring, selection, terms
 from gistmill.operators.running import number_rows, running_totals
+from gistmill.operators.splitting import SplitModel
 from gistmill.operators.topics import TopicModel
 from gistmill.session import ship, stage
 
@@ -20,7 +21,7 @@ def prepare(
     keys: Sequence[str],
     order: Sequence[str],
     text: str,
-    rule: str = "full",
+    rule: str | SplitModel = "full",
     normalize: str = "stem",
     stop_words: Iterable[str] = STOP_WORDS,
 ) -> DataFrame:
@@ -42,7 +43,7 @@ def summarize(
     model: TopicModel | None = None,
     variant: str = "v1",
     score_digits: int | None = None,
-    rule: str = "full",
+    rule: str | SplitModel = "full",
     normalize: str = "stem",
     stop_words: Iterable[str] = STOP_WORDS,
 ) -> DataFrame:

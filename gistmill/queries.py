@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmill.functions import text as tx
-from gistmill.functions.wordlists import PUNCTUATION, STOP_WORDS
-from gistmill.operators import clean, crawl, evaluate, greedy, scoring, selection, terms, topics, transcripts
+from gistmill.functions.wordlists import ABBREVIATIONS, PUNCTUATION, STOP_WORDS
+from gistmill.operators import clean, crawl, evaluate, greedy, scoring, selection, splitting, terms, topics, transcripts
 from gistmill.plans import corpus
 from gistmill.plans import summarize as plans
-from gistmill.session import ship, stage
+from gistmill.session import ship, spread, stage
 from gistmill.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -566,6 +566,142 @@ def sentences_full_rule(t):
     return terms.explode_sentences(t.documents, ["doc_id"], [], "text")
 
 
+# Texts with an abbreviation and an initial, as the tables have none.
+_STOPS_SQL = r"regexp_replace(regexp_replace(text, ' (de|the|of) ', ' ca. \1 ', 'g'), ' (and|la|und) ', ' K. \1 ', 'g')"
+
+
+def _with_stops(t):
+    text = F.regexp_replace(F.regexp_replace("text", " (de|the|of) ", " ca. $1 "), " (and|la|und) ", " K. $1 ")
+    return t.documents.select("doc_id", text.alias("text"))
+
+
+def _core_sql(c: str) -> str:
+    edges = lit(r"""^["'(\[{]+|["')\]}]+$""")
+    return f"regexp_replace({c}, {edges}, '', 'g')"
+
+
+def _kind_sql(c: str) -> str:
+    return (rf"CASE WHEN regexp_matches({_core_sql(c)}, '[!?][.!?]*$') THEN 'mark' WHEN regexp_matches({_core_sql(c)}, '\.\.$') THEN 'dots'"
+            f" WHEN ends_with({_core_sql(c)}, '.') THEN 'stop' ELSE 'word' END")
+
+
+def _word_sql(c: str) -> str:
+    word = f"lower(regexp_replace({_core_sql(c)}, '[.!?,;:]+$', ''))"
+    return f"CASE WHEN regexp_matches({word}, '^[+-]?[0-9][0-9.,]*$') THEN '##' ELSE {word} END"
+
+
+def _chance_sql(hits: str, tries: str, p: str) -> str:
+    part = lambda n, q: f"CASE WHEN {n} > 0 THEN {n} * ln({q}) ELSE 0.0 END"
+    return f"({part(hits, p)} + {part(f'({tries} - {hits})', f'(1 - {p})')})"
+
+
+def _association_sql(together: str, first: str, second: str, total: str) -> str:
+    p, p1 = f"(CAST({second} AS DOUBLE) / {total})", f"(CAST({together} AS DOUBLE) / {first})"
+    apart, rest = f"({second} - {together})", f"({total} - {first})"
+    p2 = f"(CAST({apart} AS DOUBLE) / {rest})"
+    return (f"-2 * ({_chance_sql(together, first, p)} + {_chance_sql(apart, rest, p)}"
+            f" - {_chance_sql(together, first, p1)} - {_chance_sql(apart, rest, p2)})")
+
+
+_TOKENS_SQL = rf"""WITH tokens AS (
+  SELECT unnest(w) AS token, unnest(list_concat([NULL], w[:len(w) - 1])) AS before
+  FROM (SELECT {words_sql(_STOPS_SQL)} AS w FROM documents) x
+), counts AS (
+  SELECT CASE WHEN before IS NULL THEN 'start' ELSE {_kind_sql('before')} END AS kind,
+    CASE WHEN before IS NOT NULL AND {_kind_sql('before')} = 'stop' THEN {_word_sql('before')} ELSE '' END AS before,
+    {_word_sql('token')} AS word, {_kind_sql('token')} = 'stop' AS stop,
+    regexp_matches({_core_sql('token')}, '^\p{{Lu}}') AS upper, regexp_matches({_core_sql('token')}, '^\p{{Ll}}') AS lower, count(*) AS n
+  FROM tokens WHERE {_word_sql('token')} <> '' GROUP BY ALL
+), totals AS (
+  SELECT word, sum(n) AS n, sum(CASE WHEN stop THEN n ELSE 0 END) AS with_stop FROM counts GROUP BY word
+), abbreviations AS (
+  SELECT word, n, with_stop,
+    -2 * ({_chance_sql('with_stop', 'n', '(CAST(stops AS DOUBLE) / total)')} - {_chance_sql('with_stop', 'n', 'CAST(0.99 AS DOUBLE)')})
+      * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+      * pow(CAST(length(replace(word, '.', '')) AS DOUBLE), -(n - with_stop)) AS score
+  FROM totals, (SELECT sum(n) AS total, sum(with_stop) AS stops FROM totals) s
+  WHERE with_stop > 0 AND regexp_matches(word, '\p{{L}}')
+)"""
+_MODEL_SQL = _TOKENS_SQL + rf""", known AS (
+  SELECT word FROM abbreviations WHERE score >= 0.3 UNION SELECT unnest([{", ".join(lit(w) for w in ABBREVIATIONS)}])
+), ended AS (
+  SELECT *, kind = 'mark' OR (kind = 'stop' AND before NOT IN (SELECT word FROM known)) AS after_end FROM counts
+), starters AS (
+  SELECT word, n, after_end, {_association_sql('after_end', 'ends', 'n', 'total')} AS ratio
+  FROM (SELECT word, sum(n) AS n, sum(CASE WHEN after_end THEN n ELSE 0 END) AS after_end FROM ended GROUP BY word) w,
+    (SELECT sum(n) AS total, sum(CASE WHEN after_end THEN n ELSE 0 END) AS ends FROM ended) s
+  WHERE regexp_matches(word, '^\p{{L}}') AND after_end > 0 AND after_end * total > n * ends
+), collocations AS (
+  SELECT first, second, n, {_association_sql('n', 'n1', 'n2', 'total')} AS ratio
+  FROM (SELECT before AS first, word AS second, sum(n) AS n FROM counts
+    WHERE kind = 'stop' AND (regexp_matches(before, '^\p{{L}}$') OR before = '##') AND regexp_matches(word, '^\p{{L}}') GROUP BY ALL) p
+  JOIN (SELECT word AS first, n AS n1 FROM totals) USING (first) JOIN (SELECT word AS second, n AS n2 FROM totals) USING (second),
+    (SELECT sum(n) AS total FROM totals) s
+  WHERE n * total > n1 * n2
+)"""
+
+
+@query(_TOKENS_SQL + final("abbreviations", "word", "n with_stop", "score"))
+def abbreviation_scores(t):
+    return splitting.abbreviation_scores(stage(splitting.token_counts(spread(_with_stops(t)), "text"), "counts"))
+
+
+def _ended(t):
+    counts = stage(splitting.token_counts(spread(_with_stops(t)), "text"), "counts")
+    model = splitting.fit_splitter(_with_stops(t), "text")
+    return counts, splitting.with_ends(counts, model.abbreviations)
+
+
+@query(_MODEL_SQL + final("starters", "word", "n after_end", "ratio"))
+def sentence_starters(t):
+    return splitting.sentence_starters(_ended(t)[1])
+
+
+@query(_MODEL_SQL + final("collocations", "first second", "n", "ratio"))
+def stop_collocations(t):
+    return splitting.stop_collocations(stage(splitting.token_counts(spread(_with_stops(t)), "text"), "counts"))
+
+
+_NOT_WS = WS.replace("[", "[^", 1)
+_FITTED_BREAK = lit(rf"""([.!?]+["')\]}}]*{WS}+)""")
+
+
+@query(_MODEL_SQL + rf""", cases AS (
+  SELECT word AS second, sum(CASE WHEN kind NOT IN ('start', 'dots') AND NOT after_end AND upper THEN n ELSE 0 END) AS upper_inside,
+    sum(CASE WHEN lower THEN n ELSE 0 END) AS n_lower FROM ended GROUP BY word
+), cut AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(list_concat(p[2:], [NULL])) AS next, generate_subscripts(p, 1) - 1 AS pos
+  FROM (SELECT doc_id, string_split(regexp_replace({_STOPS_SQL}, {_FITTED_BREAK}, '\1' || chr(1), 'g'), chr(1)) AS p FROM documents) x
+), sides AS (
+  SELECT *, regexp_extract(piece, {lit(f'({_NOT_WS}+){WS}*$')}, 1) AS l, regexp_extract(next, {lit(f'^{WS}*({_NOT_WS}+)')}, 1) AS f FROM cut
+), forms AS (
+  SELECT doc_id, pos, piece, next, {_kind_sql('l')} AS kind, {_word_sql('l')} AS first, {_word_sql('f')} AS second,
+    regexp_matches({_core_sql('f')}, '^\p{{Lu}}') AS upper, regexp_matches({_core_sql('f')}, '^\p{{Ll}}') AS lower FROM sides
+), met AS (
+  SELECT forms.*, first IN (SELECT word FROM known) AS is_known,
+    (first, second) IN (SELECT (first, second) FROM collocations WHERE ratio >= 7.88 AND second NOT IN (SELECT word FROM starters WHERE ratio >= 30)) AS paired,
+    second IN (SELECT word FROM starters WHERE ratio >= 30) AS starter,
+    CASE WHEN upper AND coalesce(n_lower, 0) > 0 AND coalesce(upper_inside, 0) = 0 THEN TRUE WHEN lower THEN FALSE END AS starts,
+    coalesce(n_lower, 0) > 0 AS seen_lower
+  FROM forms LEFT JOIN cases USING (second)
+), decided AS (
+  SELECT doc_id, pos, piece, CASE
+    WHEN next IS NULL OR kind NOT IN ('stop', 'dots') THEN TRUE
+    WHEN kind = 'dots' THEN upper
+    WHEN (regexp_matches(first, '^\p{{L}}$') OR first = '##') AND paired THEN FALSE
+    WHEN regexp_matches(first, '^\p{{L}}$') THEN coalesce(starts, NOT (upper AND NOT seen_lower))
+    WHEN is_known THEN coalesce(starts, starter AND upper)
+    WHEN first = '##' THEN coalesce(starts, TRUE) ELSE TRUE END AS ends FROM met
+), numbered AS (
+  SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sen_pos FROM decided
+)
+SELECT doc_id, CAST(sen_pos AS BIGINT) AS sen_pos, {strip_sql("string_agg(piece, '' ORDER BY pos)")} AS part
+FROM numbered GROUP BY doc_id, sen_pos HAVING {strip_sql("string_agg(piece, '' ORDER BY pos)")} <> ''""")
+def fitted_sentences(t):
+    texts = _with_stops(t)
+    return splitting.split_fitted(texts, ["doc_id"], "text", splitting.fit_splitter(texts, "text")).select("doc_id", "sen_pos", "part")
+
+
 @query()
 def stems(t):
     found = terms.sentence_table(t.documents, ["doc_id"], [], "text")
