@@ -7,6 +7,7 @@ six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +19,10 @@ from gistmill.functions.wordlists import ABBREVIATIONS, PUNCTUATION, STOP_WORDS
 from gistmill.operators import clean, crawl, evaluate, greedy, scoring, selection, splitting, terms, topics, transcripts
 from gistmill.plans import corpus
 from gistmill.plans import summarize as plans
-from gistmill.session import ship, spread, stage
+from gistmill.session import ship, spread, stage, staging_dir
 from gistmill.sources import readers
+from gistmill.sources.schemas import UTTERANCES
+from gistmill.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -348,6 +351,22 @@ def clean_list(t):
     return readers.clean_list(t.part.select(raw.alias("value")))
 
 
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS res_id,
+  regexp_replace(coalesce(text, ''), {lit(_PRINTABLE)}, '', 'g') AS answer_text FROM conversations""")
+def ingested_batches(t):
+    """Three landings with repeats, each followed by a run that starts anew."""
+    folder = f"{staging_dir(t.spark)}/gistmill/ingest-{uuid.uuid4().hex}"
+    rows = t.conversations.select(F.lit("c").alias("corpus"), "conv_id", "turn", "text")
+    part = F.col("conv_id") % 3
+    for number, landed in enumerate((rows.filter(part < 1), rows.filter(part < 2).union(rows.filter(part == 1)), rows)):
+        landed.write.parquet(f"{folder}/landing/{number}")
+        ingest.ingest_keyed(
+            t.spark, f"{folder}/landing/*", rows.schema, ["conv_id", "turn"],
+            lambda batch: corpus.flatten(batch, "corpus", "conv_id", "turn", "text"), f"{folder}/table", f"{folder}/checkpoint",
+        ).awaitTermination()
+    return ingest.read_ingested(t.spark, f"{folder}/table", UTTERANCES).select("conv_id", "res_id", "answer_text")
+
+
 # --- transcripts and markup ------------------------------------------------
 
 def _transcript_sql(c="text"):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gistmill.operators import clean, crawl, transcripts
 from gistmill.plans import corpus
 from gistmill.sources import readers, schemas, sinks
-from gistmill.streaming.ingest import ingest
+from gistmill.streaming.ingest import ingest, ingest_keyed, read_ingested
 
 
 def column(df, name):
@@ -238,6 +238,52 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert len(run("b")) == 6
 
 
+def test_keyed_ingest(spark, tmp_path):
+    landing, table = str(tmp_path / "landing"), tmp_path / "table"
+    schema = "corpus string, conv string, turn int, body string"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+
+    def land(*convs):
+        rows = [("c", v, t, f"{v} {t}") for v in convs for t in range(3)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
+
+    def run():
+        query = ingest_keyed(spark, landing, spark.read.parquet(landing).schema, ["conv", "turn"],
+                             lambda df: corpus.flatten(df, "corpus", "conv", "turn", "body"), str(table), str(tmp_path / "state"))
+        query.awaitTermination()
+        return query.recentProgress
+
+    def held():
+        return sorted((r.conv_id, r.res_id, r.answer_text) for r in read_ingested(spark, str(table), schemas.UTTERANCES).collect())
+
+    def expected(*convs):
+        return [(v, t + 1, f"{v} {t}") for v in convs for t in range(3)]
+
+    land("v1", "v1", "v2")
+    run()
+    assert held() == expected("v1", "v2")
+    # What the table holds isn't read again: it may even be unreadable meanwhile.
+    first = {p: p.read_bytes() for p in (table / "batch=0").glob("*.parquet")}
+    for path in first:
+        path.write_bytes(b"damaged")
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    land("v2", "v3")
+    progress = run()
+    for path, data in first.items():
+        path.write_bytes(data)
+    assert held() == expected("v1", "v2", "v3")
+    assert sum(p["numInputRows"] for p in progress) == 6
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in progress) == 3
+    # A run without new files adds nothing, and a batch that is repeated replaces itself.
+    run()
+    (tmp_path / "state" / "commits" / "1").unlink()
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run()
+    assert held() == expected("v1", "v2", "v3")
+    assert spark.conf.get(provider, None) == before
+
+
 def test_numbers(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("k"), (-F.col("id")).alias("t"))
     got = {(r.k, r.t): r.res_id for r in corpus.number_utterances(df, ["k"], ["t"]).collect()}
