@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from gistmill.session import stage
 from gistmill.sources.sinks import append_new
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -69,7 +70,8 @@ def ingest_keyed(
     stream = spark.readStream.schema(schema).format(format).load(landing)
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        # Written first: each action on the batch itself would go through the state.
+        transform(stage(batch, "landed")).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ON_DISK)
