@@ -23,8 +23,6 @@ from gistmill.llm.groups import components
 from gistmill.llm.words import LOWER, PLACE, Slice, bundles, mix, ranges, ready, row_slices, span_hashes
 from gistmill.session import join_hot, stage
 
-RADIUS = 3
-BLOCKS = 4
 CHUNK = 1024
 GRAM = 3
 #: Short lines of so many characters have pieces as keys, longer ones all 8-grams:
@@ -59,24 +57,6 @@ def _lines(column: pa.Array):
         yield Slice(first, data, borders, starts, ends, np.searchsorted(starts, borders)), first + owner, number
 
 
-def simhash(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each run of word hashes; a run must not be empty. Only tests
-    use it."""
-    out = np.zeros(len(offsets) - 1, dtype=np.uint64)
-    step = 200_000
-    first = 0
-    while first < len(out):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, side="right")) - 1)
-        last = min(last, len(out))
-        own = hashes[offsets[first] : offsets[last]]
-        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, offsets[first:last] - offsets[first], axis=0, dtype=np.int32)
-        n = np.diff(offsets[first : last + 1])[:, None]
-        out[first:last] = np.packbits(2 * ones > n, axis=1).reshape(-1).view(np.uint64)
-        first = last
-    return out
-
-
 def _line_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A hash of each run of word hashes, given the runs' lengths (none of 0)."""
     offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -210,36 +190,6 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
 
 
-def _near(sims: np.ndarray):
-    """For tests that compare fingerprints; the operator uses ``close``.
-
-    (a, all b > a within the radius), for each fingerprint that has such b.
-
-    In a large set, the bits that differ at all are cut in BLOCKS parts: within
-    the radius, one part is equal again. Pairs may then come more than once.
-    """
-    if len(sims) <= 4096:
-        for first in range(0, len(sims), 256):
-            close = np.bitwise_count(sims[first : first + 256, None] ^ sims[None, first:]) <= RADIUS
-            a, b = np.nonzero(close)
-            a, b = a[b > a], b[b > a]
-            for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else ():
-                yield first + int(a[own[0]]), first + b[own]
-        return
-    differing = np.bitwise_or.reduce(sims ^ sims[0])
-    bits = [i for i in range(64) if int(differing) >> i & 1]
-    for part in np.array_split(bits, BLOCKS):
-        key = sims & np.uint64(sum(1 << int(i) for i in part))
-        order = np.argsort(key, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            for first in range(0, len(run) if len(run) > 1 else 0, 128):
-                close = np.bitwise_count(sims[run[first : first + 128], None] ^ sims[None, run[first:]]) <= RADIUS
-                for i in range(len(close)):
-                    near = run[first + i + 1 :][close[i, i + 1 :]]
-                    if len(near):
-                        yield int(run[first + i]), near
-
-
 def close(n: np.ndarray, parity: np.ndarray, least: float):
     """(a, all b > a that may be near), for each a that has such b, of rows sorted by
     n: as many edits as the longer one may have can make up for what differs."""

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline  # noqa: E402
 from gistmill.llm.queries import QUERIES, SQL  # noqa: E402
-from test_operators import filled, grouped, leak_loop, lines_loop, shingle_set  # noqa: E402
+from test_operators import all_near_lines, filled, grouped, leak_loop, shingle_set  # noqa: E402
 
 FOLDER = Path("/root/testdata/sf0.001")
 NATURAL = {"en": "the of and to in is that it was for with on as by", "fr": "le la les des et un une dans que pour est sur"}
@@ -55,7 +55,7 @@ def test_pipeline(spark, tmp_path):
         kept[name] = [tuple(r) for r in before.collect()]
     ids = lambda name: sorted(r[0] for r in kept[name])
     assert ids("language_id") == list(range(140))
-    gone, _ = lines_loop([(r[0], r[1]) for r in kept["language_id"]])
+    gone = all_near_lines([(r[0], r[1]) for r in kept["language_id"]])
     texts = {r[0]: "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone[r[0]]) for r in kept["language_id"]}
     assert {r[0]: r[1] for r in kept["line_dedup"]} == {d: t for d, t in texts.items() if t.strip()}
     assert sum(map(len, gone.values())) > 5 and all(r[4] == len(r[1]) for r in kept["line_dedup"])
@@ -89,7 +89,7 @@ def test_query(spark, name):
     if name not in SQL:
         assert got
         return
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = con.execute(SQL[name])
     columns = [d[0] for d in result.description]
