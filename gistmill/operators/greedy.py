@@ -4,8 +4,8 @@ Redundancy level 1 subtracts the picked sentence's term counts from the group's,
 level 2 divides by them; both shorten the group's total. With topics, variant
 ``v2`` also weighs scores by the topics already covered. Each pick depends on
 the one before it, so a group of ordinary size runs as one loop inside one task
-and all groups run side by side. Groups too large for that are picked round by
-round instead, every round being a distributed scan over all of them.
+and all groups run side by side. Groups too large for that are picked in rounds
+instead: many picks a round (``lazy``), or one where covered topics count.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from gistmill.operators import selection as sl
 from gistmill.operators import terms as tm
+from gistmill.operators.lazy import pick_lazily
 from gistmill.operators.topics import meet_keywords
 from gistmill.operators.scoring import NO_WORDS, measure_groups, relative_entropy
 from gistmill.session import BROADCAST_ROWS, stage
@@ -243,29 +244,44 @@ def select_reducing(
     big = sentences.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, keys, "left_semi")
     if keywords is not None:
         big = _with_topics(big, keys, place, keywords)
-    by_rounds = _pick_by_rounds(
-        big, big_totals, keys, place, level, by_sentences,
-        keywords is not None, n_topics, variant == "v2",
-    )
+    if variant == "v2" and keywords is not None:
+        # What a topic is worth changes for all sentences at once.
+        by_rounds = _pick_by_rounds(big, big_totals, keys, place, level, by_sentences, n_topics)
+    else:
+        own = F.lit(n_topics) if n_topics is not None else F.col("_n_topics") if keywords is not None else None
+        by_rounds = pick_lazily(big, big_totals, keys, place, level, by_sentences, own if keywords is not None else None)
+    if keywords is None:
+        by_rounds = by_rounds.unionByName(_first_sentences(big, big_totals, keys, place).select(*by_rounds.columns))
     return picked.unionByName(by_rounds.select(*picked.columns))
 
 
+def _first_sentences(sentences: DataFrame, totals: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """A group without any term offers its first sentence only."""
+    first = sentences.join(totals.filter("filt_total = 0 and _limit > 0").select(*keys), keys, "left_semi")
+    item = F.struct(*(F.col(p) for p in place))
+    first = first.groupBy(*keys).agg(F.min(F.struct(item.alias("place"), "sentence", "og_words")).alias("best"))
+    return first.select(
+        *keys, F.lit(1).alias("rank"), "best.place.*", "best.sentence", "best.og_words", F.lit(NO_WORDS).alias("score"),
+    ).filter(sl.length_gate())
+
+
 def _pick_by_rounds(
     sentences: DataFrame, totals: DataFrame, keys: list[str], place: list[str],
-    level: int, by_sentences: bool, topical: bool, n_topics: int | None, covering: bool,
+    level: int, by_sentences: bool, n_topics: int | None,
 ) -> DataFrame:
-    """The same loop for groups that span tasks: one pick per group and round.
+    """The loop with covered topics for groups that span tasks: one pick per group and
+    round.
 
     The group's counts, the used sentences and the progress of each group are
     staged tables, replaced every round; sentences stay where they are.
     """
     all_topics = F.lit(n_topics) if n_topics is not None else F.col("_n_topics")
-    own_topics = ["_n_topics"] if topical and n_topics is None else []
+    own_topics = ["_n_topics"] if n_topics is None else []
     item = F.struct(*(F.col(p) for p in place))
-    widths = F.col("n_term_topics") if topical else F.transform("bag", lambda b: F.lit(1))
+    widths = F.col("n_term_topics")
     tokens = sentences.select(
         *keys, item.alias("place"), "og_words", "filt_words",
-        *(["sen_topics"] if topical else []), *own_topics,
+        "sen_topics", *own_topics,
         F.inline(F.zip_with("bag", widths, lambda b, w: F.struct(
             b["first"].alias("first"), b["term"].alias("term"), b["tf"].alias("tf"), w.alias("width")))),
     )
@@ -288,23 +304,21 @@ def _pick_by_rounds(
         pool = tokens if used is None else tokens.join(used, [*keys, "place"], "left_anti")
         part = relative_entropy(
             F.col("count") / F.col("total"),
-            F.col("tf") / F.col("filt_words") * (F.col("width") / all_topics if topical else F.lit(1.0)),
+            F.col("tf") / F.col("filt_words") * (F.col("width") / all_topics),
         )
         parts = pool.filter("width > 0").join(counts.join(state.select(*keys, "total"), keys), [*keys, "term"])
         scored = parts.groupBy(*keys, "place").agg(
             F.array_sort(F.collect_list(F.struct("first", part.alias("part")))).alias("parts"),
             F.max("og_words").alias("og_words"), F.max("filt_words").alias("filt_words"),
-            *([F.max("sen_topics").alias("sen_topics")] if topical else []),
+            F.max("sen_topics").alias("sen_topics"),
             *(F.max(c).alias(c) for c in own_topics),
         )
         total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
-        if covering:
-            scored = scored.join(state.select(*keys, "covered"), keys)
-            total = total * (all_topics / F.size("sen_topics")) / F.pow(
-                F.lit(1.25), F.size(F.array_intersect("sen_topics", "covered")))
+        scored = scored.join(state.select(*keys, "covered"), keys)
+        total = total * (all_topics / F.size("sen_topics")) / F.pow(
+            F.lit(1.25), F.size(F.array_intersect("sen_topics", "covered")))
         best = scored.groupBy(*keys).agg(
-            F.min(F.struct((total / F.col("filt_words")).alias("score"), "place", "og_words", "filt_words",
-                           *(["sen_topics"] if topical else []))).alias("best")
+            F.min(F.struct((total / F.col("filt_words")).alias("score"), "place", "og_words", "filt_words", "sen_topics")).alias("best")
         ).select(*keys, "best.*")
         best = best.join(texts, [*keys, "place"])
         accepted = sl.length_gate() & ~F.col("sentence").eqNullSafe(F.col("last"))
@@ -330,15 +344,8 @@ def _pick_by_rounds(
                 grown.cast("long").alias("taken"),
                 (F.col("rank") + F.col("accepted").cast("int")).alias("rank"),
                 F.when(F.col("accepted"), F.col("sentence")).otherwise(F.col("last")).alias("last"),
-                (F.when(F.col("accepted"), F.array_union("covered", "sen_topics")).otherwise(F.col("covered"))
-                 if topical else F.col("covered")).alias("covered"),
+                F.when(F.col("accepted"), F.array_union("covered", "sen_topics")).otherwise(F.col("covered")).alias("covered"),
             ).filter("taken < _limit"),
             "state",
         )
-    if not topical:
-        # A group without any term offers its first sentence only.
-        first = sentences.join(totals.filter("filt_total = 0 and _limit > 0").select(*keys), keys, "left_semi")
-        first = first.groupBy(*keys).agg(F.min(F.struct(item.alias("place"), "sentence", "og_words")).alias("best"))
-        rounds.append(first.select(*keys, F.lit(1).alias("rank"), "best.place.*", "best.sentence",
-                                   "best.og_words", F.lit(NO_WORDS).alias("score")).filter(sl.length_gate()))
     return reduce(DataFrame.unionByName, rounds)

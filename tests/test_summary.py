@@ -1,9 +1,10 @@
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gistmill.operators import greedy, running, scoring, selection, terms, topics
+from gistmill.operators import greedy, lazy, running, scoring, selection, terms, topics
 from gistmill.plans import summarize as plans
 from gistmill.session import stage
 from loops import Group
@@ -80,6 +81,37 @@ def test_reducing_matches_loop(spark, level, limit, local_sentences):
     assert result(got) == by_loop(groups, size, by_sentences, level=level)
 
 
+@pytest.mark.parametrize("level, classes", [(1, 3), (2, 5), (2, 1)])
+def test_reducing_in_many_rounds_matches_loop(spark, monkeypatch, level, classes):
+    """Few classes a round, so that classes outside end most rounds early."""
+    rounds = []
+    monkeypatch.setattr(greedy, "pick_lazily", functools.partial(lazy.pick_lazily, classes=classes))
+    monkeypatch.setattr(lazy, "_loop", lambda *a, own=lazy._loop: (rounds.append(1), own(*a))[1])
+    groups = make_groups(6, n_groups=3, big=30)
+    got = greedy.select_reducing(table(spark, groups), ["g"], ["r"], level, "percent", share=0.4, local_sentences=3)
+    assert result(got) == by_loop(groups, lambda s: int(len(s) * 0.4), True, level=level) and len(rounds) > 2
+
+
+def test_copies_in_rounds_match_one_task(spark):
+    """Many equal sentences, and the same words in another order: near ties."""
+    rng = random.Random(3)
+    base = ["silver gate opens slowly near river", "river near slowly opens gate silver", "quiet foxes cross seven frozen bridges daily"]
+    texts = [" ".join(rng.choice([". ".join(rng.choices(base, k=4)), "lonely boats drift past old mills again"]).split()).capitalize() + "." for _ in range(60)]
+    df = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts)], "g int, r int, text string")
+    sentences = plans.prepare(df, ["g"], ["r"], "text")
+    rows = lambda **more: sorted(map(tuple, greedy.select_reducing(sentences, ["g"], ["r"], 2, "percent", share=0.3, **more).collect()))
+    assert rows(local_sentences=1) == rows()
+
+
+@pytest.mark.parametrize("level", [1, 2])
+def test_topics_in_rounds_match_one_task(spark, level):
+    sentences = table(spark, make_groups(9, n_groups=3, big=20))
+    rows = lambda **more: sorted(
+        (r.g, r["rank"], r.r, r.sen_pos, round(r.score, 9)) for r in greedy.select_reducing(
+            sentences, ["g"], ["r"], level, "percent", share=0.4, keywords=keyword_table(spark), n_topics=4, **more).collect())
+    assert rows(local_sentences=1) == rows() != []
+
+
 TOPICS = {"river": {0, 1}, "silver": {2}, "appl": {1}, "run": {3, 0}}
 
 
