@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
+from gistmill.functions.automaton import holds_any
 from gistmill.operators.running import number_rows
-from gistmill.session import small_side
+from gistmill.session import ship, small_side, stage
 
-MAX_LIST = 100_000
+#: Words of one pattern, and characters of one automaton's words.
+PATTERN_WORDS = 500
+SHARD_CHARS = 2_000_000
 INDEX_SEPARATOR = r"\$#\$"
 
 
@@ -31,56 +34,34 @@ def drop_missing(df: DataFrame, text: str) -> DataFrame:
 def flag_profanity(df: DataFrame, text: str, words: Iterable[str] | DataFrame, name: str = "has_profanity") -> DataFrame:
     """Flag texts that hold a listed word as a substring, ignoring case in the text.
 
-    A word list in Python, or a one-column frame of at most ``MAX_LIST`` words,
-    becomes one pattern. A longer frame is joined instead, on the words' first
-    characters, with the same result. Null and empty words are no words.
+    A word list in Python, or a one-column frame of at most ``PATTERN_WORDS`` words,
+    becomes one pattern. A longer frame becomes an automaton that is sent to every
+    Python worker, or several of at most ``SHARD_CHARS`` characters each, which the
+    texts pass one after the other, without a shuffle. Null and empty words are no
+    words.
     """
     if not isinstance(words, DataFrame):
         return df.withColumn(name, tx.contains_any(text, words))
     column = words.columns[0]
-    listed = [r[0] for r in words.filter(F.col(column).isNotNull()).limit(MAX_LIST + 1).collect()]
-    if len(listed) <= MAX_LIST:
-        return df.withColumn(name, tx.contains_any(text, listed))
-    return _flag_by_join(df, text, words, column, name)
-
-
-def _flag_by_join(df: DataFrame, text: str, words: DataFrame, column: str, name: str) -> DataFrame:
-    """Exact route for long lists: texts meet words on a shared head of up to
-    four characters, once per distinct text, and each meeting is checked.
-
-    Each text's heads are made distinct first, so common heads repeat per text
-    and not per occurrence.
-    """
-    width = 4
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    heads = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
-                lambda at: F.transform(
-                    F.sequence(F.lit(1), F.lit(width)), lambda size: F.substring(F.col("_low"), at, size)
-                ),
-            )
-        )
-    )
-    listed = words.filter(F.col(column) != "").select(F.col(column).alias("_word")).distinct()
-    listed = listed.withColumn("_head", F.substring("_word", 1, width))
-    texts = df.select(lowered.alias("_low")).distinct()
-    # Heads meet by a hash of the text; the text itself only joins those met.
-    keyed = texts.select(F.xxhash64("_low").alias("_key"), F.explode(heads).alias("_head"))
-    met = keyed.join(small_side(listed, "words"), "_head").select("_key", "_word").distinct()
-    hits = (
-        texts.withColumn("_key", F.xxhash64("_low")).join(met, "_key")
-        .filter(F.contains("_low", "_word"))
-        .select("_low")
-        .distinct()
-    )
-    return (
-        df.withColumn("_low", lowered)
-        .join(hits.withColumn(name, F.lit(True)), "_low", "left")
-        .withColumn(name, F.coalesce(name, F.lit(False)))
-        .drop("_low")
-    )
+    listed = stage(words.filter(F.col(column) != "").select(F.col(column).alias("word")).distinct(), "words")
+    count, chars = listed.agg(F.count("word"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    if count <= PATTERN_WORDS:
+        return df.withColumn(name, tx.contains_any(text, [r.word for r in listed.collect()]))
+    spark = ship(df.sparkSession)
+    shards = -(-chars // SHARD_CHARS)
+    out = df.withColumn(name, F.lit(False))
+    for shard in range(shards):
+        own = [r.word for r in listed.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard).collect()]
+        if not own:
+            continue
+        held = spark.sparkContext.broadcast(own)
+        # A text that an earlier shard has flagged is not looked at again.
+        found = holds_any(F.when(~F.col(name), F.lower(text)), held)
+        out = out.withColumn(name, F.col(name) | found)
+        if shards > 1:
+            out = stage(out, "flagged")
+            held.unpersist()
+    return out
 
 
 def drop_profane_conversations(

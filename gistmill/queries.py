@@ -269,6 +269,27 @@ def drop_profane_conversations(t):
     return clean.drop_profane_conversations(t.conversations, "text", _LISTED).select("conv_id", "turn", "text")
 
 
+# A list of thousands: names, and the long words of benchmark items.
+_LONG_LIST = """(SELECT lower(p_name) AS word FROM part UNION SELECT lower(c_name) FROM customer UNION
+  SELECT lower(x) FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS x FROM benchmark) b WHERE length(x) >= 10)"""
+
+
+def _long_list(t) -> DataFrame:
+    found = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("x")).filter(F.length("x") >= 10)
+    return t.part.select(F.lower("p_name").alias("word")).union(t.customer.select(F.lower("c_name"))).union(found.select(F.lower("x")))
+
+
+@query(f"SELECT doc_id, EXISTS (SELECT 1 FROM {_LONG_LIST} w WHERE contains(lower(text), word)) AS has_profanity FROM documents")
+def flag_long_list(t):
+    return clean.flag_profanity(t.documents, "text", _long_list(t)).select("doc_id", "has_profanity")
+
+
+@query(f"""SELECT conv_id, turn, text FROM conversations WHERE conv_id NOT IN (
+  SELECT conv_id FROM conversations WHERE EXISTS (SELECT 1 FROM {_LONG_LIST} w WHERE contains(lower(text), word)))""")
+def drop_conversations_long_list(t):
+    return clean.drop_profane_conversations(t.conversations, "text", _long_list(t)).select("conv_id", "turn", "text")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE NOT (contains(lower(p_name), 'ring') OR contains(lower(p_name), 'blue b'))")
 def profane_names(t):
     return clean.drop_profane_names(t.part, "p_name", ["ring", "blue b"]).select("p_partkey", "p_name")

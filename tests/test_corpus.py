@@ -28,18 +28,19 @@ def test_profanity_removes_whole_conversations(spark):
     assert column(clean.drop_profane_names(names, "n", ["ass"]), "n") == ["trout"]
 
 
-def test_long_word_lists_join(spark, monkeypatch):
+def test_long_word_lists(spark, monkeypatch):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abcÉ ") for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None]
     words = ["a", "bc", "cab", "abca", "bcab c", "éa", "cccccc"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     listed = spark.createDataFrame([(w,) for w in words], "w string")
-    direct = clean.flag_profanity(df, "t", listed)
-    monkeypatch.setattr(clean, "MAX_LIST", 2)
-    joined = clean.flag_profanity(df, "t", listed)
     expected = sorted((t or "", any(w in (t or "").lower() for w in words)) for t in texts)
-    for got in (direct, joined):
+    for most, chars in ((500, 1000), (2, 1000), (2, 6)):  # a pattern, an automaton, several
+        monkeypatch.setattr(clean, "PATTERN_WORDS", most)
+        monkeypatch.setattr(clean, "SHARD_CHARS", chars)
+        got = clean.flag_profanity(df, "t", listed.union(spark.createDataFrame([(None,), ("",)], "w string")))
         assert sorted((r.t or "", r.has_profanity) for r in got.collect()) == expected
+        assert not any(r.has_profanity for r in clean.flag_profanity(df, "t", listed.limit(0)).collect())
 
 
 def test_valid_corpora(spark):
