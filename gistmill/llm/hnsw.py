@@ -53,6 +53,15 @@ def _nodes(size: int):
     return run
 
 
+def _scaled(vectors: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """Vectors by the largest component, of each where ``axis`` is 1: their order by
+    products stays, and single precision can hold their squares."""
+    if not vectors.size:
+        return vectors
+    most = np.abs(vectors).max(axis=axis, keepdims=True)
+    return vectors / np.where(most > 0, most, 1.0)
+
+
 class Graph:
     """Levels of neighbour arrays over a matrix of vectors."""
 
@@ -63,8 +72,9 @@ class Graph:
     @staticmethod
     def build(vectors: np.ndarray, chance: np.ndarray) -> "Graph":
         """``chance`` in (0, 1) per node decides its highest level."""
-        norms = (vectors**2).sum(axis=1)
-        even = np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
+        scaled = _scaled(vectors)
+        norms = (scaled**2).sum(axis=1)
+        even = np.hstack([scaled, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
         top = np.floor(-np.log(chance) / np.log(DEGREE)).astype(int)
         levels = []
         for level in range(int(top.max()) + 1 if len(top) else 1):
@@ -76,8 +86,8 @@ class Graph:
 
     def search(self, queries: np.ndarray, count: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and products of the nearest nodes found, padded by -1."""
-        vectors = self.vectors.astype(np.float32)
-        queries = queries.astype(np.float32)
+        vectors = _scaled(self.vectors).astype(np.float32)
+        queries = _scaled(queries, axis=1).astype(np.float32)
         n, q = len(vectors), len(queries)
         at = np.full(q, self.levels[-1][0][0])
         score = queries @ vectors[at[0]]
@@ -219,7 +229,7 @@ def build_index(vectors: DataFrame, size: int, keep: int) -> DataFrame:
 
 def search_index(index: DataFrame, queries: DataFrame, size: int, count: int, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries (vec_id, vector)."""
-    queries = stage(queries.select("vec_id", "vector").dropDuplicates(["vec_id"]), "hnsw-queries")
+    queries = stage(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")), "hnsw-queries")
     shards = [r.shard for r in index.select("shard").collect()]
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     if not shards:
@@ -261,8 +271,8 @@ def nearest(table: DataFrame, is_query: Column, count: int = 20, beam: int = BEA
 
     Rows without vec_id, and vectors that are null, zero, hold nulls or non-finite
     numbers, or have another length than most, take no part. Rows that share the
-    query's vec_id are its own; otherwise equal rows are one candidate. Equal
-    scores go to the smaller vec_id. Other columns don't matter.
+    query's vec_id are its own, and one of them asks, the first by its bytes; otherwise
+    equal rows are one candidate. Equal scores go to the smaller vec_id. Other columns don't matter.
     """
     spark = ready(table.sparkSession)
     rows = table.select("vec_id", "embedding", is_query.alias("_asked"))

@@ -12,7 +12,9 @@ verified on the shingles.
 Groups come in two rounds. The first takes documents that share a min-hash, which
 gathers nearly all copies. The second makes the join complete: similar sets share
 one of their first (1 - threshold) shingles in any common order, so groups of the
-first round that share such a shingle are compared with each other.
+first round that share such a shingle are compared with each other: first as nodes,
+by their bitmaps and sizes, in bounded chunks of those that have the shingle, and
+then, where two nodes may hold a link, by their members.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from gistmill.session import stage
 SEEDS = mix(np.arange(11, 14, dtype=np.uint64))
 CHUNK = 256
 LEAF = 8
+#: 64-bit words in the bitmap of a node of the second round.
+NODE_WORDS = 16
 FANOUT = 4
 
 
@@ -170,15 +174,23 @@ def _profile(k: int, share: float):
     return run
 
 
+def _signature(own: np.ndarray) -> np.ndarray:
+    """Bitmap of a set, as NODE_WORDS numbers."""
+    bits = np.zeros(64 * NODE_WORDS, dtype=bool)
+    bits[(own >> np.uint64(40)).astype(np.int64) % len(bits)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _prefixes(k: int, percent: int, frequent: np.ndarray):
-    """Arrow function: (doc_id, text) to the shingles of which similar sets share one.
+    """Arrow function: (doc_id, text) to the shingles of which similar sets share one,
+    and the bitmap of the set.
 
     In the order used, shingles of ``frequent`` come last; any order is right.
     """
 
     def run(batches):
         for batch in batches:
-            keys = []
+            keys, maps = [], []
             for _, sets in shingle_sets(batch.column("text"), k):
                 for own in sets:
                     many = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
@@ -188,15 +200,59 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray):
                         often = frequent[at] == own
                         rare = np.concatenate([own[~often], own[often]])
                     keys.append(rare[:many].view(np.int64))
+                    maps.append(_signature(own))
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            bits = np.concatenate(maps) if maps else np.zeros(0, np.int64)
+            places = (np.arange(len(maps) + 1) * NODE_WORDS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "keys"]
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.ListArray.from_arrays(pa.array(places), pa.array(bits))],
+                names=["doc_id", "keys", "bits"],
             )
 
     return run
 
 
+def _node_pairs(percent: int):
+    """Arrow function: nodes (group, part, mixed, component, least, most, spare, n, bits)
+    sorted by group to the pairs of each group that may hold a link. A mixed group
+    has two parts, which are compared with each other only."""
+
+    def run(batches):
+        for table in bundles(batches, "group"):
+            group, part, component, least, most, spare, n = (table.column(c).to_numpy() for c in ("group", "part", "component", "least", "most", "spare", "n"))
+            mixed = table.column("mixed").to_numpy(zero_copy_only=False)
+            bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, NODE_WORDS)
+            borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
+            left, right = [], []
+            for first, last in zip(borders[:-1], borders[1:]):
+                if last - first < 2:
+                    continue
+                own = slice(first, last)
+                low, high, over = least[own], most[own], spare[own]
+                for i in range(last - first - 1):
+                    rest = np.arange(i + 1, last - first)
+                    near = (100 * high[i] >= percent * low[rest]) & (100 * high[rest] >= percent * low[i])
+                    if mixed[first]:
+                        near &= part[own][rest] != part[first + i]
+                    rest = rest[near]
+                    if not len(rest):
+                        continue
+                    common = np.bitwise_count(bits[first + rest] & bits[first + i]).sum(axis=1, dtype=np.int64)
+                    possible = np.minimum(np.minimum(common + over[i], common + over[rest]), np.minimum(high[i], high[rest]))
+                    rest = rest[possible >= overlap_needed(np.maximum(low[i], 1), np.maximum(low[rest], 1), percent)]
+                    left.append(np.full(len(rest), first + i))
+                    right.append(first + rest)
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            swap = component[a] > component[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            names = ["a", "b"]
+            columns = [pa.array(x[i]) for i in (a, b) for x in (component, least, most, n)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"{c}_{side}" for side in names for c in ("component", "least", "most", "n")])
+
+    return run
+
+
 def _links(k: int, percent: int):
     """Arrow function: (group, doc_id, label, text) sorted by group to links."""
 
@@ -219,20 +275,35 @@ def _links(k: int, percent: int):
     return run
 
 
-def _candidates(parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of components (x, y, nx, ny) that share enough first shingles to hold
-    a link, from (key, component, least, most, n).
+def _candidates(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of components (x, y, nx, ny) that may hold a link, from documents
+    (component, n_shingles, keys, bits).
 
+    Components that have a key are cut in chunks, and each pair of chunks is one
+    group, so that rows grow with the components of a key and not with their pairs.
     Sets of n and m shingles that link have at least
     ceil(percent (n + m) / (100 + percent)) + 1 - ceil(percent max(n, m) / 100)
     of their first shingles in common. That falls with the larger size and grows
     with the smaller one, so the ends of the ranges of sizes give a bound.
     """
-    a, b = parts.alias("a"), parts.alias("b")
-    near = (F.col("a.most") * 100 >= F.col("b.least") * percent) & (F.col("b.most") * 100 >= F.col("a.least") * percent)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & near)
-    ends = [F.first(f"{side}.{name}").alias(f"{name}_{side}") for side in "ab" for name in ("least", "most", "n")]
-    pairs = pairs.groupBy(F.col("a.component").alias("x"), F.col("b.component").alias("y")).agg(F.count("*").alias("common"), *ends)
+    ones = F.aggregate("bits", F.lit(0).cast("long"), lambda acc, x: acc + F.bit_count(x))
+    nodes = held.groupBy("component").agg(
+        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("n"),
+        F.max(F.col("n_shingles") - ones).alias("spare"), F.array(*(F.bit_or(F.col("bits")[i]) for i in range(NODE_WORDS))).alias("bits"),
+    )
+    nodes = stage(nodes, "jaccard-nodes")
+    keyed = stage(held.select(F.explode("keys").alias("key"), "component").distinct(), "jaccard-keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("components")).where("components > 1")
+    chunks = F.ceil(F.col("components") / CHUNK).cast("int")
+    parts = keyed.join(sizes.select("key", chunks.alias("chunks")), "key").join(nodes, "component")
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("component"), F.col("chunks")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    group = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    parts = parts.select(group.alias("group"), "part", (F.col("part") != F.col("other")).alias("mixed"), "component", "least", "most", "spare", "n", "bits")
+    pairs = parts.repartition("group").sortWithinPartitions("group", "component").mapInArrow(
+        _node_pairs(percent), ", ".join(f"{c}_{side} long" for side in "ab" for c in ("component", "least", "most", "n")))
+    ends = [F.first(f"{name}_{side}").alias(f"{name}_{side}") for side in "ab" for name in ("least", "most", "n")]
+    pairs = pairs.groupBy(F.col("component_a").alias("x"), F.col("component_b").alias("y")).agg(F.count("*").alias("common"), *ends)
 
     def least_common(large: str, small: str):
         # Sizes further apart than a link allows don't count.
@@ -283,13 +354,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     # At most average size / share of them: the bound doesn't grow with the rows.
     floor = share * max(1, sized.count())
     frequent = np.array(sorted(np.array([r.sum1 for r in often.where(F.col("times") >= floor).select("sum1").collect()], dtype=np.int64).view(np.uint64)), dtype=np.uint64)
-    prefixes = texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, keys array<long>")
-    spans = first.groupBy("component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("n"))
-    sides = stage(first.join(spans, "component").select(F.col("node").alias("doc_id"), "component", "least", "most", "n"), "jaccard-sides")
-    keyed = stage(prefixes.join(sides, "doc_id").select(F.explode("keys").alias("key"), "component", "least", "most", "n"), "jaccard-keys")
-    span = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    parts = stage(keyed.join(span, "key").distinct(), "jaccard-parts")
-    pairs = _candidates(parts, percent)
+    prefixes = texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, keys array<long>, bits array<long>")
+    held = prefixes.join(first.select(F.col("node").alias("doc_id"), "component", "n_shingles"), "doc_id")
+    pairs = _candidates(stage(held.select("component", "n_shingles", "keys", "bits"), "jaccard-sides"), percent)
     big, small = F.when(F.col("nx") >= F.col("ny"), F.col("x")), F.when(F.col("nx") >= F.col("ny"), F.col("y"))
     pairs = pairs.select(big.otherwise(F.col("y")).alias("big"), small.otherwise(F.col("x")).alias("small"), F.greatest("nx", "ny").alias("n"))
     pairs = stage(pairs.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "jaccard-pairs")

@@ -134,6 +134,22 @@ def test_jaccard_groups(spark, share):
     assert len(set(expected.values())) < len(texts)
 
 
+def test_jaccard_of_one_template(spark, monkeypatch):
+    """Texts that share most of their words but don't link: candidates grow with the
+    texts, not with their pairs, and chunks of a hot shingle lose no link."""
+    template = [f"t{i}" for i in range(33)]
+    texts = [" ".join(template + [f"d{d}x{i}" for i in range(12)]) for d in range(300)]
+    near = [t + " more" for t in texts[::60]]
+    docs = list(enumerate(texts + near))
+    counted = []
+    candidates = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: (lambda df: (counted.append(df.count()), df)[1])(candidates(*a)))
+    monkeypatch.setattr(jaccard, "CHUNK", 40)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert got == {d: (d - 300) * 60 if d >= 300 else d for d, _ in docs}
+    assert counted[0] <= len(docs)
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame(spark, ODD).withColumn("component_id", F.lit(9))).collect())
     assert [g[::2] for g in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (6, 6), (7, 7), (8, 8)]
@@ -181,6 +197,25 @@ def test_nearest_ties_and_few(spark):
     assert hnsw.nearest(same.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sizes, recall", [((1e25, 1e25), 0.9), ((1e-25, 1e-25), 0.9), ((3e38, 3e38), 0.9), ((1e25, 1e-25), 0.8)])
+def test_nearest_of_large_and_small_vectors(spark, sizes, recall):
+    """Graphs are of single precision, so next to vectors 10^50 times as long the
+    small ones are found less surely; none fails, and scores are exact."""
+    rng = random.Random(6)
+    rows = [(i, [float(np.float32(rng.uniform(-1, 1) * sizes[i % 12 == 0])) for _ in range(8)]) for i in range(120)]
+    rows = [(i, v if any(v) else [1.0] * 8) for i, v in rows]
+    got = defaultdict(list)
+    for r in hnsw.nearest(frame(spark, rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, count=5).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got.keys() == {i for i, _ in rows if i % 10 == 0} and all(len(x) == 5 for x in got.values())
+    own, hits = dict(rows), 0
+    for q, found in got.items():
+        best = sorted((-float(np.dot(own[q], own[i])), i) for i in own if i != q)[:5]
+        hits += len({i for _, i in best} & {i for i, _ in found})
+        assert all(math.isclose(s, float(np.dot(own[q], own[i])), rel_tol=1e-12, abs_tol=1e-300) for i, s in found)
+    assert hits >= recall * 5 * len(got)
+
+
 def test_graph_reaches_clusters():
     rng = np.random.default_rng(2)
     table = np.concatenate([rng.normal(size=(60, 16)) * 0.05 + rng.normal(size=16) for _ in range(25)])
