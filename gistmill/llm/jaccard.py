@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.groups import components
-from gistmill.llm.words import bundles, mix, ready, shingle_sets
+from gistmill.llm.words import bundles, mix, ranges, ready, shingle_sets
 from gistmill.session import stage
 
 SEEDS = mix(np.arange(11, 14, dtype=np.uint64))
@@ -223,26 +223,25 @@ def _node_pairs(percent: int):
             group, part, component, least, most, spare, n = (table.column(c).to_numpy() for c in ("group", "part", "component", "least", "most", "spare", "n"))
             mixed = table.column("mixed").to_numpy(zero_copy_only=False)
             bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, NODE_WORDS)
-            borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
-            left, right = [], []
-            for first, last in zip(borders[:-1], borders[1:]):
-                if last - first < 2:
-                    continue
-                own = slice(first, last)
-                low, high, over = least[own], most[own], spare[own]
-                for i in range(last - first - 1):
-                    rest = np.arange(i + 1, last - first)
-                    near = (100 * high[i] >= percent * low[rest]) & (100 * high[rest] >= percent * low[i])
-                    if mixed[first]:
-                        near &= part[own][rest] != part[first + i]
-                    rest = rest[near]
-                    if not len(rest):
-                        continue
-                    common = np.bitwise_count(bits[first + rest] & bits[first + i]).sum(axis=1, dtype=np.int64)
-                    possible = np.minimum(np.minimum(common + over[i], common + over[rest]), np.minimum(high[i], high[rest]))
-                    rest = rest[possible >= overlap_needed(np.maximum(low[i], 1), np.maximum(low[rest], 1), percent)]
-                    left.append(np.full(len(rest), first + i))
-                    right.append(first + rest)
+            ends = np.searchsorted(group, group, side="right") if len(group) else np.zeros(0, np.int64)
+            after = ends - np.arange(len(group)) - 1
+            done = np.concatenate([[0], np.cumsum(after)])
+            left, right, first = [], [], 0
+            while first < len(group):
+                # Rows with the rows behind them in their group, about a million pairs at a time.
+                last = max(first + 1, int(np.searchsorted(done, done[first] + 1_000_000, side="right")) - 1)
+                x = np.repeat(np.arange(first, last), after[first:last])
+                y = ranges(np.arange(first, last) + 1, after[first:last])
+                near = (100 * most[x] >= percent * least[y]) & (100 * most[y] >= percent * least[x]) & ~(mixed[x] & (part[x] == part[y]))
+                x, y = x[near], y[near]
+                common = np.zeros(len(x), dtype=np.int64)
+                for word in range(NODE_WORDS):
+                    common += np.bitwise_count(bits[x, word] & bits[y, word])
+                possible = np.minimum(np.minimum(common + spare[x], common + spare[y]), np.minimum(most[x], most[y]))
+                near = possible >= overlap_needed(np.maximum(least[x], 1), np.maximum(least[y], 1), percent)
+                left.append(x[near])
+                right.append(y[near])
+                first = last
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
             swap = component[a] > component[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
