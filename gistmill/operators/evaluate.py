@@ -93,7 +93,7 @@ def pair_redundancy(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     and pairs of sentences are never rows of their own.
     """
     keys = list(keys)
-    words = F.regexp_extract_all("sentence", F.lit(_TOKEN), F.lit(0))
+    words = word_tokens("sentence")
     described = (
         summary.filter(F.col("sentence") != "")
         .withColumn("words", words)
@@ -159,6 +159,73 @@ def word_vectors(summary: DataFrame, size: int = 50, seed: int = 42, min_count:
     return model.transform(words).withColumn("vector", vector_to_array("_vector")).drop("_words", "_vector")
 
 
+def _longest_common_run(a: list[str], b: list[str]) -> int:
+    """Length of the longest run of words in both, by the suffix automaton of ``a``:
+    each state is a set of runs that end at the same places."""
+    follows, link, length, last = [{}], [-1], [0], 0
+    for word in a:
+        state = len(follows)
+        follows.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        at, last = last, state
+        while at >= 0 and word not in follows[at]:
+            follows[at][word] = state
+            at = link[at]
+        if at < 0:
+            continue
+        target = follows[at][word]
+        if length[target] == length[at] + 1:
+            link[state] = target
+            continue
+        # The runs of the target that end here too get a state of their own.
+        shorter = len(follows)
+        follows.append(dict(follows[target]))
+        link.append(link[target])
+        length.append(length[at] + 1)
+        link[target] = link[state] = shorter
+        while at >= 0 and follows[at].get(word) == target:
+            follows[at][word] = shorter
+            at = link[at]
+    best = run = at = 0
+    for word in b:
+        while at and word not in follows[at]:
+            at = link[at]
+            run = length[at]
+        at = follows[at].get(word, 0)
+        run = run + 1 if at else 0
+        best = max(best, run)
+    return best
+
+
+def longest_common_run(a: Column | str, b: Column | str) -> Column:
+    """The length in words of the longest run that two arrays of words share; null
+    where one is null. Time and memory grow with the words of both, not with their
+    product."""
+    @F.pandas_udf("long")
+    def longest(x: pd.Series, y: pd.Series) -> pd.Series:
+        runs = [None if p is None or q is None else _longest_common_run(*sorted((list(p), list(q)), key=len)) for p, q in zip(x, y)]
+        return pd.Series(runs, dtype="Int64")
+
+    return longest(a, b)
+
+
+def word_tokens(c: Column | str) -> Column:
+    """Words and single marks of a text, as the pair measures compare them."""
+    return F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+
+
+def common_runs(summary: DataFrame, keys: Sequence[str], order: str = "rank", text: str = "sentence") -> DataFrame:
+    """For every two neighbours: ``run``, the words of the longest run in both, and
+    ``share``, its part of the shorter one (0 where that is empty)."""
+    keys = list(keys)
+    worded = stage(summary.select(*keys, order, word_tokens(text).alias("_words")), "words")
+    following = worded.select(*keys, (F.col(order) - 1).alias(order), F.col("_words").alias("_next"))
+    run = worded.join(following, [*keys, order]).withColumn("run", longest_common_run("_words", "_next"))
+    shorter = F.nullif(F.least(F.size("_words"), F.size("_next")), F.lit(0))
+    return run.select(*keys, order, "run", F.coalesce(F.col("run") / shorter, F.lit(0.0)).alias("share"))
+
+
 def grammar(summary: DataFrame, keys: Sequence[str], errors: str = "n_errors") -> DataFrame:
     """Errors found by the caller's checker: their total, the words, and
     ``1 - errors / words``."""

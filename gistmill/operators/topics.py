@@ -17,6 +17,8 @@ class TopicModel(NamedTuple):
     topics: DataFrame | None  # keys, topic int, terms array<string>
     keywords: DataFrame  # keys, term string, topics array<int>, and n_topics of the group if it has keys
     n_topics: int | None  # of all groups, where there is one model
+    weights: DataFrame | None = None  # keys, n_topics, topic, term, weight: how often a term has the topic
+    fits: tuple[float, ...] = ()  # per round, the mean log weight of the topics terms had before it
 
 
 def topic_terms(df: DataFrame, text: str, name: str = "words") -> DataFrame:
@@ -25,18 +27,22 @@ def topic_terms(df: DataFrame, text: str, name: str = "words") -> DataFrame:
 
 def fit_topics(
     df: DataFrame, text: str, keys: Sequence[str] = (), n_topics: int | None = None, n_keywords: int | None = None,
-    seed: int = 42, max_iter: int = 5,
+    seed: int = 42, max_iter: int = 20, tolerance: float = 0.005,
 ) -> TopicModel:
     """Topics of each group of texts, all groups at once; without ``keys`` one
     model of the whole table.
 
     Without ``n_topics`` a group has one topic per five texts, and groups of fewer
-    than ten have none; a topic has ``n_keywords`` terms, or ``4 + topics / 5``.
+    than five have none; a topic has ``n_keywords`` terms, or ``4 + topics / 5``.
     The model is latent Dirichlet allocation by sampling: every term of a text has
     a topic, redrawn in each round among those of its text and one more, in
     proportion to their weights in text and term. Weights are tables keyed by group,
     text, topic and term, so neither vocabulary nor topics have a limit. Draws come
     from hashes, so a run repeats.
+
+    Rounds end once the mean log weight of the topics that terms have has grown by
+    less than ``tolerance`` of itself since the round before, or after ``max_iter``;
+    the last one takes the best topics instead of drawing.
     """
     ship(df.sparkSession)
     keys = list(keys)
@@ -45,38 +51,47 @@ def fit_topics(
     sizes = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("_texts")) if keys else words.agg(F.count(F.lit(1)).alias("_texts"))
     many = F.floor(F.col("_texts") / 5) if n_topics is None else F.lit(n_topics)
     terms = F.floor(4 + F.col("n_topics") / 5) if n_keywords is None else F.lit(n_keywords)
-    sizes = sizes.withColumn("n_topics", many.cast("int")).filter("n_topics >= 2").withColumn("_terms", terms.cast("int")).drop("_texts")
+    sizes = sizes.withColumn("n_topics", many.cast("int")).filter("n_topics >= 1").withColumn("_terms", terms.cast("int")).drop("_texts")
     tokens = words.select(*keys, "doc", F.explode("words").alias("term")).groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).alias("n"))
     if keys:
         tokens = tokens.join(small_side(sizes, "topic-sizes"), keys)
     else:
         one = sizes.first()
         if one is None:
-            raise ValueError("a topic model needs at least two topics, that is ten texts")
+            raise ValueError("a topic model needs at least one topic, that is five texts")
         tokens = tokens.withColumn("n_topics", F.lit(one.n_topics)).withColumn("_terms", F.lit(one._terms))
     draw = lambda salt: F.pmod(F.xxhash64("doc.hash", "term", F.lit(seed * 1000 + salt)), F.col("n_topics")).cast("int")
     given = stage(tokens.withColumn("topic", draw(0)), "topic-tokens")
+    fits: list[float] = []
+    last = False
     for turn in range(1, max_iter + 1):
+        last = last or turn == max_iter
         in_text = given.groupBy(*keys, "doc", "topic").agg(F.sum("n").alias("_in_text"))
         in_term = given.groupBy(*keys, "topic", "term").agg(F.sum("n").alias("_in_term"))
         in_all = in_term.groupBy(*keys, "topic").agg(F.sum("_in_term").alias("_in_all"), F.count(F.lit(1)).alias("_kinds"))
-        base = given.drop("topic")
+        base = given.drop("_fit").withColumnRenamed("topic", "_had")
         options = base.join(in_text, [*keys, "doc"]).unionByName(base.withColumn("topic", draw(turn)).withColumn("_in_text", F.lit(0).cast("long")))
         options = options.join(in_term, [*keys, "topic", "term"], "left").join(in_all, [*keys, "topic"], "left")
         held = lambda c: F.coalesce(F.col(c), F.lit(0))
         weight = F.log(held("_in_text") + 1 / F.col("n_topics")) + F.log(held("_in_term") + 0.01) - F.log(held("_in_all") + 0.01 * (held("_kinds") + 1))
         uniform = (F.pmod(F.xxhash64("doc.hash", "term", "topic", F.lit(seed * 1000 + 500 + turn)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        chance = -F.log(-F.log(uniform)) if turn < max_iter else F.lit(0.0)
+        chance = F.lit(0.0) if last else -F.log(-F.log(uniform))
         best = F.max(F.struct((weight + chance).alias("w"), (-F.col("topic")).alias("t"))).alias("best")
         same = ["n", "n_topics", "_terms"]
-        given = stage(
-            options.groupBy(*keys, "doc", "term").agg(best, *(F.first(c).alias(c) for c in same)).select(*keys, "doc", "term", *same, (-F.col("best.t")).alias("topic")),
-            "topic-tokens",
+        drawn = options.groupBy(*keys, "doc", "term").agg(
+            best, F.max(F.when(F.col("topic") == F.col("_had"), weight)).alias("_fit"), *(F.first(c).alias(c) for c in same)
         )
+        given = stage(drawn.select(*keys, "doc", "term", *same, (-F.col("best.t")).alias("topic"), "_fit"), "topic-tokens")
+        fits.append(given.agg(F.sum(F.col("n") * F.col("_fit")) / F.sum("n")).first()[0] or 0.0)
+        if last:
+            break
+        last = len(fits) > 1 and fits[-1] - fits[-2] < tolerance * abs(fits[-2])
     per_group = [*keys, "n_topics", "_terms"]
-    found = given.groupBy(*per_group, "topic", "term").agg(F.sum("n").cast("double").alias("weight"))
+    found = stage(given.groupBy(*per_group, "topic", "term").agg(F.sum("n").cast("double").alias("weight")), "topic-weights")
     # Where a topic has too few terms, the group's most frequent ones follow.
     common = given.groupBy(*per_group, "term").agg(F.sum("n").alias("_n"))
+    if not keys:
+        common = common.orderBy(F.desc("_n"), "term").limit(2 * one._terms)
     common = common.withColumn("_at", F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("_n"), "term"))).filter("_at <= 2 * _terms")
     fill = common.select(*per_group, F.explode(F.sequence(F.lit(0), F.col("n_topics") - 1)).alias("topic"), "term", (0.01 / F.col("_at")).alias("weight"))
     weighed = found.unionByName(fill).groupBy(*per_group, "topic", "term").agg(F.sum("weight").alias("weight"))
@@ -85,8 +100,99 @@ def fit_topics(
     listed = listed.groupBy(*keys, "n_topics", "topic").agg(F.array_sort(F.collect_list(F.struct("_at", "term"))).alias("_listed"))
     topics = stage(listed.select(*keys, "n_topics", "topic", F.transform("_listed", lambda x: x["term"]).alias("terms")), "topics")
     if keys:
-        return TopicModel(topics.drop("n_topics"), keyword_map(topics, [*keys, "n_topics"]), None)
-    return TopicModel(topics.drop("n_topics"), keyword_map(topics), one.n_topics)
+        return TopicModel(topics.drop("n_topics"), keyword_map(topics, [*keys, "n_topics"]), None, found.drop("_terms"), tuple(fits))
+    return TopicModel(topics.drop("n_topics"), keyword_map(topics), one.n_topics, found.drop("_terms"), tuple(fits))
+
+
+def perplexity(
+    weights: DataFrame, words: DataFrame, keys: Sequence[str] = (), rounds: int = 10, alpha: float = 0.1, beta: float = 0.01,
+) -> DataFrame:
+    """``n_terms, perplexity`` of texts a model has not seen, per group: how many
+    terms are equally hard to choose from. Lower is better.
+
+    ``weights`` are those of a TopicModel, ``words`` has a column ``words`` of terms.
+    Terms are split in two halves by hash. A text's topic shares are fitted to the
+    first half by expectation maximisation, and the second half is scored with them.
+    Terms the model doesn't know take no part, nor do texts without any in one half.
+    """
+    if not keys:
+        one = F.lit(0).alias("_one")
+        return perplexity(weights.select("*", one), words.select("*", one), ["_one"], rounds, alpha, beta).drop("_one")
+    keys = list(keys)
+    weights = stage(weights, "model")
+    known = weights.select(*keys, "term").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_kinds"))
+    of_topic = weights.groupBy(*keys, "topic").agg(F.sum("weight").alias("_total"), F.first("n_topics").alias("n_topics"))
+    sizes = of_topic.join(known, keys)
+    sizes = sizes.withColumn("_mass", F.col("_total") + beta * F.col("_kinds"))
+    # A term a topic lacks has beta / mass there; the sum of these over topics is one number a group.
+    floor = sizes.groupBy(*keys).agg(F.sum(beta / F.col("_mass")).alias("_floor"), F.first("n_topics").alias("_topics"))
+    has = weights.drop("n_topics").join(small_side(sizes.select(*keys, "topic", "_mass"), "topic-sizes"), [*keys, "topic"])
+    phi = stage(has.select(*keys, "topic", "term", ((F.col("weight") + beta) / F.col("_mass")).alias("_phi"), (F.col("weight") / F.col("_mass")).alias("_more")), "phi")
+    base = phi.groupBy(*keys, "term").agg(F.sum("_more").alias("_above"))
+    doc = F.struct(F.xxhash64("words").alias("hash"), F.monotonically_increasing_id().alias("number")).alias("doc")
+    numbered = stage(words.select(*keys, doc, "words"), "words")
+    tokens = numbered.select(*keys, "doc", F.explode("words").alias("term")).groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    tokens = stage(tokens.join(base, [*keys, "term"]).withColumn("_second", F.xxhash64("term") % 2 == 0), "tokens")
+    held = tokens.filter("_second")
+    seen = stage(tokens.filter("not _second").join(phi, [*keys, "term"]).select(*keys, "doc", "term", "n", "topic", "_phi"), "seen")
+    share = seen.groupBy(*keys, "doc", "topic").agg(F.sum(F.col("n") * F.col("_phi")).alias("_theta"))
+    by_term, by_text = [*keys, "doc", "term"], [*keys, "doc", "topic"]
+    for _ in range(rounds):
+        met = seen.join(stage(share, "theta"), by_text)
+        weight = F.col("_phi") * F.col("_theta")
+        per_term = met.groupBy(*by_term, "n").agg(F.collect_list(F.struct("topic", weight.alias("w"))).alias("_all"))
+        total = F.aggregate("_all", F.lit(0.0), lambda s, x: s + x["w"])
+        per_term = per_term.select(*keys, "doc", "n", total.alias("_sum"), F.inline("_all"))
+        share = per_term.groupBy(*by_text).agg((F.sum(F.col("n") * F.col("w") / F.col("_sum")) + alpha).alias("_theta"))
+    share = stage(share.withColumn("_count", F.col("_theta") - alpha), "theta")
+    lengths = share.groupBy(*keys, "doc").agg(F.sum("_count").alias("_length"))
+    own = held.join(share, [*keys, "doc"]).join(phi, [*keys, "topic", "term"], "left")
+    own = own.join(small_side(sizes.select(*keys, "topic", "_mass"), "topic-sizes"), [*keys, "topic"])
+    chance = F.sum(F.col("_count") * F.coalesce("_phi", beta / F.col("_mass"))).alias("_own")
+    scored = own.groupBy(*by_term, "n", "_above").agg(chance).join(lengths, [*keys, "doc"])
+    scored = scored.join(small_side(floor, "topic-floors"), keys)
+    p = (F.col("_own") + alpha * (F.col("_above") + F.col("_floor"))) / (F.col("_length") + alpha * F.col("_topics"))
+    return scored.groupBy(*keys).agg(
+        F.sum("n").alias("n_terms"), F.exp(-F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias("perplexity")
+    )
+
+
+def coherence(topics: DataFrame, words: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``topic, n_pairs, coherence``: the mean over pairs of a topic's terms of how
+    much more often texts hold both than if they were independent, -1 to 1.
+
+    ``topics`` has a row per topic with ``terms``, ``words`` a row per text with
+    ``words``. The measure of a pair is its pointwise mutual information over
+    ``-log`` of the share of texts that hold both: -1 where none does, 1 where both
+    are in all texts. Only pairs found in a text become rows. A topic of one term
+    has no pairs and a null coherence.
+    """
+    if not keys:
+        one = F.lit(0).alias("_one")
+        return coherence(topics.select("*", one), words.select("*", one), ["_one"]).drop("_one")
+    keys = list(keys)
+    topics = stage(topics.select(*keys, "topic", F.array_distinct("terms").alias("terms")), "topics")
+    listed = topics.select(*keys, "topic", F.explode("terms").alias("term"))
+    doc = F.struct(F.xxhash64("words").alias("hash"), F.monotonically_increasing_id().alias("number")).alias("doc")
+    numbered = stage(words.select(*keys, doc, F.array_distinct("words").alias("words")), "words")
+    texts = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_texts"))
+    met = numbered.select(*keys, "doc", F.explode("words").alias("term")).join(small_side(listed, "topic-terms"), [*keys, "term"])
+    held = stage(met.groupBy(*keys, "topic", "doc").agg(F.array_sort(F.collect_list("term")).alias("held")), "held")
+    single = held.select(*keys, "topic", F.explode("held").alias("term")).groupBy(*keys, "topic", "term").agg(F.count(F.lit(1)).alias("_df"))
+    pairs = F.flatten(F.transform("held", lambda a: F.transform(F.filter("held", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    both = held.select(*keys, "topic", F.inline(pairs)).groupBy(*keys, "topic", "a", "b").agg(F.count(F.lit(1)).alias("_both"))
+    for side in "ab":
+        both = both.join(single.select(*keys, "topic", F.col("term").alias(side), F.col("_df").alias(f"_{side}")), [*keys, "topic", side])
+    both = both.join(small_side(texts, "texts"), keys)
+    pmi = F.log(F.col("_both") * F.col("_texts") / (F.col("_a") * F.col("_b").cast("double")))
+    scaled = F.when(F.col("_both") == F.col("_texts"), 1.0).otherwise(pmi / F.log(F.col("_texts") / F.col("_both")))
+    sums = both.groupBy(*keys, "topic").agg(F.sum(scaled).alias("_sum"), F.count(F.lit(1)).alias("_found"))
+    size = F.size("terms").cast("long")
+    n_pairs = (size * (size - 1) / 2).cast("long")
+    found, total = F.coalesce("_found", F.lit(0)), F.coalesce("_sum", F.lit(0.0))
+    return topics.join(sums, [*keys, "topic"], "left").select(
+        *keys, "topic", n_pairs.alias("n_pairs"), ((total - (n_pairs - found)) / F.nullif(n_pairs, F.lit(0))).alias("coherence")
+    )
 
 
 def keyword_map(topics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

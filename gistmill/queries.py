@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from gistmill.functions import text as tx
 from gistmill.functions.wordlists import ABBREVIATIONS, PUNCTUATION, STOP_WORDS
-from gistmill.operators import clean, crawl, evaluate, greedy, scoring, selection, splitting, terms, topics, transcripts
+from gistmill.operators import clean, crawl, evaluate, greedy, scoring, selection, splitting, terms, topics, transcripts, vectors
 from gistmill.plans import corpus
 from gistmill.plans import summarize as plans
 from gistmill.session import ship, spread, stage, staging_dir
-from gistmill.sources import readers
+from gistmill.sources import readers, sinks
 from gistmill.sources.schemas import UTTERANCES
 from gistmill.streaming import ingest
 
@@ -388,6 +388,40 @@ def ingested_batches(t):
     return ingest.read_ingested(t.spark, f"{folder}/table", UTTERANCES).select("conv_id", "res_id", "answer_text")
 
 
+# Turns as CSV where some numbers are missing or no numbers, some rows have a cell
+# too few or too many, and some texts hold line feeds.
+_CSV_KIND = "(conv_id * 31 + turn) % 7"
+
+
+def _csv_text(kind, text, other):
+    return F.when(kind == 4, F.concat(F.lit('"so"\nand, '), text)).otherwise(other)
+
+
+def _csv_lines(t) -> DataFrame:
+    kind = (F.col("conv_id") * 31 + F.col("turn")) % 7
+    said = _csv_text(kind, F.col("text"), F.col("text"))
+    quoted = F.concat(F.lit('"'), F.replace(said, F.lit('"'), F.lit('""')), F.lit('"'))
+    first = F.when(kind == 1, F.concat(F.lit("x"), "conv_id")).otherwise(F.col("conv_id").cast("string"))
+    second = F.when(kind == 0, F.lit("NA")).otherwise(F.col("turn").cast("string"))
+    rest = F.when(kind == 2, F.lit("")).when(kind == 3, F.concat(F.lit(","), quoted, F.lit(",more"))).otherwise(F.concat(F.lit(","), quoted))
+    return t.conversations.select(F.concat(first, F.lit(","), second, F.lit(","), "role", rest).alias("value"))
+
+
+@query(f"""WITH k AS (SELECT *, {_CSV_KIND} AS kind, '"' || replace(text, '"', '""') || '"' AS quoted FROM conversations)
+SELECT CASE WHEN kind NOT IN (1, 2, 3) THEN conv_id END AS conv_id, CASE WHEN kind NOT IN (0, 2, 3) THEN CAST(turn AS BIGINT) END AS turn,
+  CASE WHEN kind NOT IN (2, 3) THEN role END AS role,
+  CASE WHEN kind IN (2, 3) THEN NULL WHEN kind = 4 THEN '"so"' || chr(10) || 'and, ' || text ELSE text END AS text,
+  CASE WHEN kind IN (2, 3) THEN 'columns' WHEN kind = 1 THEN 'conv_id' END AS damage,
+  CASE WHEN kind = 1 THEN 'x' || conv_id WHEN kind = 2 THEN conv_id || ',' || turn || ',' || role
+    WHEN kind = 3 THEN conv_id || ',' || turn || ',' || role || ',' || quoted || ',more' END AS record
+FROM k""")
+def checked_csv(t):
+    path = f"{staging_dir(t.spark)}/gistmill/csv-{uuid.uuid4().hex}"
+    _csv_lines(t).write.text(path)
+    schema = T.StructType.fromDDL("conv_id long, turn int, role string, text string")
+    return readers.read_checked(t.spark, path, schema, ["NA"], header=False)
+
+
 # --- transcripts and markup ------------------------------------------------
 
 def _transcript_sql(c="text"):
@@ -1002,6 +1036,21 @@ def number_groups(t):
     return plans.number_groups(t.documents, ["source"], ["doc_id"])
 
 
+# --- summaries as files ----------------------------------------------------
+
+@query(summary_sql(SRC_SEN, "source", "doc_id", "percent", share=0.10, end="") + """
+SELECT source, part, idx, replace(sentence, chr(10), ' ') AS sentence FROM (
+  SELECT source, 'source' AS part, row_number() OVER (PARTITION BY source ORDER BY doc_id, sen_pos) - 1 AS idx, sentence FROM sen
+  UNION ALL SELECT source, 'summary', row_number() OVER (PARTITION BY source ORDER BY rank) - 1, sentence FROM picks) r""")
+def summary_folders(t):
+    """Source and summary of each group written as text files, and parsed again."""
+    path = f"{staging_dir(t.spark)}/gistmill/summaries-{uuid.uuid4().hex}"
+    sentences = stage(document_sentences(t, ["source"], ["doc_id"]), "sentences")
+    summary = plans.summarize_sentences(sentences, ["source"], ["doc_id"], share=0.10, score_digits=DIGITS)
+    sinks.write_summary_files(sentences, summary, "source", ["doc_id", "sen_pos"], path)
+    return readers.read_summary_folders(t.spark, path, "source")
+
+
 # --- topics ----------------------------------------------------------------
 
 N_TOPICS = 10
@@ -1080,6 +1129,42 @@ def fitted_topic_summary(t):
     return plans.summarize(t.conversations, ["conv_id"], ["turn"], "text", method="topics", share=0.10, model=model)
 
 
+_COHERENCE_SQL = f"""WITH listed AS (
+  SELECT DISTINCT item_id % {N_TOPICS} AS topic, unnest(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda w: length(w) BETWEEN 9 AND 15)) AS term
+  FROM benchmark
+), held AS (
+  SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(translate(text, {lit(PUNCTUATION)}, '')), '\\p{{L}}+'),
+    lambda w: length(w) BETWEEN 2 AND 15 AND NOT list_contains({STOP_LIST}, w))) AS term FROM documents
+), met AS (SELECT doc_id, topic, term FROM held JOIN listed USING (term)),
+single AS (SELECT topic, term, count(*) AS df FROM met GROUP BY ALL),
+pairs AS (SELECT topic, a.term AS a, b.term AS b, count(*) AS n FROM met a JOIN met b USING (doc_id, topic) WHERE a.term < b.term GROUP BY ALL),
+total AS (SELECT count(*) AS texts FROM documents),
+scored AS (
+  SELECT topic, CASE WHEN n = texts THEN 1 ELSE ln(n * texts / (x.df * y.df)) / ln(texts / n) END AS npmi
+  FROM pairs JOIN single x USING (topic) JOIN single y USING (topic), total WHERE x.term = a AND y.term = b
+), sums AS (SELECT topic, sum(npmi) AS s, count(*) AS f FROM scored GROUP BY topic),
+sized AS (SELECT topic, count(*) * (count(*) - 1) // 2 AS n_pairs FROM listed GROUP BY topic)
+SELECT topic, CAST(n_pairs AS BIGINT) AS n_pairs, round((coalesce(s, 0) - (n_pairs - coalesce(f, 0))) / nullif(n_pairs, 0), 6) + 0.0 AS coherence
+FROM sized LEFT JOIN sums USING (topic)"""
+
+
+@query(_COHERENCE_SQL)
+def topic_coherence(t):
+    """How well the terms of given topics, long words of benchmark items, go together in the documents."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    listed = t.benchmark.select((F.col("item_id") % N_TOPICS).alias("topic"), found.alias("term")).filter(F.length("term").between(9, 15))
+    given = listed.groupBy("topic").agg(F.collect_set("term").alias("terms"))
+    return topics.coherence(given, t.documents.select(tx.topic_words("text").alias("words")))
+
+
+@query()
+def topic_perplexity(t):
+    """Topics fitted to four fifths of the documents, measured on the others."""
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    model = topics.fit_topics(t.documents.filter(~fold), "text", n_topics=20)
+    return topics.perplexity(model.weights, topics.topic_terms(t.documents.filter(fold), "text").select("words"))
+
+
 # --- evaluation ------------------------------------------------------------
 
 # DuckDB's edit distance counts bytes, so there each accented letter becomes a
@@ -1248,6 +1333,70 @@ def _chosen(t, **options) -> DataFrame:
     return evaluate.choose_candidate(first, second, ["conv_id"])
 
 
+# Words of each conversation turn without marks, in lower case.
+_VECTOR_SIZE, _WINDOW = 16, 4
+_SIGNED = ", ".join(f"sum(CASE WHEN substr(md5(context), {i + 1}, 1) >= '8' THEN w ELSE -w END) AS v{i}" for i in range(_VECTOR_SIZE))
+_VECTOR_LIST = "[" + ", ".join(f"coalesce(v{i}, 0)" for i in range(_VECTOR_SIZE)) + "]"
+_VECTORS_SQL = f"""said AS (
+  SELECT list_transform({words_sql(f"translate(text, {lit(PUNCTUATION)}, '')")}, lambda w: lower(w)) AS ws FROM conversations
+), near_words AS (
+  SELECT unnest(list_transform(range(1, len(ws) - d + 1), lambda i: {{'word': ws[i], 'context': ws[i + d]}})) AS p FROM said, (SELECT unnest(range(1, {_WINDOW + 1})) AS d) ds
+), meets AS (
+  SELECT word, context, count(*) AS n FROM (SELECT p.word AS word, p.context AS context FROM near_words UNION ALL SELECT p.context, p.word FROM near_words) b GROUP BY ALL
+), word_totals AS (SELECT word, sum(n) AS total FROM meets GROUP BY word),
+weighed AS (
+  SELECT meets.word, context, n * CAST((SELECT sum(total) FROM word_totals) AS DOUBLE) / (CAST(o.total AS DOUBLE) * CAST(c.total AS DOUBLE)) AS chance
+  FROM meets JOIN word_totals o ON o.word = meets.word JOIN word_totals c ON c.word = meets.context
+), signed AS (
+  SELECT word, {_SIGNED} FROM (SELECT word, context, CAST(round(ln(chance) * 1000000) AS BIGINT) AS w FROM weighed WHERE chance > 1) x GROUP BY word
+), word_vecs AS (SELECT word, {_VECTOR_LIST} AS vec FROM word_totals LEFT JOIN signed USING (word))"""
+
+
+def _learned(t) -> DataFrame:
+    words = tx.lowered(tx.split_words(tx.strip_punctuation("text")))
+    return vectors.learn_vectors(spread(t.conversations.select(words.alias("words"))), "words", _VECTOR_SIZE, _WINDOW)
+
+
+@query(f"WITH {_VECTORS_SQL} SELECT word, CAST(generate_subscripts(vec, 1) - 1 AS BIGINT) AS dim, CAST(unnest(vec) AS BIGINT) AS value FROM word_vecs")
+def learned_vectors(t):
+    return _learned(t).select("word", F.posexplode("vector").alias("dim", "value"))
+
+
+_MEANS = ", ".join(f"avg(CAST(vec[{i + 1}] AS DOUBLE))" for i in range(_VECTOR_SIZE))
+
+
+@query(_SUM_250 + f""", {_VECTORS_SQL}, opened AS (
+  SELECT conv_id, rank, unnest(list_transform({words_sql(f"translate(sentence, {lit(PUNCTUATION)}, '')")}, lambda w: lower(w))) AS word FROM picks
+), means AS (SELECT conv_id, rank, [{_MEANS}] AS vec FROM opened JOIN word_vecs USING (word) GROUP BY ALL),
+placed AS (SELECT conv_id, rank, vec FROM picks LEFT JOIN means USING (conv_id, rank)),
+sims AS (
+  SELECT a.conv_id, b.rank IS NOT NULL AS paired, coalesce(CASE WHEN list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec) > 0
+    THEN list_cosine_similarity(a.vec, b.vec) END, 0) AS sim
+  FROM placed a LEFT JOIN placed b ON a.conv_id = b.conv_id AND b.rank = a.rank + 1
+) SELECT conv_id, round(CAST(-0.1 * sum(CAST(paired AND sim < 0.5 AS INT)) AS DOUBLE), 6) + 0.0 AS focus FROM sims GROUP BY conv_id""")
+def focus_trained(t):
+    """Focus by vectors learned from the conversations; unlike is below 0.5 here, as
+    words of one table keep much of the same company."""
+    words = tx.lowered(tx.split_words(tx.strip_punctuation("sentence")))
+    summary = stage(summary_250(t).select("conv_id", "rank", words.alias("words")), "summary")
+    placed = vectors.sentence_vectors(summary, ["conv_id", "rank"], "words", _learned(t), _VECTOR_SIZE)
+    return evaluate.focus(placed, ["conv_id"], "vector", low=0.5)
+
+
+@query(f"""WITH said AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]') AS w FROM conversations),
+pairs AS (SELECT a.conv_id, a.turn, least(len(a.w), len(b.w)) AS shorter FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+opened AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM said),
+met AS (
+  SELECT a.conv_id, a.turn, a.pos - b.pos AS diagonal, a.pos AS i FROM opened a JOIN opened b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.word = b.word
+), islands AS (SELECT conv_id, turn, diagonal, i - row_number() OVER (PARTITION BY conv_id, turn, diagonal ORDER BY i) AS island FROM met),
+runs AS (SELECT conv_id, turn, count(*) AS run FROM islands GROUP BY conv_id, turn, diagonal, island),
+longest AS (SELECT conv_id, turn, max(run) AS run FROM runs GROUP BY ALL)
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(run, 0) AS run, round(coalesce(run / nullif(shorter, 0), 0), 6) + 0.0 AS share
+FROM pairs LEFT JOIN longest USING (conv_id, turn)""")
+def common_runs(t):
+    return evaluate.common_runs(t.conversations, ["conv_id"], "turn", "text")
+
+
 _ROUGE_WORDS = "list_transform({0}, lambda w: lower(w))"
 _ROUGE_SQL = f"""WITH said AS (SELECT conv_id, turn, role, {_ROUGE_WORDS.format(words_sql(f"translate(text, {lit(PUNCTUATION)}, '')"))} AS w FROM conversations),
 c AS (SELECT conv_id, turn, g, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM said) x GROUP BY ALL),
