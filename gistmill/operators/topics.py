@@ -27,7 +27,7 @@ def topic_terms(df: DataFrame, text: str, name: str = "words") -> DataFrame:
 
 def fit_topics(
     df: DataFrame, text: str, keys: Sequence[str] = (), n_topics: int | None = None, n_keywords: int | None = None,
-    seed: int = 42, max_iter: int = 20, tolerance: float = 0.005,
+    seed: int = 42, max_iter: int = 12, tolerance: float = 0.02,
 ) -> TopicModel:
     """Topics of each group of texts, all groups at once; without ``keys`` one
     model of the whole table.

@@ -218,6 +218,39 @@ def test_summary_files(spark, tmp_path):
     assert tuple(spark.read.csv(str(tmp_path / "scores")).first()) == ("0.1", "0.2", "0.3", "0.6")
 
 
+def test_summary_folders_of_many_files(spark, tmp_path):
+    sentences = [(g, i, f"{g} sentence {i}.") for g in (1, 2) for i in range(300)] + [(3, 0, "with\nline feed."), (None, 0, "no group.")]
+    summary = [(1, r, f"1 sentence {300 - r}.") for r in range(1, 40)] + [(3, 1, "Summary: ")]
+    path = str(tmp_path / "folders")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_summary_files(
+            spark.createDataFrame(sentences, "val int, sen_pos int, sentence string"),
+            spark.createDataFrame(summary, "val int, rank int, sentence string"), "val", ["sen_pos"], path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "folders").glob("val=*/*.txt"))) > 4  # a group is several files
+    got = sorted(((r.val, r.part, r.idx, r.sentence) for r in readers.read_summary_folders(spark, path, "val").collect()), key=str)
+    expected = [(g, "source", i, s.replace("\n", " ")) for g, i, s in sentences] + [(g, "summary", r - 1, s) for g, r, s in summary]
+    assert got == sorted(expected, key=str)
+
+
+def test_read_checked(spark, tmp_path):
+    (tmp_path / "table.csv").write_text(
+        'id,name,size\n1,"a, ""quoted""\nname",2.5\nNA,b,NA\nx7,c,1\n4,d\n5,e,1,more\n6,,big\n\n7,n/a,3\n')
+    schema = "id int, name string, size double"
+    from pyspark.sql.types import StructType
+
+    got = readers.read_checked(spark, str(tmp_path / "table.csv"), StructType.fromDDL(schema), ["NA", "n/a"])
+    assert [tuple(r) for r in got.collect()] == [
+        (1, 'a, "quoted"\nname', 2.5, None, None), (None, "b", None, None, None), (None, "c", 1.0, "id", "x7"),
+        (None, None, None, "columns", "4,d"), (None, None, None, "columns", "5,e,1,more"), (6, None, None, "size", "big"),
+        (7, None, 3.0, None, None)]
+    assert got.select("name").count() == 7 and got.filter("damage = 'columns'").count() == 2
+    (tmp_path / "empty.csv").write_text("id,name,size\n")
+    assert readers.read_checked(spark, str(tmp_path / "empty.csv"), StructType.fromDDL(schema)).count() == 0
+
+
 def test_ingest_is_incremental(spark, tmp_path):
     landing, table = tmp_path / "landing", str(tmp_path / "table")
 

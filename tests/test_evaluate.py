@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gistmill.operators import evaluate
+from gistmill.operators import evaluate, vectors
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 
@@ -86,6 +86,71 @@ def test_word_vectors(spark):
     assert evaluate.focus(vectors, ["g"], "vector").count() == 4
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_common_run(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, *([rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 25))] for _ in range(2))) for i in range(60)]
+    rows += [(60, [], []), (61, ["a"], None), (62, None, None)]
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    got = {r.i: r.run for r in df.select("i", evaluate.longest_common_run("a", "b").alias("run")).collect()}
+    assert got == {i: None if a is None or b is None else longest_run(a, b) for i, a, b in rows}
+
+
+def test_common_runs_of_long_texts(spark):
+    shared = " ".join(f"s{i}" for i in range(20_000))
+    rows = [(1, 1, "one two " + shared), (1, 2, shared + " three"), (1, 3, ""), (1, 4, None), (2, 1, "alone")]
+    df = spark.createDataFrame(rows, "g int, rank int, sentence string")
+    got = {(r.g, r["rank"]): (r.run, r.share) for r in evaluate.common_runs(df, ["g"]).collect()}
+    assert got[1, 1] == (20_000, pytest.approx(20_000 / 20_001)) and got[1, 2] == (0, 0.0) and len(got) == 3
+
+
+def test_learned_vectors_match_loop(spark):
+    import hashlib
+    import math
+
+    rng = random.Random(6)
+    texts = [[rng.choice(WORDS) for _ in range(rng.randint(0, 9))] for _ in range(30)] + [["lonely"], []]
+    counts = {}
+    for text in texts:
+        for i, j in itertools.permutations(range(len(text)), 2):
+            if abs(i - j) <= 2:
+                counts[text[i], text[j]] = counts.get((text[i], text[j]), 0) + 1
+    totals = {}
+    for (word, _), n in counts.items():
+        totals[word] = totals.get(word, 0) + n
+    expected = {word: [0] * 8 for word in totals}
+    for (word, other), n in counts.items():
+        chance = n * sum(totals.values()) / (totals[word] * totals[other])
+        if chance > 1:
+            digest = hashlib.md5(other.encode()).hexdigest()
+            for i in range(8):
+                expected[word][i] += round(math.log(chance) * 1_000_000) * (1 if digest[i] >= "8" else -1)
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "words array<string>")
+    learned = vectors.learn_vectors(df, "words", size=8, window=2)
+    assert {r.word: r.vector for r in learned.collect()} == expected
+    sentences = spark.createDataFrame([(1, 1, ["alpha", "beta", "alpha"]), (1, 2, ["lonely"]), (None, 3, ["gamma"]), (2, 4, [])], "g int, rank int, words array<string>")
+    got = {(r.g, r["rank"]): r.vector for r in vectors.sentence_vectors(sentences, ["g", "rank"], "words", learned, 8).collect()}
+    assert got[1, 1] == pytest.approx([(2 * a + b) / 3 for a, b in zip(expected["alpha"], expected["beta"])])
+    assert got[None, 3] == pytest.approx(expected["gamma"]) and got[1, 2] == got[2, 4] == [0.0] * 8
+    with pytest.raises(ValueError):
+        vectors.learn_vectors(df, "words", size=33)
+
+
+def test_learned_vectors_of_like_words(spark):
+    rng = random.Random(7)
+    sides = [["cat", "dog"], ["bread", "cake"]]
+    company = [["fur", "paw", "tail"], ["oven", "flour", "sugar"]]
+    texts = [[rng.choice(company[i % 2]), rng.choice(sides[i % 2]), rng.choice(company[i % 2])] for i in range(200)]
+    learned = vectors.learn_vectors(spark.createDataFrame([(t,) for t in texts], "words array<string>"), "words", size=32)
+    held = {r.word: r.vector for r in learned.collect()}
+
+    def like(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(held[x], held[y]))
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+
+    assert min(like("cat", "dog"), like("bread", "cake")) > 0.8 > 0.5 > max(like("cat", "bread"), like("dog", "cake"))
+
+
 def test_readability(spark):
     groups, summary = summaries(spark, 5)
     summary = summary.withColumn("n_errors", F.col("rank") % 2).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))

@@ -1,3 +1,4 @@
+import math
 import functools
 import random
 
@@ -243,23 +244,87 @@ def test_fitted_topics(spark):
     again = topics.fit_topics(spark.createDataFrame(rows, "t string"), "t")
     assert sorted(map(str, again.topics.collect())) == sorted(map(str, model.topics.collect()))
     with pytest.raises(ValueError):
-        topics.fit_topics(spark.createDataFrame(rows[:9], "t string"), "t")
+        topics.fit_topics(spark.createDataFrame(rows[:4], "t string"), "t")
+
+
+def test_topic_rounds_end_by_fit(spark):
+    rng = random.Random(3)
+    sets = [["river", "stone", "water"], ["market", "price", "trade"]]
+    df = spark.createDataFrame([(" ".join(rng.choice(sets[i % 2]) for _ in range(12)),) for i in range(20)], "t string")
+    early = topics.fit_topics(df, "t", n_topics=2, tolerance=10.0)
+    assert len(early.fits) == 3  # two to see the growth, and the round that takes the best
+    assert len(topics.fit_topics(df, "t", n_topics=2, tolerance=-1.0, max_iter=5).fits) == 5
+
+
+def test_perplexity_matches_loop(spark):
+    alpha, beta, rounds = 0.1, 0.01, 4
+    held = {(0, "river"): 5.0, (0, "stone"): 3.0, (1, "market"): 4.0, (1, "price"): 2.0, (1, "stone"): 1.0, (0, "cloud"): 2.0, (1, "trade"): 2.0}
+    weights = spark.createDataFrame([(3, t, w, x) for (t, w), x in held.items()] + [(3, 2, "song", 1.0)], "n_topics int, topic int, term string, weight double")
+    held[2, "song"] = 1.0
+    texts = [["river", "stone", "cloud", "river"], ["market", "price", "trade", "stone", "nowhere"], ["song"], [], ["nowhere"], ["river", "market", "cloud", "price", "song"]]
+    words = spark.createDataFrame([(t,) for t in texts], "words array<string>")
+    terms = sorted({w for _, w in held})
+    second = {r.w for r in spark.createDataFrame([(w,) for w in terms], "w string").filter("xxhash64(w) % 2 = 0").collect()}
+    mass = {t: sum(x for (u, _), x in held.items() if u == t) + beta * len(terms) for t in range(3)}
+    phi = lambda t, w: (held.get((t, w), 0.0) + beta) / mass[t]
+    n_terms, total = 0, 0.0
+    for text in texts:
+        known = [w for w in text if w in terms]
+        first, rest = [w for w in known if w not in second], [w for w in known if w in second]
+        if not first or not rest:
+            continue
+        own = {t for t, w in held if w in first}
+        theta = {t: sum(phi(t, w) for w in first if (t, w) in held) for t in own}
+        for _ in range(rounds):
+            new = dict.fromkeys(own, alpha)
+            for w in first:
+                parts = {t: phi(t, w) * theta[t] for t in own if (t, w) in held}
+                for t, x in parts.items():
+                    new[t] += x / sum(parts.values())
+            theta = new
+        counts = {t: x - alpha for t, x in theta.items()}
+        for w in rest:
+            p = sum(x * phi(t, w) for t, x in counts.items()) + alpha * sum(phi(t, w) for t in range(3))
+            total += math.log(p / (sum(counts.values()) + alpha * 3))
+            n_terms += 1
+    assert n_terms
+    got = topics.perplexity(weights, words, rounds=rounds, alpha=alpha, beta=beta).first()
+    assert (got.n_terms, got.perplexity) == (n_terms, pytest.approx(math.exp(-total / n_terms)))
+
+
+def test_coherence_matches_loop(spark):
+    rng = random.Random(5)
+    vocabulary = ["river", "stone", "cloud", "price", "song", "all"]
+    texts = [(g, ["all"] + [rng.choice(vocabulary) for _ in range(rng.randint(0, 5))]) for g in "ab" for _ in range(12)]
+    given = [("a", 0, ["river", "stone", "all", "river"]), ("a", 1, ["price", "absent", "song"]), ("b", 0, ["all"]), ("b", 1, ["cloud", "river"])]
+    expected = {}
+    for g, topic, terms in given:
+        docs = [set(t) for k, t in texts if k == g]
+        terms, measures = sorted(set(terms)), []
+        for i, a in enumerate(terms):
+            for b in terms[i + 1:]:
+                x, y, both = (sum(s <= d for d in docs) / len(docs) for s in ({a}, {b}, {a, b}))
+                measures.append(-1 if not both else 1 if both == 1 else math.log(both / (x * y)) / -math.log(both))
+        expected[g, topic] = (len(measures), pytest.approx(sum(measures) / len(measures)) if measures else None)
+    got = topics.coherence(
+        spark.createDataFrame(given, "g string, topic int, terms array<string>"), spark.createDataFrame(texts, "g string, words array<string>"), ["g"])
+    assert {(r.g, r.topic): (r.n_pairs, r.coherence) for r in got.collect()} == expected
 
 
 def test_topics_of_each_group(spark):
     rng = random.Random(1)
-    sets = {"a": [["river", "stone", "water"], ["market", "price", "trade"]], "b": [["cloud", "storm", "rain"], ["song", "music", "dance"]], "c": [["alone"]]}
-    sizes = {"a": 10, "b": 15, "c": 9}
+    sets = {"a": [["river", "stone", "water"], ["market", "price", "trade"]], "b": [["cloud", "storm", "rain"], ["song", "music", "dance"]], "c": [["alone"]], "d": [["few"]]}
+    sizes = {"a": 10, "b": 15, "c": 9, "d": 4}
     rows = [(g, i, " ".join(rng.choice(sets[g][i % len(sets[g])]) for _ in range(12)) + ".") for g in sets for i in range(sizes[g])]
     df = spark.createDataFrame(rows, "g string, i int, t string")
     model = topics.fit_topics(df, "t", ["g"], max_iter=12)
-    assert {r.g: r.n for r in model.topics.groupBy("g").agg(F.countDistinct("topic").alias("n")).collect()} == {"a": 2, "b": 3}
-    assert {(r.g, r.n_topics) for r in model.keywords.collect()} == {("a", 2), ("b", 3)}
+    assert {r.g: r.n for r in model.topics.groupBy("g").agg(F.countDistinct("topic").alias("n")).collect()} == {"a": 2, "b": 3, "c": 1}
+    assert {(r.g, r.n_topics) for r in model.keywords.collect()} == {("a", 2), ("b", 3), ("c", 1)}
     for r in model.topics.filter("g = 'a'").collect():
         assert {t for t in r.terms[:3]} in [{"river", "stone", "water"}, {"market", "price", "trade"}]
     for variant in ("v1", "v2"):
         picked = plans.summarize(df, ["g"], ["i"], "t", method="topics", share=0.5, model=model, variant=variant).collect()
-        assert {r.g for r in picked} == {"a", "b"}
+        assert {r.g for r in picked} == {"a", "b", "c"}
 
 
 def test_group_numbers(spark):
