@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm.groups import components
-from gistmill.llm.words import LOWER, PLACE, Slice, bundles, mix, ranges, ready, row_slices, span_hashes
+from gistmill.llm.words import LOWER, PLACE, Slice, bundles, mix, ranges, ready, row_slices, span_hashes, unused
 from gistmill.session import join_hot, stage
 
 CHUNK = 1024
@@ -65,9 +65,9 @@ def _line_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(batches):
-    """Arrow function: (doc_id, text) to one row per line that has a word."""
+    """Arrow function: (doc_id, row, text) to one row per line that has a word."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
         for part, owner, number in _lines(batch.column("text")):
             hashes = span_hashes(part.data, part.starts, part.ends)
             counts = np.diff(part.words)
@@ -75,9 +75,10 @@ def fingerprints(batches):
             if not len(keep):
                 continue
             line = _line_hashes(hashes, counts[keep])
+            at = owner[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(line.view(np.int64)), pa.array(ids[owner[keep]], pa.int64()), pa.array(number[keep].astype(np.int32))],
-                names=["line", "doc_id", "pos"],
+                [pa.array(line.view(np.int64)), pa.array(ids[at], pa.int64()), pa.array(rows[at], pa.int64()), pa.array(number[keep].astype(np.int32))],
+                names=["line", "doc_id", "row", "pos"],
             )
 
 
@@ -324,21 +325,22 @@ def verified(least: float):
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> DataFrame:
-    """(doc_id, removed): the numbers of the lines, from 0, that repeat an earlier
-    one of their group, for each document that has such lines."""
+    """(doc_id, row, removed): the numbers of the lines, from 0, that repeat an
+    earlier one of their group, for each document that has such lines; ``row`` is
+    the hash of its text."""
     if not 0.9 <= least < 1:
         raise ValueError("least must be from 0.9 to below 1")
     spark = ready(docs.sparkSession)
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    lines = stage(texts.mapInArrow(fingerprints, "line long, doc_id long, pos int"), "lines")
-    kinds = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.count("*").alias("times")), "line-kinds")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").where("doc_id is not null and text is not null")
+    lines = stage(texts.mapInArrow(fingerprints, "line long, doc_id long, row long, pos int"), "lines")
+    kinds = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.count("*").alias("times")), "line-kinds")
     keyed = texts.select("text").mapInArrow(keys(min_words, least), "key long, line long, n int, parity long")
     keyed = keyed.repartition("key").dropDuplicates(["key", "line"]).sortWithinPartitions("key", "n")
     found = stage(keyed.mapInArrow(clusters(least), "cluster long, short boolean, line long, n int, parity long").distinct(), "line-clusters")
     # The words of lines that have a candidate, read once from their first place.
-    places = found.select("line").distinct().join(kinds, "line").groupBy(F.col("at.doc_id").alias("doc_id"))
+    places = found.select("line").distinct().join(kinds, "line").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row"))
     wanted = places.agg(F.collect_list(F.struct("line", F.col("at.pos").alias("pos"))).alias("wanted"))
-    words = texts.join(wanted, "doc_id").mapInArrow(_texts, "line long, words string")
+    words = texts.join(wanted, ["doc_id", "row"]).mapInArrow(_texts, "line long, words string")
     # A large cluster is compared chunk by chunk, each pair of chunks in one group.
     sizes = found.groupBy("cluster", "short").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("line"), F.col("chunks")).cast("int")
@@ -358,8 +360,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> D
     kept = kinds.join(groups.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     first = kept.groupBy("component").agg(F.min("at").alias("first"), F.sum("times").alias("times")).where("times > 1")
     repeats = stage(kept.select("line", "times", "component").join(first.select("component", "first"), "component").select("line", "times", "first"), "line-repeats")
-    gone = join_hot(lines, repeats, ["line"], "times").where("struct(doc_id, pos) <> first").select("doc_id", "pos")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
+    gone = join_hot(lines, repeats, ["line"], "times").where("struct(doc_id, row, pos) <> first").select("doc_id", "row", "pos")
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> DataFrame:
@@ -374,14 +376,18 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> Data
     letters and digits) go only if an earlier one has the same words, and those
     without words stay. A null text stays null with
     0 lines, an empty one has one empty line; a row without doc_id stays as it
-    is. doc_ids should be unique: rows that share one lose the same lines. Other
-    columns pass through, also ones named like the added ones, which are replaced.
+    is. Rows that share a doc_id come in the order of a hash of their texts; equal
+    rows are one document and lose the same lines. Other columns pass through; those
+    named like the added ones are replaced.
     """
-    removed = repeated_lines(docs, min_words, least).withColumnRenamed("removed", "_removed")
-    rest = docs.drop("n_lines", "n_removed", "_removed").join(removed, "doc_id", "left")
+    docs = docs.drop("n_lines", "n_removed")
+    row, own, removed = unused(docs, "row", "own", "removed")
+    repeated = repeated_lines(docs, min_words, least).toDF(own, row, removed)
+    match = (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(row))
+    rest = docs.join(repeated, match, "left").drop(own, row)
     lines = F.split("text", "\n", -1)
-    gone = F.coalesce(F.size("_removed"), F.lit(0))
-    text = F.when(gone > 0, F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")).otherwise(F.col("text"))
+    gone = F.coalesce(F.size(removed), F.lit(0))
+    text = F.when(gone > 0, F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(removed, i)), "\n")).otherwise(F.col("text"))
     counts = {
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1),
         "n_removed": F.greatest(gone, F.lit(0)),
@@ -389,4 +395,4 @@ def dedup_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> Data
     out = rest.select("*", *[c.cast("int").alias(n) for n, c in counts.items()]).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.drop("n_lines", "n_removed", "_removed").columns, "n_lines", "n_removed")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "n_lines", "n_removed")

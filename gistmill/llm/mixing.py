@@ -14,6 +14,8 @@ Only DataFrame functions; tables of quotas have at most 4096 rows per source.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,9 +116,10 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.explode("parts").alias("p")).select("p.source", "shard", "p.quota")
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, levels: int = 4, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, levels: int = 4, seed: int = 7, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text): doc_id, source, size,
-    source_size, target, taken, and draws, an array of (pass, shard, words).
+    source_size, target, taken, draws, an array of (pass, shard, words), and the
+    columns to ``keep``, which settle further ties.
 
     ``size`` counts words, 0 for a null or empty text. Every source takes exactly
     its rounded target: whole passes, then documents in the order of a hash of
@@ -126,7 +129,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, levels: i
     Rows that repeat are documents of their own. Other columns don't matter.
     """
     block = F.substring(_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 32)
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), block.alias("place")).withColumn("block", F.substring("place", 1, 3)), "mix-sizes")
+    sized = stage(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), block.alias("place")).withColumn("block", F.substring("place", 1, 3)), "mix-sizes")
     targets = stage(source_targets(sized, share, cap), "mix-targets")
     words = sized.groupBy("source", "block").agg(F.sum("size").alias("words")).where("words > 0").alias("b")
     blocks = words.join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
@@ -151,10 +154,10 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, levels: i
     s, t = sized.alias("s"), targets.alias("t")
     rows = s.join(plan, F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.block") == F.col("p.block")), "left")
     rows = rows.join(t, F.col("s.source").eqNullSafe(F.col("t.source")))
-    rows = rows.select("s.doc_id", "s.source", "s.size", "s.place", "t.source_size", "t.target", "p.words", "p.passes", "p.part", "p.places")
+    rows = rows.select("s.doc_id", "s.source", *(f"s.{c}" for c in keep), "s.size", "s.place", "t.source_size", "t.target", "p.words", "p.passes", "p.part", "p.places")
     # Only in the block that is cut do documents need an order.
     whole = F.coalesce((F.col("part") == 0) | (F.col("part") == F.col("words")), F.lit(True))
-    inside = Window.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.where(~whole).withColumn("last", F.greatest(F.lit(0).cast("long"), F.least("size", F.col("part") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     full = rows.where(whole).withColumn("last", F.when(F.col("part") > 0, F.col("size")).otherwise(0).cast("long"))
     both = full.unionByName(cut)
@@ -163,7 +166,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, levels: i
     none = F.array().cast("array<struct<pass:bigint,shard:int,words:bigint>>")
     both = both.withColumn("draws", F.coalesce(drawn, none))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, p: s + p["words"])
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return both.select("doc_id", "source", *keep, "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, levels: int = 4, seed: int = 7) -> DataFrame:
@@ -173,19 +176,26 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, cap: float = 2.0, level
     such a column). A shard is as many tasks as its words need, each sorted by a
     hash, which shuffles it.
 
-    Needs distinct doc_ids that are not null; other rows don't enter the mix.
-    Columns of ``docs`` named like the added ones are replaced.
+    Rows without doc_id, and rows that share one, are documents of their own. Equal
+    rows are drawn as often as all of them together. Columns of ``docs`` named like
+    the added ones are replaced; other names don't matter. Columns that hold maps
+    don't tell rows apart.
     """
     docs = docs.drop("shard", "pass", "words")
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    draws = stage(mix_sources(known, share, cap, levels, seed).select("doc_id", "size", F.explode("draws").alias("_d")), "mix-draws")
-    parts = max(1, -(-(draws.agg(F.sum("_d.words")).first()[0] or 0) // (TASK_WORDS << levels)))
-    rows = known.join(draws, "doc_id").withColumn("_cut", F.col("_d.words") < F.col("size"))
-    own = F.array_join(F.slice(F.split(F.btrim(F.col("text"), F.lit(SPACES)), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.lit(1), F.col("_d.words").cast("int"))), " ")
-    rows = rows.withColumn("text", F.when(F.col("_cut"), own).otherwise(F.col("text")))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    known = docs.select(F.xxhash64(*hashed).alias("row"), "doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    draws = stage(mix_sources(known, share, cap, levels, seed, ["row"]).select("row", "size", F.explode("draws").alias("drawn")), "mix-draws")
+    parts = max(1, -(-(draws.agg(F.sum("drawn.words")).first()[0] or 0) // (TASK_WORDS << levels)))
+    # Equal rows are interchangeable: one of them meets the draws of all.
+    rows = known.select("row", "doc").dropDuplicates(["row"]).join(draws, "row")
+    cut = F.col("drawn.words") < F.col("size")
+    text = F.col("doc.text")
+    own = F.array_join(F.slice(F.split(F.btrim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.lit(1), F.col("drawn.words").cast("int"))), " ")
+    text = F.when(cut, own).otherwise(text)
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    rows = rows.select(*docs.columns, F.col("_d.shard").alias("shard"), F.col("_d.pass").alias("pass"), F.col("_d.words").alias("words"))
-    local = _key(seed + 1, F.col("doc_id").cast("string"), F.col("pass").cast("string"))
+        columns["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    rows = rows.select(*(c.alias(n) for n, c in columns.items()), F.col("drawn.shard").alias("shard"), F.col("drawn.pass").alias("pass"), F.col("drawn.words").alias("words"))
+    local = _key(seed + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("pass").cast("string"))
     part = F.pmod(F.xxhash64("doc_id", "pass"), F.lit(parts))
     return rows.repartition(parts << levels, "shard", part).sortWithinPartitions("shard", local)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm.words import PLACE, bundles, mix, powers, ranges, ready, word_slices
+from gistmill.llm.words import PLACE, bundles, mix, powers, ranges, ready, unused, word_slices
 from gistmill.session import join_hot, stage
 
 GRAM = 8
@@ -267,12 +267,12 @@ def repeated_runs(texts: DataFrame, width: int) -> DataFrame:
     return join_hot(shared, masks, ["segment"], "times").groupBy("row").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
 
 
-def _kept(schema):
-    """Arrow function: rows with ``runs`` to the same with their words left out."""
+def _kept(schema, name: str):
+    """Arrow function: rows with runs in column ``name`` to the same with their words left out."""
 
     def run(batches):
         for batch in batches:
-            runs = batch.column("runs").fill_null([])
+            runs = batch.column(name).fill_null([])
             offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))]).astype(np.int64)
             flat = runs.flatten()
             start = flat.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -316,15 +316,17 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     joined by one blank. Windows are judged on the input: also the first place of a
     repeat goes, and repeats inside one text count. A null text stays null with 0
     words. Rows that repeat, with or without doc_id, repeat each other's text.
-    Other columns pass through; columns named like the added ones are replaced.
+    Other columns pass through; columns named like the added ones are replaced. Names
+    hold no dots, which Arrow functions don't take.
     ``width`` is from 9 to 36: a segment's words must fit in 64 bits.
     """
     if not GRAM < width <= 36:
         raise ValueError("width must be from 9 to 36")
     ready(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "runs")
+    docs = docs.drop("n_words", "n_removed")
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    runs = repeated_runs(docs.select(key.alias("row"), "text").where("text is not null"), width)
-    rest = docs.withColumn("_row", key).join(runs.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    row, name = unused(docs, "row", "runs")
+    runs = repeated_runs(docs.select(key.alias("row"), "text").where("text is not null"), width).toDF(row, name)
+    rest = docs.select("*", key.alias(row)).join(runs, row, "left").drop(row)
     schema = T.StructType([*docs.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return rest.mapInArrow(_kept(schema), schema)
+    return rest.mapInArrow(_kept(schema, name), schema)

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from gistmill.session import ship
 
@@ -85,6 +85,18 @@ class Slice:
         return np.repeat(np.arange(self.size), np.diff(self.words))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of ``df`` has."""
+    held = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        found.append(name)
+    return found
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)

@@ -357,7 +357,9 @@ def test_mixing_odd_rows(spark):
     assert by[(1, "a")].taken == 0 and by[(1, "a")].target == 0 and by[(3, None)]["size"] == 0
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
-    assert mixing.mixed_documents(frame(spark, ODD)).where("doc_id is null").count() == 0
+    drawn = mixing.mix_sources(frame(spark, ODD)).select("doc_id", "size", F.explode("draws.words").alias("words"))
+    odd = mixing.mixed_documents(frame(spark, ODD))
+    assert Counter(map(tuple, odd.select("doc_id", "words").collect())) == Counter(map(tuple, drawn.select("doc_id", "words").collect()))
 
 
 # 6
@@ -667,3 +669,43 @@ def test_hashes_of_kept_text(spark):
     out = substrings.remove_repeats(frame(spark, [(1, " a  b\n"), (2, None)], "doc_id long, text string"))
     got = {r.doc_id: r[1] for r in out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()}
     assert got == {1: hashlib.sha256(b"a b").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+CLASHING = ["size", "_row", "_page", "_removed", "runs", "covered", "_d", "_cut", "row", "page", "own", "removed", "doc", "drawn"]
+OPERATORS = {
+    "lines": (lines.dedup_lines, ["n_lines", "n_removed"]),
+    "substrings": (substrings.remove_repeats, ["n_words", "n_removed"]),
+    "mixing": (mixing.mixed_documents, ["shard", "pass", "words"]),
+    "html": (html.main_text, ["text", "n_chars"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_clashing_columns(spark, name):
+    operator, added = OPERATORS[name]
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"s{i % 2}", f"http://h/{i}", text) for i, text in enumerate([body, body, "one line\n" + body, "", None, "one line\nother"])]
+    text = "html" if name == "html" else "text"
+    plain = frame(spark, rows, f"doc_id long, source string, url string, {text} string")
+    more = plain.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHING))
+    expected, got = operator(plain), operator(more)
+    names = [c for c in got.columns if c not in CLASHING]
+    assert sorted(names) == sorted(expected.columns) and set(CLASHING) <= set(got.columns) and set(added) <= set(names)
+    pick = lambda df: Counter(map(str, df.select(*sorted(names)).collect()))
+    assert pick(got) == pick(expected)
+    for row in got.select("doc_id", *(F.col(f"`{c}`") for c in CLASHING)).collect():
+        assert list(row[1:]) == [f"{c}-{row.doc_id}" for c in CLASHING]
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    rows = [(1, "the same line here\nfirst text alone"), (1, "second text alone\nthe same line here\nits own end"), (2, "the same line here\nlast")]
+    got = Counter(r.text for r in lines.dedup_lines(frame(spark, rows, "doc_id long, text string")).collect())
+    kept = " ".join(got).replace("\n", " ")
+    assert all(x in kept for x in ("first text alone", "second text alone", "its own end", "last")) and kept.count("the same line here") == 1
+
+
+def test_mix_keeps_rows_without_and_with_shared_doc_id(spark):
+    rows = [(None, "a", "one two three"), (None, "a", "four five six"), (7, "a", "seven eight"), (7, "a", "nine ten"), (7, "a", "nine ten"), (8, "b", "x " * 50)]
+    df = frame(spark, rows, "doc_id long, source string, text string")
+    got = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(df, share=2.0, cap=2.0).collect())
+    assert got == {(None, "one two three"): 2, (None, "four five six"): 2, (7, "seven eight"): 2, (7, "nine ten"): 4, (8, "x " * 50): 2}
