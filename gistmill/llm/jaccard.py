@@ -12,7 +12,8 @@ verified on the shingles.
 Groups come in two rounds. The first takes documents that share a min-hash, which
 gathers nearly all copies. The second makes the join complete: similar sets share
 one of their first (1 - threshold) shingles in any common order, so groups of the
-first round that share such a shingle are compared with each other.
+first round that share such a shingle are compared with each other. In the order
+used, shingles that many groups hold come last.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from gistmill.session import stage
 
 SEEDS = mix(np.arange(11, 14, dtype=np.uint64))
 CHUNK = 256
+#: Shingles of more components than this come last among a document's shingles.
+CROWD = 8
 LEAF = 8
 FANOUT = 4
 
@@ -170,29 +173,45 @@ def _profile(k: int, share: float):
     return run
 
 
+def _arrays(ids: pa.Array, keys: list[np.ndarray], name: str) -> pa.RecordBatch:
+    values = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[name, "keys"])
+
+
 def _prefixes(k: int, percent: int, frequent: np.ndarray):
     """Arrow function: (doc_id, text) to the shingles of which similar sets share one.
 
-    In the order used, shingles of ``frequent`` come last; any order is right.
+    In the order used, shingles of ``frequent`` come last, and so do those that a
+    column ``often`` lists of the row; any order that all rows agree on is right.
     """
 
     def run(batches):
         for batch in batches:
+            often = batch.column("often").to_pylist() if "often" in batch.schema.names else None
             keys = []
-            for _, sets in shingle_sets(batch.column("text"), k):
-                for own in sets:
+            for first, sets in shingle_sets(batch.column("text"), k):
+                for row, own in enumerate(sets, first):
                     many = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
-                    rare = own
+                    last = np.zeros(len(own), dtype=bool)
                     if len(frequent) and len(own):
                         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                        often = frequent[at] == own
-                        rare = np.concatenate([own[~often], own[often]])
-                    keys.append(rare[:many].view(np.int64))
-            values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "keys"]
-            )
+                        last = frequent[at] == own
+                    if often is not None:
+                        last |= np.isin(own, np.array(often[row], dtype=np.int64).view(np.uint64))
+                    keys.append(np.concatenate([own[~last], own[last]])[:many])
+            yield _arrays(batch.column("doc_id"), keys, "doc_id")
+
+    return run
+
+
+def _every(k: int, name: str):
+    """Arrow function: (``name``, text) to all shingles of the text."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [own for _, sets in shingle_sets(batch.column("text"), k) for own in sets]
+            yield _arrays(batch.column(name), keys, name)
 
     return run
 
@@ -219,6 +238,40 @@ def _links(k: int, percent: int):
     return run
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, component, least, most, n) of the keys that several components have."""
+    span = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return stage(keyed.drop("doc_id").join(span, "key").distinct(), "jaccard-parts")
+
+
+def _uncrowded(texts: DataFrame, keyed: DataFrame, parts: DataFrame, sides: DataFrame, k: int, prefixes) -> DataFrame:
+    """``parts`` again, with shingles that many components share as the last ones.
+
+    Components that have a crowded key tell which of their shingles are held by more
+    than ``CROWD`` of them. With those last, only documents that had one among their
+    first shingles get other first ones; for the rest nothing changes. A passage that
+    many documents hold thus brings them together only where a document has little
+    else, instead of in a row for each pair of them.
+    """
+    crowd = stage(parts.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "jaccard-crowd")
+    if crowd.isEmpty():
+        return parts
+    some = keyed.join(crowd, "key", "left_semi").select("doc_id", "component").distinct()
+    held = texts.join(some, "doc_id").select("component", "text").mapInArrow(_every(k, "component"), "component long, keys array<long>")
+    held = held.select("component", F.explode("keys").alias("key")).distinct()
+    often = stage(held.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "jaccard-often")
+    again = stage(keyed.join(often, "key", "left_semi").select("doc_id").distinct(), "jaccard-again")
+    every = texts.join(again, "doc_id").select("doc_id", "text").mapInArrow(_every(k, "doc_id"), "doc_id long, keys array<long>")
+    own = every.select("doc_id", F.explode("keys").alias("key")).join(often, "key", "left_semi")
+    own = own.groupBy("doc_id").agg(F.collect_set("key").alias("often"))
+    found = texts.join(own, "doc_id").mapInArrow(prefixes, "doc_id long, keys array<long>")
+    return _shared(stage(keyed.join(again, "doc_id", "left_anti").unionByName(_keyed(found, sides)), "jaccard-keys"))
+
+
+def _keyed(prefixes: DataFrame, sides: DataFrame) -> DataFrame:
+    return prefixes.join(sides, "doc_id").select(F.explode("keys").alias("key"), "doc_id", "component", "least", "most", "n")
+
+
 def _candidates(parts: DataFrame, percent: int) -> DataFrame:
     """Pairs of components (x, y, nx, ny) that share enough first shingles to hold
     a link, from (key, component, least, most, n).
@@ -283,12 +336,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     # At most average size / share of them: the bound doesn't grow with the rows.
     floor = share * max(1, sized.count())
     frequent = np.array(sorted(np.array([r.sum1 for r in often.where(F.col("times") >= floor).select("sum1").collect()], dtype=np.int64).view(np.uint64)), dtype=np.uint64)
-    prefixes = texts.mapInArrow(_prefixes(k, percent, frequent), "doc_id long, keys array<long>")
+    prefixes = _prefixes(k, percent, frequent)
     spans = first.groupBy("component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("n"))
     sides = stage(first.join(spans, "component").select(F.col("node").alias("doc_id"), "component", "least", "most", "n"), "jaccard-sides")
-    keyed = stage(prefixes.join(sides, "doc_id").select(F.explode("keys").alias("key"), "component", "least", "most", "n"), "jaccard-keys")
-    span = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    parts = stage(keyed.join(span, "key").distinct(), "jaccard-parts")
+    keyed = stage(_keyed(texts.mapInArrow(prefixes, "doc_id long, keys array<long>"), sides), "jaccard-keys")
+    parts = _uncrowded(texts, keyed, _shared(keyed), sides, k, prefixes)
     pairs = _candidates(parts, percent)
     big, small = F.when(F.col("nx") >= F.col("ny"), F.col("x")), F.when(F.col("nx") >= F.col("ny"), F.col("y"))
     pairs = pairs.select(big.otherwise(F.col("y")).alias("big"), small.otherwise(F.col("x")).alias("small"), F.greatest("nx", "ny").alias("n"))

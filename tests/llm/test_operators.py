@@ -145,6 +145,27 @@ def test_jaccard_of_one_template(spark, monkeypatch):
     assert got == {d: (d - 300) * 60 if d >= 300 else d for d, _ in docs}
 
 
+@pytest.mark.parametrize("passage", [0, 30, 60])
+def test_jaccard_of_a_shared_passage(spark, monkeypatch, passage):
+    """Texts that hold one passage: the rows of the join don't grow with their pairs."""
+    shared = [f"p{i}" for i in range(passage)]
+    texts = [" ".join([f"d{d}x{i}" for i in range(60)] + shared + [f"d{d}y{i}" for i in range(40)]) for d in range(150)]
+    near = [t + " more words" for t in texts[::50]]
+    made = []
+
+    def counted(parts, percent):
+        a, b = parts.alias("a"), parts.alias("b")
+        made.append(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))).count())
+        return own(parts, percent)
+
+    own = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    df = frame(spark, list(enumerate(texts + near)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(df, share=0.9999).collect()}
+    assert got == {d: (d - 150) * 50 if d >= 150 else d for d in range(153)}
+    assert made[0] <= 153
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame(spark, ODD).withColumn("component_id", F.lit(9))).collect())
     assert [g[::2] for g in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (6, 6), (7, 7), (8, 8)]
