@@ -3,13 +3,15 @@
 Each language has a probability for every piece of a fixed public vocabulary. A
 word's likelihood is the sum over all ways to cut it into pieces (the forward
 algorithm), a text's the product over its words. Words are runs of letters of
-the lower-cased text; runs of over 64 bytes are cut there. Piece probabilities
-are fitted by expectation maximisation on a bounded sample of labelled rows;
-every text is scored whole.
+the lower-cased text. Piece probabilities are fitted by expectation maximisation
+on a bounded sample of labelled rows, whose runs of over 64 bytes are cut there to
+learn from; every text is scored whole, its runs of any length uncut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,9 +23,11 @@ from gistmill.llm.words import Slice, ranges, ready, span_hashes, word_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
+#: Runs of the sample that is learnt from are cut after so many bytes.
 LONGEST_RUN = 64
-LONGEST_PIECE = 10
 CACHED_WORDS = 200_000
+#: Bytes of the words that are scored at a time; a longer word is scored alone.
+CELLS = 100_000
 ROWS = 1000
 
 #: Bytes that end a run of letters: ASCII other than a-z.
@@ -45,9 +49,10 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
         pieces = {text.replace("▁", " ").lower().encode() for text in texts}
-        pieces = {p for p in pieces if len(p) <= LONGEST_PIECE and b" " not in p[1:] and not OUTSIDE[list(p.lstrip(b" "))].any()}
+        pieces = {p for p in pieces if b" " not in p[1:] and not OUTSIDE[list(p.lstrip(b" "))].any()}
         pieces |= {bytes([b]) for b in range(256)}
         self.pieces = sorted(pieces)
+        self.longest = max(map(len, self.pieces))
         used = sorted({b for p in self.pieces if len(p) > 1 for b in p})
         self.byte_class = np.zeros(256, dtype=np.int64)
         self.byte_class[used] = np.arange(1, len(used) + 1)
@@ -72,15 +77,14 @@ class Vocabulary:
         self.piece = np.array(piece, dtype=np.int32)
         self.single = np.array([self.pieces.index(bytes([b])) for b in range(256)], dtype=np.int32)
 
-    def lattice(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    def lattice(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, rows, pieces): the pieces that fit in rows of equally long words."""
         count, length = words.shape
-        found = []
         every = np.arange(count)
         for start in range(length):
-            found.append((start, start + 1, every, self.single[words[:, start]]))
+            yield start, start + 1, every, self.single[words[:, start]]
             rows, node = every, np.zeros(count, dtype=np.int32)
-            for end in range(start + 1, min(length, start + LONGEST_PIECE) + 1):
+            for end in range(start + 1, min(length, start + self.longest) + 1):
                 node = self.step[node, self.byte_class[words[rows, end - 1]]]
                 alive = node > 0
                 rows, node = rows[alive], node[alive]
@@ -89,30 +93,37 @@ class Vocabulary:
                 piece = self.piece[node]
                 fits = piece >= 0
                 if end > start + 1 and fits.any():
-                    found.append((start, end, rows[fits], piece[fits]))
-        return found
+                    yield start, end, rows[fits], piece[fits]
 
     def log_likelihood(self, words: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Forward algorithm: log of the sum over all segmentations, words x languages."""
+        """Forward algorithm: log of the sum over all segmentations, words x languages.
+
+        Sums are held of as many positions as the longest piece can reach.
+        """
         count, length = words.shape
-        forward = np.zeros((length + 1, count, table.shape[1]))
-        forward[0] = 1.0
+        width = self.longest + 1
+        ahead = np.zeros((width, count, table.shape[1]))
+        ahead[0] = 1.0
         scale = np.zeros((count, table.shape[1]))
         for start, end, rows, pieces in self.lattice(words):
-            if end == start + 1 and start and start % 12 == 0:
-                top = forward[start : start + LONGEST_PIECE].max(axis=0)
-                forward[start : start + LONGEST_PIECE] /= top
-                scale += np.log(top)
+            if end == start + 1:
+                if start:
+                    ahead[(start - 1) % width] = 0.0
+                if start and start % 12 == 0:
+                    top = ahead.max(axis=0)
+                    ahead /= top
+                    scale += np.log(top)
+                now = ahead[start % width]
             if len(rows) == count:
-                forward[end] += forward[start] * table[pieces]
+                ahead[end % width] += now * table[pieces]
             else:
-                forward[end, rows] += forward[start, rows] * table[pieces]
-        return np.log(forward[length]) + scale
+                ahead[end % width, rows] += now[rows] * table[pieces]
+        return np.log(ahead[length % width]) + scale
 
     def expected(self, words: np.ndarray, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of weighted words."""
         count, length = words.shape
-        lattice = self.lattice(words)
+        lattice = list(self.lattice(words))
         forward = np.zeros((length + 1, count))
         backward = np.zeros((length + 1, count))
         forward[0] = backward[length] = 1.0
@@ -128,14 +139,15 @@ class Vocabulary:
 
 
 def _runs(column: pa.Array):
-    """Slices of the lower-cased texts with their runs of letters, long ones cut."""
+    """Slices of the lower-cased texts with their runs of letters."""
     for first in range(0, len(column), ROWS):
         for part in word_slices(pc.utf8_lower(column.slice(first, ROWS)), outside=OUTSIDE):
             part.first += first
-            yield _cut(part)
+            yield part
 
 
 def _cut(part: Slice) -> Slice:
+    """The slice with its long runs cut."""
     sizes = part.ends - part.starts
     if len(sizes) and sizes.max() > LONGEST_RUN:
         pieces = -(-sizes // LONGEST_RUN)
@@ -151,7 +163,7 @@ def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     sizes = ends - starts
     order = np.argsort(sizes, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
-        for some in np.array_split(own, -(-len(own) // 4000)):
+        for some in np.array_split(own, -(-len(own) * (int(sizes[own[0]]) + 1) // CELLS)):
             if len(some):
                 words = np.full((len(some), sizes[some[0]] + 1), 0x20, dtype=np.uint8)
                 words[:, 1:] = data[starts[some][:, None] + np.arange(sizes[some[0]])]
@@ -163,7 +175,7 @@ def fit_pieces(texts: list[list[str]], vocabulary: Vocabulary, rounds: int = 3,
     columns = []
     for own in texts:
         kept = []
-        for part in _runs(pa.array(own, pa.string())):
+        for part in map(_cut, _runs(pa.array(own, pa.string()))):
             hashes = span_hashes(part.data, part.starts, part.ends)
             _, first, count = np.unique(hashes, return_index=True, return_counts=True)
             kept += [(words, count[at]) for at, words in _by_length(part.data, part.starts[first], part.ends[first])]

@@ -660,11 +660,13 @@ def test_forward_sums_all_segmentations():
                     total[end] += total[start] * table[number[word[start:end]]]
         return np.log(total[-1])
 
-    for text in ("the", "straße", "zzzqqq", "international", "é"):
+    assert vocabulary.longest > 20 and any(len(p) == vocabulary.longest for p in vocabulary.pieces)
+    lengthy = max((p for p in vocabulary.pieces if p[:1] == b" "), key=len).decode().strip()
+    for text in ("the", "straße", "zzzqqq", "international", "é", "availability", lengthy, lengthy + "s" + lengthy, "thequickbrownfox" * 12):
         word = b" " + text.encode()
         got = vocabulary.log_likelihood(np.frombuffer(word, np.uint8)[None, :], table)
         assert got[0] == pytest.approx(brute(word))
-    long = np.frombuffer(b" " + b"ab" * 32, np.uint8)[None, :]
+    long = np.frombuffer(b" " + b"ab" * 3000, np.uint8)[None, :]
     assert np.isfinite(vocabulary.log_likelihood(long, table)).all()
 
 
