@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -497,6 +498,62 @@ def test_quality_learns_form(spark):
     assert quality.score_quality(df.limit(0), marks).count() == 0
 
 
+def quality_loop(texts, labels, asked):
+    """Plain loops: term shares, weights, singular vectors, all cosines, votes."""
+
+    def bag(text):
+        data = text.encode()
+        held = np.zeros(quality.TERMS)
+        codes = [int(quality.CLASS[b]) for b in data]
+        grams = Counter(a * 256 + b * 16 + c for a, b, c in zip(codes, codes[1:], codes[2:]))
+        for gram, n in grams.items():
+            held[gram] = np.sqrt(n / (len(codes) - 2))
+        own = re.findall(rb"[^\x20\x09-\x0D]+", data.lower())
+        for place, n in Counter(word_place(w) for w in own).items():
+            held[quality.FORMS + place] = np.sqrt(n / len(own))
+        if len(own) > 5:
+            some = list(zip(own, own[1:], own[2:]))
+            fresh = len(set(some)) / len(some)
+            held[-2:] = np.sqrt(1 - fresh), np.sqrt(fresh)
+        return held
+
+    def word_place(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(words.span_hashes(data, np.array([0]), np.array([len(data)]))[0] % np.uint64(quality.WORDS))
+
+    def unit(v):
+        return v / max(np.linalg.norm(v), 1e-12)
+
+    sample = np.array([bag(t) for t in texts])
+    weight = np.log((1 + len(sample)) / (1 + (sample > 0).sum(axis=0))) + 1
+    sample = np.array([unit(v * weight) for v in sample])
+    _, size, right = np.linalg.svd(sample, full_matrices=False)
+    project = right[: quality.RANK][size[: quality.RANK] > 1e-4].T
+    known = [unit(v @ project) for v in sample]
+    scores = []
+    for text in asked:
+        own = unit(unit(bag(text) * weight) @ project)
+        near = sorted(((float(own @ v), y) for v, y in zip(known, labels)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 1e-3) ** quality.SHARPNESS, y) for c, y in near]
+        scores.append(sum(v * y for v, y in votes) / sum(v for v, _ in votes))
+    return scores
+
+
+def test_quality_against_plain_loops(spark):
+    rng = random.Random(13)
+    rows = [(i, t if i % 3 else " ".join(w.upper() + rng.choice(["!", " 12", " | "]) for w in t.split()[:30])) for i, t in enumerate(invented(9, 160, 60))]
+    # Some of both kinds in each form, so that votes differ.
+    labels = [(i, int(i % 3 > 0) ^ int(i % 11 == 0), 0) for i in range(160)]
+    out = quality.score_quality(frame(spark, rows, "doc_id long, text string"), frame(spark, labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in out.collect()}
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert all(got[i].held_out == (i not in learnt) for i in got)
+    texts = dict(rows)
+    expected = quality_loop([texts[i] for i in learnt], [labels[i][1] for i in learnt], [t for _, t in rows])
+    assert len({round(x, 3) for x in expected}) > 20
+    assert [got[i].score for i, _ in rows] == pytest.approx(expected, abs=2e-3)
+
+
 def test_anchors_of_more_than_a_shard_are_spread(spark, monkeypatch):
     rng = random.Random(21)
     word = lambda: f"w{rng.randrange(5000)}"
