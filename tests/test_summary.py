@@ -2,6 +2,7 @@ import math
 import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,34 @@ def test_fitted_topics(spark):
         topics.fit_topics(spark.createDataFrame(rows[:4], "t string"), "t")
 
 
+def test_topic_fit_by_blocks(spark, monkeypatch):
+    """Blocks of texts give the model that one block gives; copies and null groups are among them."""
+    words = "apple banana cherry orange engine wheel brake motor river mountain valley forest".split()
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for _ in range(60)]
+    rows += rows[:9] + [("a", ""), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, t string")
+
+    def model(keys):
+        fitted = topics.fit_topics(df, "t", keys, max_iter=4)
+        return sorted(map(tuple, fitted.weights.collect()), key=str), sorted(map(tuple, fitted.topics.collect()), key=str), fitted.fits
+
+    want = [model(["g"]), model([])]
+    monkeypatch.setattr(topics, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(topics, "BLOCK_CELLS", 20)
+    for (weights, listed, fits), keys in zip(want, (["g"], [])):
+        found = model(keys)
+        assert found[:2] == (weights, listed)
+        assert found[2] == pytest.approx(fits)
+
+
+def test_topic_hashes_are_those_of_columns(spark):
+    values = [0, 1, -1, 7, 123_456, 2**31 - 1, -(2**31)]
+    df = spark.createDataFrame([(v,) for v in values], "v int").select("v", F.xxhash64(F.lit("term")).alias("h"), F.xxhash64(F.lit("term"), "v").alias("hv"))
+    for v, h, hv in df.collect():
+        assert int(topics._hash_int(np.array([h]).view(np.uint64), np.array([v])).view(np.int64)[0]) == hv
+
+
 def test_topic_rounds_end_by_fit(spark):
     rng = random.Random(3)
     sets = [["river", "stone", "water"], ["market", "price", "trade"]]
