@@ -2,8 +2,8 @@
 
 Markup settles most blocks. What is inside an article or main element is text;
 menus, headers, footers, sidebars, adverts, notices, forms, scripts and reader
-comments, known by element, role or class, are not. A page without an article
-leaves its other blocks open. For those, token streams of a host's pages, without
+comments, known by element, role or class, are not. All other blocks are open, on
+pages with an article too. For those, token streams of a host's pages, without
 article text, are concatenated in shards; a suffix array of each shard finds the
 token runs it shares between pages, and counts from all shards of the host are
 added up. Open words that such runs cover are boilerplate, and the rest stays.
@@ -188,11 +188,10 @@ def _streams(batches):
         texts, hosts, pages, opens = [], [], [], []
         for page, url, text in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             own = blocks(text or "")
-            inside = any(r == "in" for r, _ in own)
             texts.append(" ".join(t for r, t in own if r != "in"))
             hosts.append(host(url))
             pages.append(page)
-            opens.append(not inside and any(r == "open" for r, _ in own))
+            opens.append(any(r == "open" for r, _ in own))
         rows, hashes = _word_hashes(texts)
         offsets = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
         words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
@@ -249,19 +248,17 @@ def _texts(schema, name: str):
         for batch in batches:
             texts = []
             for text, covered in zip(batch.column("html").to_pylist(), batch.column(name).to_pylist()):
-                own = blocks(text or "")
-                kept = [t for r, t in own if r == "in"]
-                if not kept:
-                    gone = {i for at in covered or () for i in range(at, at + RUN)}
-                    count = 0
-                    for r, t in own:
-                        if r == "in":
-                            continue
-                        words = t.split(" ")
-                        if r == "open":
-                            left = [w for i, w in enumerate(words, count) if i not in gone]
-                            kept += [" ".join(left)] if left else []
-                        count += len(words)
+                gone = {i for at in covered or () for i in range(at, at + RUN)}
+                kept, count = [], 0
+                for r, t in blocks(text or ""):
+                    if r == "in":
+                        kept.append(t)
+                        continue
+                    words = t.split(" ")
+                    if r == "open":
+                        left = [w for i, w in enumerate(words, count) if i not in gone]
+                        kept += [" ".join(left)] if left else []
+                    count += len(words)
                 texts.append(" ".join(kept))
             added = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([added[f.name] if f.name in added else batch.column(f.name) for f in schema], names=[f.name for f in schema])

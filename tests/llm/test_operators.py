@@ -306,6 +306,15 @@ def test_main_text(spark, monkeypatch):
     assert html.main_text(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_open_blocks_beside_an_article(spark):
+    """A story outside the article element stays; what the host's pages share there goes."""
+    shared = "read more news every day on this fine site of ours"
+    page = '<html><body><article>Teaser {0}</article><div class="content"><p>Story {0} told at length by {0}</p></div><div>{1}</div><nav>Menu</nav></body></html>'
+    rows = [(i, f"http://h.example/{i}", page.format(f"n{i}", shared)) for i in range(4)]
+    got = main_rows(html.main_text(frame(spark, rows, "page_id long, url string, html string")))
+    assert {i: v[0][0] for i, v in got.items()} == {i: f"Teaser n{i} Story n{i} told at length by n{i}" for i in range(4)}
+
+
 def main_rows(df):
     out = defaultdict(list)
     for r in df.collect():
