@@ -94,6 +94,17 @@ def test_reducing_in_many_rounds_matches_loop(spark, monkeypatch, level, classes
     assert result(got) == by_loop(groups, lambda s: int(len(s) * 0.4), True, level=level) and len(rounds) > 2
 
 
+def test_hundreds_of_rejected_sentences_are_one_round(spark, monkeypatch):
+    """Short sentences score best and are all used up before the first pick."""
+    rounds = []
+    monkeypatch.setattr(lazy, "_loop", lambda *a, own=lazy._loop: (rounds.append(1), own(*a))[1])
+    texts = [f"River w{i}." for i in range(600)] + [f"Silver gates open v{i} slowly near quiet frozen lakes u{i}." for i in range(5)]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g int, r int, text string")
+    sentences = plans.prepare(df, ["g"], ["r"], "text")
+    rows = lambda **more: sorted(map(tuple, greedy.select_reducing(sentences, ["g"], ["r"], 2, "20", **more).collect()))
+    assert rows(local_sentences=1) == rows() != [] and len(rounds) == 1
+
+
 def test_copies_in_rounds_match_one_task(spark):
     """Many equal sentences, and the same words in another order: near ties."""
     rng = random.Random(3)
