@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
-from gistmill.functions.automaton import holds_any
+from gistmill.functions.automaton import holds_any, starts_any
 from gistmill.operators.running import number_rows
 from gistmill.session import ship, small_side, stage
 
@@ -36,9 +36,9 @@ def flag_profanity(df: DataFrame, text: str, words: Iterable[str] | DataFrame, n
 
     A word list in Python, or a one-column frame of at most ``PATTERN_WORDS`` words,
     becomes one pattern. A longer frame becomes an automaton that is sent to every
-    Python worker, or several of at most ``SHARD_CHARS`` characters each, which the
-    texts pass one after the other, without a shuffle. Null and empty words are no
-    words.
+    Python worker. Beyond ``SHARD_CHARS`` characters that has the heads of the words
+    only; what follows a head in a text, at the lengths of the words that begin with it,
+    then meets the list in a join. Null and empty words are no words.
     """
     if not isinstance(words, DataFrame):
         return df.withColumn(name, tx.contains_any(text, words))
@@ -48,20 +48,31 @@ def flag_profanity(df: DataFrame, text: str, words: Iterable[str] | DataFrame, n
     if count <= PATTERN_WORDS:
         return df.withColumn(name, tx.contains_any(text, [r.word for r in listed.collect()]))
     spark = ship(df.sparkSession)
-    shards = -(-chars // SHARD_CHARS)
-    out = df.withColumn(name, F.lit(False))
-    for shard in range(shards):
-        own = [r.word for r in listed.filter(F.pmod(F.xxhash64("word"), F.lit(shards)) == shard).collect()]
-        if not own:
-            continue
-        held = spark.sparkContext.broadcast(own)
-        # A text that an earlier shard has flagged is not looked at again.
-        found = holds_any(F.when(~F.col(name), F.lower(text)), held)
-        out = out.withColumn(name, F.col(name) | found)
-        if shards > 1:
-            out = stage(out, "flagged")
-            held.unpersist()
-    return out
+    if chars <= SHARD_CHARS:
+        held = spark.sparkContext.broadcast([r.word for r in listed.collect()])
+        return df.withColumn(name, holds_any(F.lower(text), held))
+    heads = _heads(listed)
+    longest = F.length("head") < F.length("word")
+    lengths = heads.groupBy("head").agg(
+        F.min(longest).alias("longer"), F.array_sort(F.collect_set(F.when(longest, F.length("word")))).alias("lengths"))
+    held = spark.sparkContext.broadcast({r.head: (not r.longer, r.lengths) for r in lengths.collect()})
+    met = starts_any(F.lower(text), held)
+    # Written once: the numbers hold, and texts are scanned once.
+    out = df.withColumns({"_met": met, "_number": F.monotonically_increasing_id()})
+    out = stage(out.withColumn(name, F.coalesce("_met.whole", F.lit(False))), "flagged")
+    found = out.filter(~F.col(name)).select("_number", F.explode("_met.pieces").alias("word")).join(listed, "word", "left_semi")
+    found = small_side(found.select("_number").distinct().withColumn("_found", F.lit(True)), "found")
+    out = out.join(found, "_number", "left").withColumn(name, F.col(name) | F.col("_found").isNotNull())
+    return out.select(*df.columns, *([name] if name not in df.columns else []))
+
+
+def _heads(listed: DataFrame) -> DataFrame:
+    """Add ``head``: the first characters of each word, as many as leave distinct heads
+    of at most ``SHARD_CHARS`` characters together, or one."""
+    for size in (128, 64, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1):
+        out = listed.withColumn("head", F.substring("word", 1, size))
+        if size == 1 or (out.select("head").distinct().agg(F.sum(F.length("head"))).first()[0] or 0) <= SHARD_CHARS:
+            return out
 
 
 def drop_profane_conversations(

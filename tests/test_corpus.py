@@ -43,6 +43,20 @@ def test_long_word_lists(spark, monkeypatch):
         assert not any(r.has_profanity for r in clean.flag_profanity(df, "t", listed.limit(0)).collect())
 
 
+def test_long_lists_write_texts_once(spark, monkeypatch):
+    """However long the list: heads in one automaton, the rest of a word by a join."""
+    written = []
+    monkeypatch.setattr(clean, "PATTERN_WORDS", 2)
+    monkeypatch.setattr(clean, "SHARD_CHARS", 20)
+    monkeypatch.setattr(clean, "stage", lambda df, label, own=clean.stage: (written.append(label), own(df, label))[1])
+    texts = ["Heads1x", "heads12x", "no head", "head", "tail", "heads", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    listed = spark.createDataFrame([(w,) for w in [*(f"heads{i}x" for i in range(2, 40)), "tail"]], "w string")
+    got = clean.flag_profanity(df, "t", listed)
+    assert sorted(r.i for r in got.collect() if r.has_profanity) == [1, 4]
+    assert got.columns == ["i", "t", "has_profanity"] and written.count("flagged") == 1
+
+
 def test_valid_corpora(spark):
     rows = [("big", i, "x" * 100) for i in range(10)] + [("few", i, "x" * 1000) for i in range(9)]
     rows += [("short", i, "x") for i in range(20)] + [("edge", i, "x" * 100 if i else None) for i in range(11)]
