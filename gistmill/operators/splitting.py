@@ -174,12 +174,14 @@ def word_cases(ended: DataFrame) -> DataFrame:
     )
 
 
-def fit_splitter(df: DataFrame, text: str, known: Iterable[str] = ABBREVIATIONS) -> SplitModel:
+def fit_splitter(df: DataFrame, text: str, known: Iterable[str] = ABBREVIATIONS, counts: DataFrame | None = None) -> SplitModel:
     """The model of the texts of ``df``, with the abbreviations found there and those
-    ``known`` beforehand, which few texts may not tell. Texts are read once; tables
+    ``known`` beforehand, which few texts may not tell. Texts are read once, or not at
+    all where their ``token_counts`` are at hand, staged, as ``counts``; tables
     that are small enough are broadcast where the model is used, and joined by
     shuffles beyond."""
-    counts = stage(token_counts(spread(df.select(text)), text), "split-counts")
+    if counts is None:
+        counts = stage(token_counts(spread(df.select(text)), text), "split-counts")
     listed = list(known)
     found = abbreviation_scores(counts).filter((F.col("score") >= ABBREVIATION) | F.col("word").isin(listed))
     more = df.sparkSession.createDataFrame([(w, 0, 0, None) for w in listed], found.schema).join(found.select("word"), "word", "left_anti")

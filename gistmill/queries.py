@@ -722,7 +722,7 @@ def abbreviation_scores(t):
 
 def _ended(t):
     counts = stage(splitting.token_counts(spread(_with_stops(t)), "text"), "counts")
-    model = splitting.fit_splitter(_with_stops(t), "text")
+    model = splitting.fit_splitter(_with_stops(t), "text", counts=counts)
     return counts, splitting.with_ends(counts, model.abbreviations)
 
 

@@ -131,6 +131,16 @@ def test_split(spark):
     assert split(spark, model, "It took ca.\n five days.") == ["It took ca.\n five days."]
 
 
+def test_counts_at_hand_are_not_counted_again(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in made_texts()], "text string")
+    whole = splitting.fit_splitter(df, "text")
+    counts = splitting.stage(splitting.token_counts(df, "text"), "counts")
+    monkeypatch.setattr(splitting, "token_counts", None)
+    again = splitting.fit_splitter(df, "text", counts=counts)
+    for one, other in zip(whole, again):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+
+
 def test_model_of_nothing(spark):
     model = splitting.fit_splitter(spark.createDataFrame([], "text string"), "text")
     assert split(spark, model, "Mr. Fox ran. He won.") == ["Mr. Fox ran.", "He won."]
