@@ -5,7 +5,9 @@ level 2 divides by them; both shorten the group's total. With topics, variant
 ``v2`` also weighs scores by the topics already covered. Each pick depends on
 the one before it, so a group of ordinary size runs as one loop inside one task
 and all groups run side by side. Groups too large for that are picked in rounds
-instead: many picks a round (``lazy``), or one where covered topics count.
+instead: many picks a round (``lazy``), or one where covered topics and changing counts
+meet. Where covered topics alone change scores, sentences of the same topics keep their
+order, so the first of each set of topics are enough.
 """
 
 from __future__ import annotations
@@ -13,18 +15,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmill.operators import selection as sl
 from gistmill.operators import terms as tm
-from gistmill.operators.lazy import pick_lazily
+from gistmill.operators.lazy import least, pick_lazily
 from gistmill.operators.topics import meet_keywords
 from gistmill.operators.scoring import NO_WORDS, measure_groups, relative_entropy
-from gistmill.session import BROADCAST_ROWS, stage
+from gistmill.session import BROADCAST_ROWS, small_side, stage
 
 LOCAL_SENTENCES = 200_000
+#: Sentences of each set of topics that a group's loop is tried with first.
+FIRST_OF_TOPICS = 256
 
 
 def _pick_in_group(keys: Sequence[str], place: Sequence[str], shown: Sequence[str], level: int, by_sentences: bool, topical: bool, given: int | None, covering: bool):
@@ -246,7 +250,9 @@ def select_reducing(
         big = _with_topics(big, keys, place, keywords)
     if variant == "v2" and keywords is not None:
         # What a topic is worth changes for all sentences at once.
-        by_rounds = _pick_by_rounds(big, big_totals, keys, place, level, by_sentences, n_topics)
+        by_rounds = (
+            _pick_by_rounds(big, big_totals, keys, place, level, by_sentences, n_topics) if level
+            else _pick_by_topics(big, big_totals, keys, place, by_sentences, n_topics))
     else:
         own = F.lit(n_topics) if n_topics is not None else F.col("_n_topics") if keywords is not None else None
         by_rounds = pick_lazily(big, big_totals, keys, place, level, by_sentences, own if keywords is not None else None)
@@ -265,6 +271,98 @@ def _first_sentences(sentences: DataFrame, totals: DataFrame, keys: list[str], p
     ).filter(sl.length_gate())
 
 
+def _merge_topics(keys: Sequence[str], by_sentences: bool, count: int):
+    """Loop over the first sentences of each set of topics of a group; ``done`` if it
+    ended before one of ``count`` sentences ran out."""
+    low, high = sl.MIN_WORDS, sl.MAX_WORDS
+
+    def run(key, frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values(["topic_set", "nth"], ignore_index=True)
+        _, start, sizes = np.unique(frame["topic_set"].to_numpy(dtype=str), return_index=True, return_counts=True)
+        sets = [frozenset(x) for x in frame["sen_topics"].iloc[start]]
+        at, end = start.copy(), start + sizes
+        base, n, place = (frame[c].to_numpy() for c in ("base", "filt_words", "ord"))
+        words, texts = frame["og_words"].to_numpy(), frame["sentence"].tolist()
+        limit, taken, last, covered = int(frame["limit"].iloc[0]), 0, None, set()
+        worth, rows, done = np.ones(len(sets)), [], False
+        while True:
+            left = np.flatnonzero(at < end)
+            done = taken >= limit or not len(left)
+            if done:
+                break
+            score = base[at[left]] / worth[left] / n[at[left]]
+            lowest = np.flatnonzero(score == score.min())
+            own = left[lowest[place[at[left[lowest]]].argmin()]]
+            i = at[own]
+            if low <= words[i] <= high and texts[i] != last:
+                rows.append((*key, len(rows) + 1, int(place[i]), float(base[i] / worth[own] / n[i]), None))
+                taken += 1 if by_sentences else int(words[i])
+                last = texts[i]
+                covered |= sets[own]
+                worth = np.array([1.25 ** len(x & covered) for x in sets])
+            at[own] += 1
+            if at[own] == end[own] and sizes[own] == count:
+                done = taken >= limit
+                break
+        return pd.DataFrame([*rows, (*key, None, None, None, bool(done))], columns=[*keys, "rank", "ord", "score", "done"], dtype=object)
+
+    return run
+
+
+def _pick_by_topics(
+    sentences: DataFrame, totals: DataFrame, keys: list[str], place: list[str], by_sentences: bool, n_topics: int | None,
+    count: int | None = None,
+) -> DataFrame:
+    """The loop with covered topics at level 0 for groups that span tasks.
+
+    Scores are computed once. A covered topic changes those of all sentences with the
+    same topics alike, so the loop needs only the first ``count`` of each set of topics.
+    Groups where that is too few begin again with four times as many.
+    """
+    count = count or FIRST_OF_TOPICS
+    all_topics = F.lit(n_topics) if n_topics is not None else F.col("_n_topics")
+    own_topics = ["_n_topics"] if n_topics is None else []
+    item = F.struct(*(F.col(p) for p in place)).alias("place")
+    tokens = sentences.filter(F.size("sen_topics") > 0).select(
+        *keys, item, "og_words", "filt_words", "sen_topics", *own_topics,
+        F.inline(F.zip_with("bag", "n_term_topics", lambda b, w: F.struct(
+            b["first"].alias("first"), b["term"].alias("term"), b["tf"].alias("tf"), w.alias("width")))),
+    )
+    tokens = stage(tokens.filter("width > 0"), "tokens")
+    counts = tokens.groupBy(*keys, "term").agg(F.sum("tf").cast("double").alias("count"))
+    open_ = stage(totals.filter("_limit > 0").select(
+        *keys, F.col("_limit").cast("long").alias("limit"), F.col("filt_total").cast("double").alias("total")), "state")
+    part = relative_entropy(F.col("count") / F.col("total"), F.col("tf") / F.col("filt_words") * (F.col("width") / all_topics))
+    scored = tokens.join(counts.join(open_.select(*keys, "total"), keys), [*keys, "term"]).groupBy(*keys, "place").agg(
+        F.array_sort(F.collect_list(F.struct("first", part.alias("part")))).alias("parts"),
+        *(F.max(c).alias(c) for c in ("og_words", "filt_words", "sen_topics", *own_topics)),
+    )
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["part"])
+    scored = stage(scored.select(
+        *keys, "place", "og_words", "filt_words", "sen_topics", F.concat_ws(",", F.col("sen_topics").cast("array<string>")).alias("topic_set"),
+        (total * (all_topics / F.size("sen_topics"))).alias("base")), "scored")
+    texts = sentences.select(*keys, item, "sentence")
+    fields = {f.name: f for f in sentences.schema.fields}
+    schema = T.StructType([*(fields[k] for k in keys), T.StructField("rank", T.IntegerType()), T.StructField("ord", T.LongType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("done", T.BooleanType())])
+    picked: list[DataFrame] = []
+    while not open_.isEmpty():
+        first = scored.join(small_side(open_, "state").select(*keys, "limit"), keys).withColumn("at", F.col("base") / F.col("filt_words"))
+        first = small_side(least(first, [*keys, "topic_set"], ["at", "place"], count, "nth"), "first")
+        first = stage(first.join(texts, [*keys, "place"]).withColumn(
+            "ord", F.row_number().over(Window.partitionBy(*keys).orderBy("place")).cast("long")), "first")
+        tried = stage(first.drop("place", "at").groupBy(*keys).applyInPandas(_merge_topics(keys, by_sentences, count), schema), "picks")
+        done = tried.filter("done").select(*keys)
+        picks = tried.filter("rank is not null").join(done, keys, "left_semi").join(first.select(*keys, "ord", "place", "sentence", "og_words"), [*keys, "ord"])
+        picked.append(picks.select(*keys, "rank", "place.*", "sentence", "og_words", "score"))
+        open_ = stage(open_.join(tried.filter("not done").select(*keys), keys, "left_semi"), "state")
+        count *= 4
+    return reduce(DataFrame.unionByName, picked)
+
+
 def _pick_by_rounds(
     sentences: DataFrame, totals: DataFrame, keys: list[str], place: list[str],
     level: int, by_sentences: bool, n_topics: int | None,

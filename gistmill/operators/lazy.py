@@ -119,7 +119,7 @@ def _product(count: Column, b: Column) -> Column:
     return F.when(count > 0, count * F.ln(count / b)).otherwise(F.lit(0.0))
 
 
-def _least(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, name: str) -> DataFrame:
+def least(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int, name: str) -> DataFrame:
     """The first ``count`` rows of each key, numbered from 1: those of every part of a
     key first, so that no task sorts all rows of a large one."""
     def first(df, within):
@@ -208,12 +208,12 @@ def pick_lazily(
     while not state.isEmpty():
         now = small_side(state, "state")
         open_ = sums.filter("used < copies").join(now, keys).withColumn("near", _score(F.col("product"), F.col("mass"), F.col("total"), F.col("n")))
-        best = _least(open_.select(*keys, "near", "cid", "at"), keys, ["near", "cid"], classes, "place_")
+        best = least(open_.select(*keys, "near", "cid", "at"), keys, ["near", "cid"], classes, "place_")
         best = small_side(best.select(*keys, "cid", "at"), "best")
         own_terms = terms.join(best, [*keys, "cid"]).join(counts, [*keys, "term"]).join(now, keys)
         # Each class goes on after its last used sentence.
         own = members.join(best, [*keys, "cid"]).filter(F.col("at").isNull() | (F.col("place") > F.col("at"))).drop("at")
-        own = _least(own, [*keys, "cid"], ["place"], classes, "nth")
+        own = least(own, [*keys, "cid"], ["place"], classes, "nth")
         own = stage(own.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("place")).cast("long")), "own")
         steps = own_terms.select(*keys, "cid", "n", "first", "term", "tf", "b", "count", "limit", "total", "taken", "last").groupBy(*keys).cogroup(
             own.select(*keys, "cid", "ord", "og_words", "sentence").groupBy(*keys)

@@ -142,6 +142,17 @@ def test_topic_variant_2_matches_loop(spark, level, local_sentences):
     assert result(got) == by_loop(groups, LIMITS["percent"][0], True, level=level, topics=TOPICS, n_topics=4, v2=True)
 
 
+def test_covered_topics_alone_take_no_round_a_pick(spark, monkeypatch):
+    """At level 0 the first sentences of each set of topics do; too few are tried again."""
+    monkeypatch.setattr(greedy, "_pick_by_rounds", None)
+    monkeypatch.setattr(greedy, "FIRST_OF_TOPICS", 1, raising=False)
+    sentences = table(spark, make_groups(7, n_groups=3, big=16))
+    rows = lambda **more: sorted(
+        (r.g, r["rank"], r.r, r.sen_pos, round(r.score, 9)) for r in greedy.select_reducing(
+            sentences, ["g"], ["r"], 0, "percent", 0.3, keywords=keyword_table(spark), n_topics=4, variant="v2", **more).collect())
+    assert rows(local_sentences=1) == rows() != []
+
+
 def test_topic_variant_1_matches_loop(spark):
     groups = make_groups(8)
     model = topics.TopicModel(None, keyword_table(spark), 4)
