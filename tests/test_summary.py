@@ -381,3 +381,43 @@ def test_topics_of_each_group(spark):
 def test_group_numbers(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 0)], "g string, i int")
     assert {r.g: r.val for r in plans.number_groups(df, ["g"], ["i"]).collect()} == {"c": 1, "b": 2, "a": 3}
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_blocks_count_terms_of_groups_in_one_block_or_many(spark, most):
+    from gistmill.operators import blocks
+
+    groups = make_groups(5)
+    sentences = table(spark, groups)
+    totals = scoring.measure_groups(sentences, ["g"]).totals
+    met = blocks.meet_counts(
+        sentences.join(totals, "g").repartition(3), ["g"], ["g", "r", "sen_pos", "filt_total"], F.col("sen_pos") != 1, most=most).collect()
+    bags = {(r.g, r.r, r.sen_pos): r.bag for r in sentences.collect()}
+    counts, df = {}, {}
+    for (g, _, _), bag in bags.items():
+        for b in bag:
+            counts[g, b.term] = counts.get((g, b.term), 0) + b.tf
+            df[g, b.term] = df.get((g, b.term), 0) + 1
+    wanted = {k: [(b.tf, counts[k[0], b.term], df[k[0], b.term]) for b in bag] for k, bag in bags.items() if bag and k[2] != 1}
+    assert len(met) == len(wanted) > 10
+    assert {(r.g, r.r, r.sen_pos): [tuple(m) for m in r.met] for r in met} == wanted
+
+
+def test_scoring_makes_no_shuffle_row_per_sentence_and_term(spark, monkeypatch):
+    """A group that lies in one block has its counts there: no pair is met elsewhere."""
+    from gistmill.operators import blocks
+
+    seen = []
+    staged = blocks.stage
+    monkeypatch.setattr(blocks, "stage", lambda df, label: seen.append(staged(df, label)) or seen[-1])
+    sentences = table(spark, {1: ["walk stone stone bridge"] * 200, 2: ["river of silver"] * 100}).coalesce(1)
+    assert scoring.score_sentences(sentences, ["g"], ["r"]).count() == 300
+    assert len(seen) == 1 and seen[0].filter("_term is not null").count() == 0
+    spread = scoring.score_sentences(sentences.repartition(2, "r", "sen_pos"), ["g"], ["r"])
+    assert spread.count() == 300 and seen[1].filter("_term is not null").count() <= 10
+
+
+def test_bags_hold_first_places_and_counts(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "c", "a", "b"]), (2, []), (3, None), (4, ["a"])], "i int, terms array<string>")
+    found = {r.i: [tuple(b) for b in r.bag] for r in terms.with_bag(df).collect()}
+    assert found == {1: [(0, "b", 3), (1, "a", 2), (3, "c", 1)], 2: [], 3: [], 4: [(0, "a", 1)]}
