@@ -214,9 +214,11 @@ def split_fitted(df: DataFrame, columns: Sequence[str | Column], text: str, mode
         token_word(following).alias("second"), _upper(following).alias("upper"), _lower(following).alias("lower"),
         F.col("own.next").isNull().alias("final"),
     )
+    rows = stage(rows, "split-pieces")
     in_doubt = ~F.col("final") & F.col("kind").isin("stop", "dots")
-    sure = rows.filter(~in_doubt).select(*keys, "pos", "piece", F.lit(True).alias("ends"))
-    open_ = rows.filter(in_doubt)
+    # The model sees each kind of cut once; texts don't go through its joins.
+    about = ["kind", "first", "second", "upper", "lower"]
+    cuts = rows.filter(in_doubt).select(*about).distinct()
 
     def marked_by(table: DataFrame, on: dict[str, str], name: str):
         own = table.select(*(F.col(theirs).alias(ours) for theirs, ours in on.items()), F.lit(True).alias(name))
@@ -227,8 +229,8 @@ def split_fitted(df: DataFrame, columns: Sequence[str | Column], text: str, mode
         (model.collocations, {"first": "first", "second": "second"}, "paired"),
         (model.starters, {"word": "second"}, "starter"),
     ):
-        open_ = open_.join(*marked_by(table, on, name), "left")
-    open_ = open_.join(model.cases.select(F.col("word").alias("second"), "upper_inside", F.col("lower").alias("n_lower")), "second", "left")
+        cuts = cuts.join(*marked_by(table, on, name), "left")
+    cuts = cuts.join(model.cases.select(F.col("word").alias("second"), "upper_inside", F.col("lower").alias("n_lower")), "second", "left")
     seen_lower, seen_inside = F.coalesce("n_lower", F.lit(0)) > 0, F.coalesce("upper_inside", F.lit(0)) > 0
     # What the writing of the next word says: a start, no start, or nothing.
     starts = F.when(F.col("upper") & seen_lower & ~seen_inside, True).when(F.col("lower"), False)
@@ -243,7 +245,8 @@ def split_fitted(df: DataFrame, columns: Sequence[str | Column], text: str, mode
         .when(number, F.coalesce(starts, F.lit(True)))
         .otherwise(True)
     )
-    every = sure.unionByName(open_.select(*keys, "pos", "piece", ends.alias("ends")))
+    within = small_side(cuts.filter(~ends).select(*about, F.lit(True).alias("within")), "split-cuts")
+    every = rows.join(within, about, "left").select(*keys, "pos", "piece", (~in_doubt | F.col("within").isNull()).alias("ends"))
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     numbered = every.withColumn("sen_pos", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")

@@ -184,3 +184,22 @@ def test_saved_sentences(spark):
 
     by_model, by_rule = measured(splitting.fit_splitter(df, "text")), measured("full")
     assert by_model[0] >= by_rule[0] and by_model[1] >= by_rule[1]
+
+
+def test_model_meets_each_kind_of_cut_once(spark, monkeypatch):
+    """Texts don't go through the joins with the model: like cuts are one row there."""
+    kept = {}
+    side = splitting.small_side
+    monkeypatch.setattr(splitting, "small_side", lambda df, label: kept.setdefault(label, side(df, label)))
+    texts = spark.createDataFrame([(i, "Dr. Stone met him. Then Dr. Stone left. So it went.") for i in range(50)], "id int, text string")
+    ratio = "n int, after_end int, ratio double"
+    model = splitting.SplitModel(
+        spark.createDataFrame([("dr", 9, 9, 1.0)], "word string, n int, with_stop int, score double"),
+        spark.createDataFrame([], f"first string, second string, {ratio}"), spark.createDataFrame([], f"word string, {ratio}"),
+        spark.createDataFrame([], "word string, upper_inside int, lower int"))
+    found = {}
+    for r in splitting.split_fitted(texts, ["id"], "text", model).collect():
+        found.setdefault(r.id, []).append((r.sen_pos, r.part))
+    assert len(found) == 50
+    assert all(sorted(f) == [(0, "Dr. Stone met him."), (1, "Then Dr. Stone left."), (2, "So it went.")] for f in found.values())
+    assert [r.asDict() for r in kept["split-cuts"].select("first", "second").collect()] == [{"first": "dr", "second": "stone"}]
