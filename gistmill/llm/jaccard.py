@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.llm.groups import components
@@ -31,6 +31,10 @@ SEEDS = mix(np.arange(11, 14, dtype=np.uint64))
 CHUNK = 256
 #: Shingles of more components than this come last among a document's shingles.
 CROWD = 8
+#: So often they are moved at most; each time reads the texts again.
+MOVES = 2
+#: Shingles that come last are marked by so many of their low bits, in a bitmap of 8 MB.
+MARK_BITS = 26
 LEAF = 8
 FANOUT = 4
 
@@ -179,43 +183,33 @@ def _arrays(ids: pa.Array, keys: list[np.ndarray], name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[name, "keys"])
 
 
-def _prefixes(k: int, percent: int, frequent: np.ndarray):
+def _prefixes(k: int, percent: int, frequent: np.ndarray, marks: np.ndarray):
     """Arrow function: (doc_id, text) to the shingles of which similar sets share one.
 
-    In the order used, shingles of ``frequent`` come last, and so do those that a
-    column ``often`` lists of the row; any order that all rows agree on is right.
+    In the order used, shingles of ``frequent`` and those marked in the bitmap
+    ``marks`` come last; any order that all rows agree on is right, so marks that
+    fall on other shingles too do no harm.
     """
 
     def run(batches):
         for batch in batches:
-            often = batch.column("often").to_pylist() if "often" in batch.schema.names else None
             keys = []
-            for first, sets in shingle_sets(batch.column("text"), k):
-                for row, own in enumerate(sets, first):
+            for _, sets in shingle_sets(batch.column("text"), k):
+                for own in sets:
                     many = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                     last = np.zeros(len(own), dtype=bool)
                     if len(frequent) and len(own):
                         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
                         last = frequent[at] == own
-                    if often is not None:
-                        last |= np.isin(own, np.array(often[row], dtype=np.int64).view(np.uint64))
+                    if len(marks):
+                        at = own & np.uint64((1 << MARK_BITS) - 1)
+                        last |= marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
                     keys.append(np.concatenate([own[~last], own[last]])[:many])
             yield _arrays(batch.column("doc_id"), keys, "doc_id")
 
     return run
 
 
-def _every(k: int, name: str):
-    """Arrow function: (``name``, text) to all shingles of the text."""
-
-    def run(batches):
-        for batch in batches:
-            keys = [own for _, sets in shingle_sets(batch.column("text"), k) for own in sets]
-            yield _arrays(batch.column(name), keys, name)
-
-    return run
-
-
 def _links(k: int, percent: int):
     """Arrow function: (group, doc_id, label, text) sorted by group to links."""
 
@@ -238,38 +232,42 @@ def _links(k: int, percent: int):
     return run
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, component, least, most, n) of the keys that several components have."""
-    span = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stage(keyed.drop("doc_id").join(span, "key").distinct(), "jaccard-parts")
+def _shared(texts: DataFrame, sides: DataFrame, prefixes) -> DataFrame:
+    """(key, component) of the keys that several components have."""
+    keyed = texts.mapInArrow(prefixes, "doc_id long, keys array<long>").join(sides, "doc_id")
+    keyed = keyed.select("component", F.explode("keys").alias("key"))
+    # One shuffle: most keys are of one component, and end here.
+    own = Window.partitionBy("key")
+    keyed = keyed.select("key", "component", F.min("component").over(own).alias("low"), F.max("component").over(own).alias("high"))
+    return stage(keyed.where("low < high").select("key", "component").distinct(), "jaccard-parts")
 
 
-def _uncrowded(texts: DataFrame, keyed: DataFrame, parts: DataFrame, sides: DataFrame, k: int, prefixes) -> DataFrame:
-    """``parts`` again, with shingles that many components share as the last ones.
+def _parts(texts: DataFrame, sides: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(key, component) of the first shingles that several components have.
 
-    Components that have a crowded key tell which of their shingles are held by more
-    than ``CROWD`` of them. With those last, only documents that had one among their
-    first shingles get other first ones; for the rest nothing changes. A passage that
-    many documents hold thus brings them together only where a document has little
-    else, instead of in a row for each pair of them.
+    While pairs of components would be more than twice these rows, shingles of more
+    than ``CROWD`` components are marked and come last from then on, in every document.
+    A document gets as many other first shingles as it had marked ones, of which
+    fewer are crowded, so a passage that many documents hold soon brings them together
+    only where a document has little else, instead of in a row for each pair of them.
     """
-    crowd = stage(parts.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "jaccard-crowd")
-    if crowd.isEmpty():
-        return parts
-    some = keyed.join(crowd, "key", "left_semi").select("doc_id", "component").distinct()
-    held = texts.join(some, "doc_id").select("component", "text").mapInArrow(_every(k, "component"), "component long, keys array<long>")
-    held = held.select("component", F.explode("keys").alias("key")).distinct()
-    often = stage(held.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "jaccard-often")
-    again = stage(keyed.join(often, "key", "left_semi").select("doc_id").distinct(), "jaccard-again")
-    every = texts.join(again, "doc_id").select("doc_id", "text").mapInArrow(_every(k, "doc_id"), "doc_id long, keys array<long>")
-    own = every.select("doc_id", F.explode("keys").alias("key")).join(often, "key", "left_semi")
-    own = own.groupBy("doc_id").agg(F.collect_set("key").alias("often"))
-    found = texts.join(own, "doc_id").mapInArrow(prefixes, "doc_id long, keys array<long>")
-    return _shared(stage(keyed.join(again, "doc_id", "left_anti").unionByName(_keyed(found, sides)), "jaccard-keys"))
-
-
-def _keyed(prefixes: DataFrame, sides: DataFrame) -> DataFrame:
-    return prefixes.join(sides, "doc_id").select(F.explode("keys").alias("key"), "doc_id", "component", "least", "most", "n")
+    parts = _shared(texts, sides, _prefixes(k, percent, frequent, np.zeros(0, np.uint64)))
+    marks = np.zeros(1 << MARK_BITS - 6, dtype=np.uint64)
+    for _ in range(MOVES):
+        counts = parts.groupBy("key").agg(F.count("*").alias("n"))
+        rows, met = counts.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
+        if not rows or met <= 2 * rows:
+            break
+        low = F.col("key").bitwiseAND(F.lit((1 << MARK_BITS) - 1))
+        crowd = counts.where(F.col("n") > CROWD).select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+        # At most the words of the bitmap, whatever the number of shingles.
+        found = crowd.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        at, bits = found.column("word").to_numpy(), found.column("bits").to_numpy().view(np.uint64)
+        if not (bits & ~marks[at]).any():
+            break
+        marks[at] |= bits
+        parts = _shared(texts, sides, _prefixes(k, percent, frequent, marks))
+    return parts
 
 
 def _candidates(parts: DataFrame, percent: int) -> DataFrame:
@@ -336,11 +334,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, share: float
     # At most average size / share of them: the bound doesn't grow with the rows.
     floor = share * max(1, sized.count())
     frequent = np.array(sorted(np.array([r.sum1 for r in often.where(F.col("times") >= floor).select("sum1").collect()], dtype=np.int64).view(np.uint64)), dtype=np.uint64)
-    prefixes = _prefixes(k, percent, frequent)
     spans = first.groupBy("component").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.count("*").alias("n"))
-    sides = stage(first.join(spans, "component").select(F.col("node").alias("doc_id"), "component", "least", "most", "n"), "jaccard-sides")
-    keyed = stage(_keyed(texts.mapInArrow(prefixes, "doc_id long, keys array<long>"), sides), "jaccard-keys")
-    parts = _uncrowded(texts, keyed, _shared(keyed), sides, k, prefixes)
+    sides = first.select(F.col("node").alias("doc_id"), "component")
+    parts = _parts(texts, sides, k, percent, frequent).join(spans, "component")
     pairs = _candidates(parts, percent)
     big, small = F.when(F.col("nx") >= F.col("ny"), F.col("x")), F.when(F.col("nx") >= F.col("ny"), F.col("y"))
     pairs = pairs.select(big.otherwise(F.col("y")).alias("big"), small.otherwise(F.col("x")).alias("small"), F.greatest("nx", "ny").alias("n"))

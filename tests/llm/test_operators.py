@@ -167,6 +167,25 @@ def test_jaccard_of_a_shared_passage(spark, monkeypatch, passage):
     assert made[0] <= 153
 
 
+def test_jaccard_moves_shingles_without_opening_texts(spark, monkeypatch):
+    """Texts of one passage: what becomes rows is first shingles alone, never all of a text."""
+    shared = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"d{d}x{i}" for i in range(60)] + shared + [f"d{d}y{i}" for i in range(40)]) for d in range(60)]
+    texts += [" ".join(f"e{d}x{i}" for i in range(40)) for d in range(6)]
+    df = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    kept, opened, own = sum(len(s) - -(-80 * len(s) // 100) + 1 for s in map(shingle_set, texts)), [], type(df).mapInArrow
+
+    def counted(self, func, schema, *rest, **more):
+        out = own(self, func, schema, *rest, **more)
+        if "keys" in out.columns:
+            opened.append(out.agg(F.sum(F.size("keys"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    assert jaccard.jaccard_groups(df, share=0.9999).where("doc_id <> component_id").count() == 0
+    assert opened and max(opened) <= kept and sum(opened) <= 3 * kept
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame(spark, ODD).withColumn("component_id", F.lit(9))).collect())
     assert [g[::2] for g in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (6, 6), (7, 7), (8, 8)]
