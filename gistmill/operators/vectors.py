@@ -11,6 +11,7 @@ are whole millionths, so sums don't depend on their order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ SCALE = 1_000_000
 MOST_DIMENSIONS = 32
 
 
-def neighbour_counts(texts: DataFrame, words: str, window: int = 4) -> DataFrame:
-    """``word, context, n``: how often two words are at most ``window`` words apart,
-    counted from both sides."""
+def met_pairs(texts: DataFrame, words: str, window: int = 4) -> DataFrame:
+    """``a, b, n``, a <= b, staged: how often two words are at most ``window`` words
+    apart, a word that meets itself counted from both sides."""
     size = F.size(words)
 
     def met(ahead):
@@ -34,25 +35,43 @@ def neighbour_counts(texts: DataFrame, words: str, window: int = 4) -> DataFrame
         )
 
     pairs = F.concat(*(met(ahead) for ahead in range(1, window + 1)))
-    counted = stage(texts.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "neighbours")
-    twice = F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n"))
-    first = counted.select(F.col("a").alias("word"), F.col("b").alias("context"), twice.alias("n"))
-    second = counted.filter("a <> b").select(F.col("b").alias("word"), F.col("a").alias("context"), "n")
-    return first.unionByName(second)
+    twice = F.when(F.col("a") == F.col("b"), 2 * F.count(F.lit(1))).otherwise(F.count(F.lit(1)))
+    return stage(texts.select(F.inline(pairs)).groupBy("a", "b").agg(twice.alias("n")), "neighbours")
+
+
+def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
+    """``word, context`` and ``columns`` of pairs (a, b), seen from both sides."""
+    first = pairs.select(F.col("a").alias("word"), F.col("b").alias("context"), *columns)
+    return first.unionByName(pairs.filter("a <> b").select(F.col("b").alias("word"), F.col("a").alias("context"), *columns))
+
+
+def neighbour_counts(texts: DataFrame, words: str, window: int = 4) -> DataFrame:
+    """``word, context, n``: how often two words are at most ``window`` words apart,
+    counted from both sides."""
+    return both_sides(met_pairs(texts, words, window), "n")
 
 
 def learn_vectors(texts: DataFrame, words: str, size: int = 16, window: int = 4) -> DataFrame:
     """``word, vector array<long>`` of every word that has a neighbour, in millionths."""
     if not 1 <= size <= MOST_DIMENSIONS:
         raise ValueError(f"size must be from 1 to {MOST_DIMENSIONS}")
-    counts = stage(neighbour_counts(texts, words, window), "neighbours")
-    totals = stage(counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("times")), "word-totals")
+    pairs = met_pairs(texts, words, window)
+    counts = both_sides(pairs, "n")
+    # A context adds with the same signs wherever it is met: one bit for each dimension.
+    bits = (F.when(F.substring(F.md5("word"), i + 1, 1) >= "8", F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(size))
+    totals = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("times"))
+    totals = stage(totals.withColumn("signs", reduce(lambda x, y: x + y, bits)), "word-totals")
     everything = totals.agg(F.sum("total")).first()[0] or 0
-    sides = stage(join_hot(counts, totals, ["word"], "times").withColumnRenamed("total", "_own").drop("times"), "sides")
-    sides = join_hot(sides, totals.withColumnRenamed("word", "context"), ["context"], "times")
-    chance = F.col("n") * F.lit(float(everything)) / (F.col("_own").cast("double") * F.col("total"))
-    weighed = sides.filter(chance > 1).select("word", F.round(F.log(chance) * SCALE).cast("long").alias("_w"), F.md5("context").alias("_hash"))
-    signed = [F.when(F.substring("_hash", i + 1, 1) >= "8", F.col("_w")).otherwise(-F.col("_w")) for i in range(size)]
+    # A pair weighs the same from both sides, so it meets the totals once; ``times``
+    # is then at least the number of its rows.
+    own, other = (totals.select(F.col("word").alias(c), F.col("total").alias(f"_total_{c}"), F.col("signs").alias(f"_signs_{c}"), "times") for c in "ab")
+    met = stage(join_hot(pairs, own, ["a"], "times").drop("times"), "sides")
+    met = join_hot(met, other, ["b"], "times")
+    chance = F.col("n") * F.lit(float(everything)) / (F.col("_total_a").cast("double") * F.col("_total_b"))
+    weighed = met.filter(chance > 1).withColumn("_w", F.round(F.log(chance) * SCALE).cast("long"))
+    ends = [F.struct(F.col(x).alias("word"), F.col(f"_signs_{y}").alias("_signs")) for x, y in ("ab", "ba")]
+    weighed = weighed.select("_w", F.inline(F.when(F.col("a") == F.col("b"), F.array(ends[0])).otherwise(F.array(*ends))))
+    signed = [F.when(F.col("_signs").bitwiseAND(F.lit(1 << i)) != 0, F.col("_w")).otherwise(-F.col("_w")) for i in range(size)]
     added = weighed.groupBy("word").agg(*(F.sum(c).alias(f"_{i}") for i, c in enumerate(signed)))
     known = totals.select("word").join(added, "word", "left")
     return known.select("word", F.array(*(F.coalesce(f"_{i}", F.lit(0)) for i in range(size))).alias("vector"))

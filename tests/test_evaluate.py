@@ -1,6 +1,9 @@
+import hashlib
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +201,38 @@ def test_rouge(spark):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert longest[g].recall == pytest.approx(table[-1][-1] / len(b))
+
+
+def test_learned_vectors_meet_totals_once_a_pair(spark, monkeypatch):
+    """Vectors as a plain loop makes them, with one row for both sides of a pair."""
+    texts = ["a b a c d e", "b b c a", "d d d e f a", "", "g", "c f b"]
+    size, window = 16, 2
+    met, pairs = Counter(), set()
+    for text in texts:
+        said = text.split()
+        for i, word in enumerate(said):
+            for other in said[i + 1 : i + 1 + window]:
+                met[word, other] += 1
+                met[other, word] += 1
+                pairs.add((min(word, other), max(word, other)))
+    totals = Counter()
+    for (word, _), n in met.items():
+        totals[word] += n
+    expected = {word: [0] * size for word in totals}
+    for (word, context), n in met.items():
+        chance = n * float(sum(totals.values())) / (float(totals[word]) * totals[context])
+        if chance > 1:
+            for i, digit in enumerate(hashlib.md5(context.encode()).hexdigest()[:size]):
+                expected[word][i] += round(math.log(chance) * 1_000_000) * (1 if digit >= "8" else -1)
+    written, own = {}, vectors.stage
+
+    def counted(df, label):
+        out = own(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(vectors, "stage", counted)
+    df = spark.createDataFrame([(t.split(),) for t in texts], "words array<string>")
+    got = {r.word: list(r.vector) for r in vectors.learn_vectors(df, "words", size, window).collect()}
+    assert got == expected
+    assert written["neighbours"] == written["sides"] == len(pairs)
