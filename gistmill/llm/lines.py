@@ -24,6 +24,8 @@ from gistmill.llm.words import LOWER, PLACE, Slice, bundles, mix, ranges, ready,
 from gistmill.session import join_hot, stage
 
 CHUNK = 1024
+#: Keys of so many lines at most are compared together, larger ones by themselves.
+FEW = 64
 GRAM = 3
 #: Short lines of so many characters have pieces as keys, longer ones all 8-grams:
 #: from 72 on, edits to a tenth of the characters can't change all of them.
@@ -207,6 +209,35 @@ def close(n: np.ndarray, parity: np.ndarray, least: float):
             yield first + int(a[own[0]]), first + b[own]
 
 
+def _few_joined(group: np.ndarray, line: np.ndarray, n: np.ndarray, parity: np.ndarray, least: float):
+    """(cluster, row) of the rows that may be near another of their group, for many
+    small groups at once, by the rule of ``close``; rows are sorted by group and n."""
+    most = np.floor((1 - least) * n + 1e-9).astype(np.int64)
+    left, right, at = [], [], np.arange(len(n))
+    for ahead in range(1, FEW):
+        at = at[at + ahead < len(n)]
+        at = at[group[at] == group[at + ahead]]
+        if not len(at):
+            break
+        b = at + ahead
+        fit = (n[b] - n[at] <= most[b]) & (np.bitwise_count(parity[at] ^ parity[b]) <= 2 * most[b])
+        left.append(at[fit])
+        right.append(b[fit])
+    if not left:
+        return line[:0], at
+    a, b = np.concatenate(left), np.concatenate(right)
+    name = line.copy()
+    while len(a):
+        least_name = np.minimum(name[a], name[b])
+        before = name.copy()
+        np.minimum.at(name, a, least_name)
+        np.minimum.at(name, b, least_name)
+        if (name == before).all():
+            break
+    kept = np.unique(np.concatenate([a, b]))
+    return name[kept], kept
+
+
 def clusters(least: float):
     """Arrow function: rows sorted by ``key`` and ``n`` to those (cluster, short, line,
     n, parity) that may be near another of their key. A cluster is connected by such
@@ -217,10 +248,12 @@ def clusters(least: float):
             key, line, n = (table.column(x).to_numpy() for x in ("key", "line", "n"))
             parity = table.column("parity").to_numpy().view(np.uint64)
             borders = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            names, members = [], []
-            for first, last in zip(borders[:-1], borders[1:]):
-                if last - first < 2:
-                    continue
+            sizes = np.diff(borders)
+            few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+            name, at = _few_joined(key[few], line[few], n[few], parity[few], least)
+            names, members = [name], [few[at]]
+            many = np.flatnonzero(sizes > FEW)
+            for first, last in zip(borders[many], borders[many + 1]):
                 root = None
                 for a, near in close(n[first:last], parity[first:last], least):
                     root = np.arange(last - first) if root is None else root
@@ -235,8 +268,8 @@ def clusters(least: float):
                 kept = np.flatnonzero(size[root] > 1)
                 names.append(smallest[root[kept]])
                 members.append(first + kept)
-            if names:
-                at = np.concatenate(members)
+            at = np.concatenate(members)
+            if len(at):
                 columns = [np.concatenate(names), key[at] >= 0, line[at], n[at], table.column("parity").to_numpy()[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["cluster", "short", "line", "n", "parity"])
 

@@ -618,6 +618,34 @@ def test_anchors_of_more_than_a_shard_are_spread(spark, monkeypatch):
 # 9
 
 
+def test_line_clusters_of_many_small_keys(monkeypatch):
+    """Lines of small keys are compared together, with the clusters of a plain loop."""
+    rng = np.random.default_rng(9)
+    sizes = np.concatenate([rng.integers(1, 8, 300), [lines.FEW, lines.FEW + 1, 150]])
+    key = np.repeat(rng.permutation(len(sizes)) - 100, sizes)
+    n = rng.integers(10, 31, len(key))
+    parity = (np.uint64(1) << rng.integers(0, 64, len(key)).astype(np.uint64)) | (np.uint64(1) << rng.integers(0, 3, len(key)).astype(np.uint64))
+    line = rng.permutation(len(key)) - 50
+    order = np.lexsort((n, key))
+    key, n, parity, line = key[order], n[order], parity[order], line[order]
+    expected = set()
+    for k in set(key.tolist()):
+        own = np.flatnonzero(key == k).tolist()
+        name = {i: int(line[i]) for i in own}
+        near = [(a, b) for a, b in itertools.combinations(own, 2) if int(parity[a] ^ parity[b]).bit_count() <= 2 * int(n[b] * 0.1 + 1e-9) and n[b] - n[a] <= int(n[b] * 0.1 + 1e-9)]
+        for _ in own:
+            for a, b in near:
+                name[a] = name[b] = min(name[a], name[b])
+        expected |= {(name[i], k >= 0, int(line[i])) for i in {i for pair in near for i in pair}}
+    calls, close = [], lines.close
+    monkeypatch.setattr(lines, "close", lambda *a: calls.append(len(a[0])) or close(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, line, n.astype(np.int32), parity.view(np.int64))], names=["key", "line", "n", "parity"])
+    got = [tuple(r[c] for c in ("cluster", "short", "line")) for out in lines.clusters(0.9)([batch]) for r in out.to_pylist()]
+    assert expected and len(got) == len(set(got)) and set(got) == expected
+    assert sorted(calls) == [lines.FEW + 1, 150]
+    assert list(lines.clusters(0.9)([batch.slice(0, 0)])) == []
+
+
 def test_line_dedup(spark):
     rng = random.Random(11)
     base = [rng.choices([f"n{i}" for i in range(200)], k=rng.randint(2, 40)) for _ in range(60)]
