@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,13 @@ GRAM = 3
 #: from 72 on, edits to a tenth of the characters can't change all of them.
 PIECED = 72
 SEEN = 200_000
+#: Pairs of lines held at a time, cells of the tables that compare them, and the most
+#: edits for which pairs are compared together; further ones one by one.
+PAIRS = 400_000
+CELLS = 1_000_000
+EDITS = 12
+#: Classes of words, or of characters, that are counted per line.
+BINS = 32
 
 #: Bytes outside words of a normalised line: ASCII that is no letter or digit.
 OUTSIDE = np.ones(256, dtype=bool)
@@ -238,13 +246,27 @@ def _few_joined(group: np.ndarray, line: np.ndarray, n: np.ndarray, parity: np.n
     return name[kept], kept
 
 
+def _once(batches):
+    """Rows sorted by ``key``, ``n`` and ``line``, each line of a key once."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, line = (batch.column(x).to_numpy() for x in ("key", "line"))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        new[0] = (key[0], line[0]) != last
+        last = key[-1], line[-1]
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 def clusters(least: float):
-    """Arrow function: rows sorted by ``key`` and ``n`` to those (cluster, short, line,
-    n, parity) that may be near another of their key. A cluster is connected by such
-    pairs and named after its smallest line."""
+    """Arrow function: rows sorted by ``key``, ``n`` and ``line`` to those (cluster,
+    short, line, n, parity) that may be near another of their key. A cluster is
+    connected by such pairs and named after its smallest line."""
 
     def run(batches):
-        for table in bundles(batches, "key"):
+        for table in bundles(_once(batches), "key"):
             key, line, n = (table.column(x).to_numpy() for x in ("key", "line", "n"))
             parity = table.column("parity").to_numpy().view(np.uint64)
             borders = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
@@ -331,27 +353,164 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(words, pa.string())], names=["line", "words"])
 
 
+def _codes_of(words: pa.Array, short: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words of each line, or of its characters where it is short: all
+    one after the other, where each line begins, and how many it has."""
+    split = pc.split_pattern(words.filter(pa.array(~short)), " ")
+    split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+    letters = words.filter(pa.array(short))
+    sizes = np.zeros(len(short), np.int64)
+    sizes[~short] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    sizes[short] = pc.utf8_length(letters).to_numpy(zero_copy_only=False)
+    starts = np.empty(len(short), np.int64)
+    order = np.concatenate([np.flatnonzero(~short), np.flatnonzero(short)])
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    # Words are numbered behind all characters.
+    numbers = split.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32) + 0x110000
+    points = np.frombuffer("".join(letters.to_pylist()).encode("utf-32-le"), dtype=np.int32)
+    return np.concatenate([numbers, points]), starts, sizes
+
+
+def _spectra(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each line's codes fall in each of ``BINS`` classes. An edit moves one."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bins = (mix(codes[ranges(starts, sizes)].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) % BINS
+    return np.bincount(owner * BINS + bins, minlength=len(sizes) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
+def within(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether each pair of lines is at most ``most`` edits apart: for many pairs at
+    once, the furthest place that so many edits reach on each diagonal."""
+    out = np.zeros(len(a), dtype=bool)
+    swap = sizes[a] > sizes[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    rest = np.flatnonzero(sizes[b] - sizes[a] <= most)
+    rest = rest[np.lexsort((sizes[a[rest]], most[rest]))]
+    while len(rest):
+        edits_ = int(most[rest[0]])
+        at = rest[: max(1, np.searchsorted(most[rest], edits_, side="right"))]
+        size = sizes[a[at]]
+        # As many pairs as fit, of which the last has the longest line.
+        fit = np.arange(1, len(at) + 1) * (size + 1) * (2 * edits_ + 1) <= CELLS
+        at = at[: max(1, int(fit.sum()))]
+        rest = rest[len(at):]
+        n, m = sizes[a[at]], sizes[b[at]]
+        wide = int(n.max())
+        column = np.arange(wide)
+        left = np.where(column < n[:, None], codes[np.minimum(starts[a[at], None] + column, len(codes) - 1)], -1)
+        column = np.arange(-edits_, wide + edits_)
+        right = np.where((column >= 0) & (column < m[:, None]), codes[np.clip(starts[b[at], None] + column, 0, len(codes) - 1)], -2)
+        # Per diagonal, the next place from each on where the two differ.
+        differ = np.empty((2 * edits_ + 1, len(at), wide + 1), dtype=np.int32)
+        differ[:, :, wide] = wide
+        for d in range(2 * edits_ + 1):
+            own = np.where(left == right[:, d : d + wide], wide, np.arange(wide))
+            differ[d, :, :wide] = np.minimum.accumulate(own[:, ::-1], axis=1)[:, ::-1]
+        shift = np.arange(-edits_, edits_ + 1)[:, None]
+        ends = np.minimum(n, m - shift)
+        none = -wide - 2 * edits_ - 2
+        reach = np.full((2 * edits_ + 3, len(at)), none, dtype=np.int64)
+        reach[edits_ + 1] = differ[edits_, :, 0]
+        pair = np.arange(len(at))
+        for _ in range(edits_):
+            next_ = np.maximum(np.maximum(reach[1:-1] + 1, reach[2:] + 1), reach[:-2])
+            next_ = np.minimum(next_, ends)
+            ok = next_ >= np.maximum(0, -shift)
+            reach[1:-1] = np.where(ok, differ[np.arange(2 * edits_ + 1)[:, None], pair, np.clip(next_, 0, wide)], none)
+        out[at] = reach[m - n + edits_ + 1, pair] >= n
+    return out
+
+
+def _pairs(group: np.ndarray, n: np.ndarray, parity: np.ndarray, side: np.ndarray, least: float):
+    """(a, b) of rows of a group that may be near, in parts: those of all small groups
+    together, then those of some rows of a large one. Rows are sorted by group and n.
+    Where a group has two sides, rows of one side have met in a group of their own."""
+    most = np.floor((1 - least) * n + 1e-9).astype(np.int64)
+    borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    sizes = np.diff(borders)
+    first = np.repeat(borders[:-1], sizes)
+    mixed = np.add.reduceat(side != side[first], borders[:-1])[np.repeat(np.arange(len(sizes)), sizes)] > 0
+    apart = lambda a, b: ~mixed[a] | (side[a] != side[b])
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+    left, right = [], []
+    for ahead in range(1, FEW):
+        at = at[at + ahead < len(n)]
+        at = at[group[at] == group[at + ahead]]
+        if not len(at):
+            break
+        b = at + ahead
+        fit = (n[b] - n[at] <= most[b]) & (np.bitwise_count(parity[at] ^ parity[b]) <= 2 * most[b]) & apart(at, b)
+        left.append(at[fit])
+        right.append(b[fit])
+    if left:
+        yield np.concatenate(left), np.concatenate(right)
+    for i in np.flatnonzero(sizes > FEW):
+        low, high = int(borders[i]), int(borders[i + 1])
+        left, right, held = [], [], 0
+        for a, b in close(n[low:high], parity[low:high], least):
+            b = b[apart(low + a, low + b)]
+            left.append(np.full(len(b), low + a))
+            right.append(low + b)
+            held += len(b)
+            if held > PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+        if held:
+            yield np.concatenate(left), np.concatenate(right)
+
+
 def verified(least: float):
     """Arrow function: rows sorted by ``group`` and ``n`` to links that join them, by
     edit similarity. Joined pairs are not compared again."""
 
     def run(batches):
         for table in bundles(batches, "group"):
-            group, line, n = (table.column(x).to_numpy() for x in ("group", "line", "n"))
+            group, line, n, side = (table.column(x).to_numpy() for x in ("group", "line", "n", "side"))
             parity = table.column("parity").to_numpy().view(np.uint64)
-            short = table.column("short").to_pylist()
-            words = [x if own else x.split(" ") for x, own in zip(table.column("words").to_pylist(), short)]
-            borders = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+            short = table.column("short").to_numpy().astype(bool)
+            words = table.column("words").combine_chunks()
+            codes, starts, sizes = _codes_of(words, short)
+            spectra = _spectra(codes, starts, sizes)
+            parent = list(range(len(n)))
+
+            def top(x):
+                while parent[x] != x:  # noqa: B023
+                    parent[x] = x = parent[parent[x]]  # noqa: B023
+                return x
+
             left, right = [], []
-            for first, last in zip(borders[:-1].tolist(), borders[1:].tolist()):
-                root = np.arange(last - first)
-                for a, near in close(n[first:last], parity[first:last], least):
-                    while len(near := near[root[near] != root[a]]):
-                        b, near = int(near[0]), near[1:]
-                        if similar(words[first + a], words[first + b], least):
-                            root[root == root[b]] = root[a]
-                            left.append(line[first + a])
-                            right.append(line[first + b])
+            for a, b in _pairs(group, n, parity, side, least):
+                most = np.floor((1 - least) * np.maximum(sizes[a], sizes[b]) + 1e-9).astype(np.int64)
+                # Of the classes of codes, too many may differ for so few edits.
+                may = np.empty(len(a), dtype=bool)
+                for first in range(0, len(a), PAIRS // 8):
+                    part = slice(first, first + PAIRS // 8)
+                    may[part] = np.abs(spectra[a[part]] - spectra[b[part]]).sum(axis=1) + np.abs(sizes[a[part]] - sizes[b[part]]) <= 2 * most[part]
+                order = np.flatnonzero(may)
+                order = order[np.lexsort((a[order], b[order]))]
+                a, b, most, tried = a[order], b[order], most[order], 1
+                while len(a):
+                    # Of each row the next few; twice as many each time.
+                    nth = np.arange(len(b)) - np.searchsorted(b, b)
+                    now = nth < tried
+                    x, y, limit = a[now], b[now], most[now]
+                    long = limit > EDITS
+                    near = np.zeros(len(x), dtype=bool)
+                    near[~long] = within(codes, starts, sizes, x[~long], y[~long], limit[~long])
+                    for i in np.flatnonzero(long).tolist():
+                        p, q = words[int(x[i])].as_py(), words[int(y[i])].as_py()
+                        near[i] = similar(p, q, least) if short[x[i]] else similar(p.split(" "), q.split(" "), least)
+                    for p, q in zip(x[near].tolist(), y[near].tolist()):
+                        own, other = top(p), top(q)
+                        if own != other:
+                            parent[own] = other
+                            left.append(line[p])
+                            right.append(line[q])
+                    root = np.array(parent)
+                    while (root[root] != root).any():
+                        root = root[root]
+                    rest = ~now & (root[a] != root[b])
+                    a, b, most, tried = a[rest], b[rest], most[rest], 2 * tried
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
@@ -368,7 +527,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> D
     lines = stage(texts.mapInArrow(fingerprints, "line long, doc_id long, row long, pos int"), "lines")
     kinds = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "row", "pos")).alias("at"), F.count("*").alias("times")), "line-kinds")
     keyed = texts.select("text").mapInArrow(keys(min_words, least), "key long, line long, n int, parity long")
-    keyed = keyed.repartition("key").dropDuplicates(["key", "line"]).sortWithinPartitions("key", "n")
+    keyed = keyed.repartition("key").sortWithinPartitions("key", "n", "line")
     found = stage(keyed.mapInArrow(clusters(least), "cluster long, short boolean, line long, n int, parity long").distinct(), "line-clusters")
     # The words of lines that have a candidate, read once from their first place.
     places = found.select("line").distinct().join(kinds, "line").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.row").alias("row"))
@@ -384,7 +543,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 3, least: float = 0.9) -> D
         .join(words, "line")
         .withColumn("_own", own)
         .withColumn("_other", F.explode(others))
-        .select(group.alias("group"), "short", "line", "n", "parity", "words")
+        .select(group.alias("group"), F.col("_own").alias("side"), "short", "line", "n", "parity", "words")
         .repartition("group")
         .sortWithinPartitions("group", "n", "line")
     )

@@ -213,7 +213,7 @@ def _groups_up_to(table: pa.Table, key: str, limit: int) -> Iterator[pa.Table]:
     borders = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
     row_bytes = max(1, table.nbytes // max(1, len(values)))
     first = 0
-    for i in range(1, len(borders)):
-        if i == len(borders) - 1 or (borders[i + 1] - borders[first]) * row_bytes > limit:
-            yield table.slice(int(borders[first]), int(borders[i] - borders[first])).combine_chunks()
-            first = i
+    while first < len(borders) - 1:
+        last = max(first + 1, int(np.searchsorted(borders, borders[first] + limit // row_bytes, side="right")) - 1)
+        yield table.slice(int(borders[first]), int(borders[last] - borders[first])).combine_chunks()
+        first = last

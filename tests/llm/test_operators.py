@@ -646,6 +646,44 @@ def test_line_clusters_of_many_small_keys(monkeypatch):
     assert list(lines.clusters(0.9)([batch.slice(0, 0)])) == []
 
 
+def test_line_pairs_are_compared_together(monkeypatch):
+    """Links join the lines of each group as a plain loop over all pairs does, with no
+    pair compared by itself but those of many edits; sides of a group have met before."""
+    rng = random.Random(12)
+    rows = []
+    for group, (size, short) in enumerate([(2, False), (40, True), (30, False), (90, True), (100, False), (3, False)]):
+        base = [[rng.choice("abcdefgh") for _ in range(160 if size == 3 else 30)] for _ in range(4)]
+        for i in range(size):
+            own = list(base[rng.randrange(1 if size == 3 else 4)])
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice("abcdefgh\u00e9")
+            text = "".join(own) if short else " ".join(own)
+            rows.append((group, i % 2 if size == 100 else 0, short, len(rows), len(own), text))
+    counted = [np.array([x for x in r[5] if x != " "]) for r in rows]
+    parity = [lines._parity(words.mix(np.array([ord(x) for x in own], np.uint64)), np.zeros(1, np.int64))[0] for own in counted]
+    columns = [*zip(*rows), parity]
+    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.uint64()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["group", "side", "short", "line", "n", "words", "parity"])
+    batch = batch.set_column(6, "parity", batch.column("parity").view(pa.int64()))
+    expected = {i: i for i in range(len(rows))}
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        p, q = rows[a], rows[b]
+        if p[0] == q[0] and (p[0] != 4 or p[1] != q[1]) and edit_row(counted[a], counted[b]) <= int(len(counted[b]) * 0.1 + 1e-9) and expected[a] != expected[b]:
+            old, new = expected[a], expected[b]
+            expected = {i: new if x == old else x for i, x in expected.items()}
+    calls, alone = [], lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda a, b, most: calls.append(len(a)) or alone(a, b, most))
+    got = {i: i for i in range(len(rows))}
+    for out in lines.verified(0.9)(iter([batch])):
+        for link in out.to_pylist():
+            old, new = got[link["a"]], got[link["b"]]
+            assert old != new
+            got = {i: new if x == old else x for i, x in got.items()}
+    parts = lambda names: {frozenset(i for i in names if names[i] == x) for x in names.values()}
+    assert parts(got) == parts(expected) and len(parts(got)) < len(rows)
+    assert set(calls) == {160}
+
+
 def test_line_dedup(spark):
     rng = random.Random(11)
     base = [rng.choices([f"n{i}" for i in range(200)], k=rng.randint(2, 40)) for _ in range(60)]
