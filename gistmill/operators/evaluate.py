@@ -1,7 +1,9 @@
 """Measures of finished summaries.
 
 Input is a summary table: ``keys``, ``rank`` from 1 without gaps, ``sentence``.
-Neighbouring sentences meet by joining on rank + 1, so no group is gathered.
+Neighbouring sentences meet by joining on rank + 1, so no group is gathered. These
+joins are never by broadcast: words and vectors of many sentences are small in files
+and large on the driver.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def unique_ngram_ratio(summary: DataFrame, keys: Sequence[str], n: int = 2) -> D
         following = words.select(
             *keys, (F.col("rank") - ahead).alias("rank"), F.slice("_words", 1, n - 1).alias("_next")
         )
-        opened = opened.join(following, [*keys, "rank"], "left").select(
+        opened = opened.join(following.hint("merge"), [*keys, "rank"], "left").select(
             *keys, "rank", "_own",
             F.concat("_words", F.coalesce("_next", F.array().cast("array<string>"))).alias("_words"),
         )
@@ -143,7 +145,7 @@ def focus(summary: DataFrame, keys: Sequence[str], vector: str, low: float = 0.0
     keys = list(keys)
     vectors = stage(summary.select(*keys, "rank", vector), "vectors")
     following = vectors.select(*keys, (F.col("rank") - 1).alias("rank"), F.col(vector).alias("_next"))
-    paired = vectors.select(*keys, "rank", vector).join(following, [*keys, "rank"], "left")
+    paired = vectors.select(*keys, "rank", vector).join(following.hint("merge"), [*keys, "rank"], "left")
     similarity = F.coalesce(cosine(F.col(vector), F.col("_next")), F.lit(0.0))
     unlike = (F.col("_next").isNotNull() & (similarity < low)).cast("int")
     return paired.groupBy(*keys).agg((F.lit(-PENALTY) * F.sum(unlike)).alias("focus"))
@@ -221,7 +223,7 @@ def common_runs(summary: DataFrame, keys: Sequence[str], order: str = "rank", te
     keys = list(keys)
     worded = stage(summary.select(*keys, order, word_tokens(text).alias("_words")), "words")
     following = worded.select(*keys, (F.col(order) - 1).alias(order), F.col("_words").alias("_next"))
-    run = worded.join(following, [*keys, order]).withColumn("run", longest_common_run("_words", "_next"))
+    run = worded.join(following.hint("merge"), [*keys, order]).withColumn("run", longest_common_run("_words", "_next"))
     shorter = F.nullif(F.least(F.size("_words"), F.size("_next")), F.lit(0))
     return run.select(*keys, order, "run", F.coalesce(F.col("run") / shorter, F.lit(0.0)).alias("share"))
 

@@ -43,7 +43,7 @@ def inverse_frequency(n_sentences: Column, df: Column) -> Column:
 
 
 class Groups(NamedTuple):
-    totals: DataFrame  # marked for broadcast while the groups are few
+    totals: DataFrame  # marked for broadcast while the groups are few, else for a merge: files say too little of their size
     largest: int  # sentences of the largest group
 
 
@@ -55,7 +55,7 @@ def measure_groups(sentences: DataFrame, keys: Sequence[str], min_words: int | N
         totals = totals.filter(F.col("total_words") > min_words)
     totals = stage(totals, "totals")
     count, largest = totals.agg(F.count(F.lit(1)), F.max("n_sentences")).first()
-    return Groups(F.broadcast(totals) if count <= BROADCAST_ROWS else totals, largest or 0)
+    return Groups(F.broadcast(totals) if count <= BROADCAST_ROWS else totals.hint("merge"), largest or 0)
 
 
 def _part(method: str, n_topics: int | None, met: Column) -> Column:

@@ -236,3 +236,14 @@ def test_learned_vectors_meet_totals_once_a_pair(spark, monkeypatch):
     got = {r.word: list(r.vector) for r in vectors.learn_vectors(df, "words", size, window).collect()}
     assert got == expected
     assert written["neighbours"] == written["sides"] == len(pairs)
+
+
+def test_neighbours_are_not_broadcast(spark):
+    """Vectors and words of many sentences take little room in files, but not on the driver."""
+    rows = [(k, r, f"some words {r % 3} of {k}", [float(k + r), 1.0]) for k in range(3) for r in range(1, 5)]
+    summary = spark.createDataFrame(rows, "k long, rank int, sentence string, vector array<double>")
+    found = [evaluate.focus(summary, ["k"], "vector"), evaluate.ngram_redundancy(summary, ["k"]), evaluate.common_runs(summary, ["k"])]
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert df.count()
