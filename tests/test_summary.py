@@ -291,6 +291,26 @@ def test_topic_fit_by_blocks(spark, monkeypatch):
         assert found[2] == pytest.approx(fits)
 
 
+def test_topic_rounds_have_a_row_per_part_of_terms(spark, monkeypatch):
+    """Terms of a block are rows of their own in the last draw only."""
+    rng = random.Random(21)
+    rows = [(g, " ".join(rng.choice("abcdefgh") * 3 + rng.choice("mnopqrst") * 2 for _ in range(9))) for g in ("x", None, "y") for _ in range(12)]
+    held, real = [], topics.stage
+
+    def staged(df, label):
+        out = real(df, label)
+        if label == "topic-state":
+            held.append((out.filter("kind = 1"), out.filter("kind = 1").count()))
+        return out
+
+    monkeypatch.setattr(topics, "stage", staged)
+    topics.fit_topics(spark.createDataFrame(rows, "g string, t string"), "t", ["g"], n_topics=3, max_iter=2)
+    names = held[0][0].selectExpr("g", "_block", "explode(names) as name").collect()
+    blocks = {(r.g, r._block) for r in names}
+    assert len(held) == 3 and len(names) > 40 and {g for g, _ in blocks} == {"x", "y"}
+    assert all(count <= 2 * len(blocks) for _, count in held[:-1]) and held[-1][1] == len(names)
+
+
 def test_topic_hashes_are_those_of_columns(spark):
     values = [0, 1, -1, 7, 123_456, 2**31 - 1, -(2**31)]
     df = spark.createDataFrame([(v,) for v in values], "v int").select("v", F.xxhash64(F.lit("term")).alias("h"), F.xxhash64(F.lit("term"), "v").alias("hv"))
